@@ -5,9 +5,12 @@ from __future__ import annotations
 
 def queries() -> dict:
     """The queries opN_<name> by name."""
-    from . import decontam, packing, secrets
+    from . import decontam, langid, lm, packing, secrets, toxicity
 
-    found = (decontam.op3_decontamination, packing.op8_best_fit_packing, secrets.op9_secret_scan)
+    found = (
+        lm.op2_lm_scoring, decontam.op3_decontamination, langid.op4_language_id, toxicity.op5_toxicity, packing.op8_best_fit_packing,
+        secrets.op9_secret_scan,
+    )
     return {f.__name__: f for f in found}
 
 
