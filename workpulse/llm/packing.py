@@ -13,6 +13,7 @@ Only *lengths* decide a packing, and a length is at most ``size``. So the plan i
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from . import common
 
 SIZE = 2048
 #: Words kept with their ids in a worker; past it the store is emptied and filled anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_200_000
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 PIECES = "id {id}, piece int, start long, length int, ids_crc32 long, block int, slot long"
 
@@ -35,7 +37,9 @@ class WordEncoder:
     """Token ids of texts, word by word.
 
     The tokenizer splits at white space and none of its units crosses a space, so a text's ids are those of its
-    space-separated words, one after another; words recur, and each is encoded once while it is kept.
+    space-separated words, one after another; words recur, and each is encoded once while it is kept. Words of letters
+    alone are single units, whose last token carries the vocabulary's word-end mark: many of them are encoded as one
+    text and told apart by the marks. A full stop or comma after letters is a unit of its own.
     """
 
     def __init__(self, path: str):
@@ -45,19 +49,46 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.stops = {c: self._ids(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        known, stops = self.known, self.stops
+        stopped = [w for w in words if w[-1:] in stops and w[:-1].isalpha()]
+        bare = dict.fromkeys(w[:-1] for w in stopped)
+        bare.update(dict.fromkeys(w for w in words if w.isalpha()))
+        letters = [w for w in bare if w not in known]
+        if letters:
+            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+            edges = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
+            if len(edges) == len(letters):
+                raw = ids.tobytes()
+                known.update((w, raw[a:b]) for w, a, b in zip(letters, [0, *edges], edges))
+            else:  # some letter is normalised to something else
+                known.update((w, self._ids(e.ids)) for w, e in zip(letters, self.tokenizer.encode_batch_fast(letters, add_special_tokens=False)))
+        known.update((w, known[w[:-1]] + stops[w[-1]]) for w in stopped)
+        rest = [w for w in words if w not in known]
+        known.update((w, self._ids(e.ids)) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if not _OTHER.search(text):  # the tokenizer lowers letters too, here by the same rules as Python
+            text = text.lower()
         words = text.replace("\n", " ").split(" ")
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = [w for w in set(words) if w not in known]
         if new:
             if len(known) > WORDS_KEPT:
                 known.clear()
-                new = list(dict.fromkeys(words))
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
+                new = list(set(words))
+            self._learn(new)
         return b"".join([known[w] for w in words])
 
 
