@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def queries() -> dict:
     """The queries opN_<name> by name."""
-    from . import decontam, langid, lm, neardup, packing, secrets, toxicity
+    from . import ann, decontam, langid, lm, neardup, packing, secrets, toxicity
 
     found = (
-        lm.op2_lm_scoring, decontam.op3_decontamination, langid.op4_language_id, toxicity.op5_toxicity, packing.op8_best_fit_packing,
+        lm.op2_lm_scoring, decontam.op3_decontamination, langid.op4_language_id, toxicity.op5_toxicity, ann.op6_multi_index_hashing, packing.op8_best_fit_packing,
         secrets.op9_secret_scan, neardup.op10_minhash_near_dedup,
     )
     return {f.__name__: f for f in found}

@@ -56,6 +56,19 @@ def remove_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of ``key``: the same ones whatever the partitions.
+
+    Where there are many more rows, a threshold on the hash leaves a few more than ``n`` before they are sorted, so
+    tasks send the driver no more than that together.
+    """
+    total = rows.count()
+    place = F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 12) / F.lit(float(1 << 52))
+    if total > 2 * n:
+        rows = rows.where(place < 1.4 * n / total)
+    return rows.orderBy(place, *rows.columns).limit(n)
+
+
 def rows_out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -57,7 +57,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     ``sample_docs`` bounds what comes to the driver. The sample is the same on each run, whatever the partitions.
     """
     rows = docs.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("text is not null and lang is not null").orderBy(F.xxhash64("key", F.lit("sample")), "key", "text").limit(sample_docs)
+    rows = common.bounded_sample(rows.where("text is not null and lang is not null"), "key", sample_docs)
     sequences, labels = training_sequences([(r["text"], r["lang"]) for r in rows.collect()], SAMPLE_WORDS)
     return crf.fit(sequences, labels) if sequences else None
 

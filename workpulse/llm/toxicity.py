@@ -97,8 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id"]
-    sample = known.where("toxic = 1").orderBy(*order).limit(sample_docs).unionAll(known.where("toxic = 0").orderBy(*order).limit(sample_docs))
+    known = common.written(known, "labels")
+    sample = common.bounded_sample(known.where("toxic = 1"), "id", sample_docs).unionAll(common.bounded_sample(known.where("toxic = 0"), "id", sample_docs))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(sample), "id")  # at most 2 * sample_docs rows
     rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
