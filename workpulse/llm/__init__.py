@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def queries() -> dict:
     """The queries opN_<name> by name."""
-    from . import ann, decontam, htmltext, langid, lm, neardup, packing, secrets, toxicity
+    from . import ann, decontam, htmltext, langid, licenses, lm, neardup, packing, secrets, toxicity
 
     found = (
-        lm.op2_lm_scoring, decontam.op3_decontamination, langid.op4_language_id, toxicity.op5_toxicity, ann.op6_multi_index_hashing, htmltext.op7_html_extraction, packing.op8_best_fit_packing,
+        licenses.op1_license_scan, lm.op2_lm_scoring, decontam.op3_decontamination, langid.op4_language_id, toxicity.op5_toxicity, ann.op6_multi_index_hashing, htmltext.op7_html_extraction, packing.op8_best_fit_packing,
         secrets.op9_secret_scan, neardup.op10_minhash_near_dedup,
     )
     return {f.__name__: f for f in found}
@@ -16,4 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {}
+    from . import licenses
+
+    return {"op1_license_scan": licenses.sql()}
