@@ -1,25 +1,51 @@
-"""The corpus pipeline: language ID, near-duplicate removal, decontamination, secret scans, packing."""
+"""The corpus pipeline: each stage works on the documents that the one before kept, and returns their columns; the last
+returns packed pieces. Between stages the documents are written as Parquet and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from workpulse.llm import common, decontam, packing, secrets
+from workpulse.llm import common, decontam, langid, neardup, packing, secrets
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that most of the text is in, go."""
+    return langid.keep_known(docs, langid.train(docs))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays, the one with the smallest id."""
+    return neardup.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window stay."""
-    found = decontam.find_leaks(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents with a window of a benchmark item go."""
+    return decontam.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets are replaced in their texts."""
+    return secrets.redact_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs)
+
 
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", remove_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", redact_secrets),
+    ("best-fit packing", pack),
+]
 
-STAGES = [("benchmark decontamination", decontaminate)]
+#: SQL can express neither the random fields nor the samples; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return docs

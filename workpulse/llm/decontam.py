@@ -79,6 +79,19 @@ def merged(hits: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
+def test_items(benchmark: DataFrame, item_col: str, text_col: str, automaton_bytes: int) -> tuple[DataFrame, int]:
+    """Items (item, text) with an id and a text, and into how many automata they go."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, -(-total // automaton_bytes) or 1
+
+
+def part_of(items: DataFrame, part: int, parts: int) -> list[tuple[str, str]]:
+    """The items of one automaton, about ``automaton_bytes`` of text."""
+    mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+    return [(r["item"], r["text"]) for r in mine.collect()]
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", width: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES,
@@ -91,9 +104,7 @@ def find_leaks(
     row each. Empty tables give no rows or no hits. The scan is a map: no shuffle, and no text leaves its task.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // automaton_bytes) or 1
+    items, parts = test_items(benchmark, item_col, item_text_col, automaton_bytes)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_sql = rows.schema["id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
@@ -113,8 +124,7 @@ def find_leaks(
 
     rows = rows.withColumn("hits", F.lit(None).cast(_HIT_SQL))
     for part in range(parts):
-        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in mine.collect()])  # about automaton_bytes
+        shared = spark.sparkContext.broadcast(part_of(items, part, parts))
         last = part == parts - 1
 
         def start(shared=shared, last=last):
@@ -132,6 +142,24 @@ def find_leaks(
     return rows.withColumnRenamed("id", id_col)
 
 
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    width: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of an item; one pass for each automaton."""
+    items, parts = test_items(benchmark, item_col, item_text_col, automaton_bytes)
+    for part in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(part_of(items, part, parts))
+
+        def start(shared=shared):
+            found = automaton(shared.value, width)
+            clean = lambda text: found is None or next(found.iter(normalised(text).decode("latin-1")), None) is None
+            return lambda texts: ([clean(t) for t in texts], {})
+
+        docs = common.map_whole_rows(docs, text_col, start)
+    return docs
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -104,6 +104,28 @@ def predict(docs: DataFrame, model: crf.Crf | None, id_col: str = "doc_id", text
     return rows.mapInArrow(predicted, sql).withColumnRenamed("id", id_col)
 
 
+def keep_known(docs: DataFrame, model: crf.Crf | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with a mean marginal of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        tagger = shared.value
+
+        def judge(texts):
+            keep = [False] * len(texts)
+            sequences = [tagger.sequence_rows(words_of(t)) for t in texts] if tagger is not None else []
+            if full := [i for i, s in enumerate(sequences) if s]:
+                found, starts = tagger.marginals_of([sequences[i] for i in full])
+                sums = np.add.reduceat(found, starts, axis=0).max(axis=1)
+                for i, top in zip(full, sums):
+                    keep[i] = bool(top >= least * len(sequences[i]))
+            return keep, {}
+
+        return judge
+
+    return common.map_whole_rows(docs, text_col, start, 8192)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = train(docs.where(common.id_remainder(F.col("doc_id"), 4) != 2))

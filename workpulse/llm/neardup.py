@@ -303,5 +303,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), named_class.alias("class_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each class: the one with the smallest id. Rows that
+    share an id are taken for one document; a null id is an id like others."""
+    kept = near_duplicates(docs, id_col, text_col, threshold).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates([id_col])
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -122,6 +122,29 @@ def redact(text: str | None, found: list[tuple[str, int, int]], mark: str = "[SE
     return "".join([*out, text[at:]])
 
 
+def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", at_least: float = 0.72, reach: int = 40) -> DataFrame:
+    """All rows and columns of ``docs``, with every span replaced in the text and its length, if kept, put right."""
+    with_length = length_col in docs.columns
+
+    def start():
+        novelty = Novelty()
+
+        def judge(texts):
+            out = []
+            for text in texts:
+                found = base_spans(text or "")
+                found += novel_spans(text or "", found, novelty, at_least, reach)
+                out.append(redact(text, found))
+            if out == texts:
+                return [True] * len(texts), {}
+            lengths = {length_col: [None if t is None else len(t) for t in out]} if with_length else {}
+            return [True] * len(texts), {text_col: out} | lengths
+
+        return judge
+
+    return common.map_whole_rows(docs, text_col, start)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(common.table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
