@@ -34,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def batch_bytes(spark: SparkSession, n: int) -> None:
+    """Arrow batches between executors and their Python workers hold about ``n`` bytes from now on: where texts are
+    long, this bounds the memory of both."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read again.
 

@@ -7,9 +7,9 @@ words. Document frequencies are counted over all documents in a table of fixed s
 2. Each text gets ``BANDS * ROWS`` consistent samples; ``ROWS`` of them make a band, and texts that share a band meet.
 3. Texts of a bucket are verified against one of them, another one in each band, not against each other: as many pairs
    as texts. Weighted Jaccard similarity is worked out from the whole texts.
-4. Texts that a bucket holds together but that are not linked yet are compared too, over the different components
-   only, after a sketch of the samples has ruled out the pairs that can't be similar. So every colliding pair of
-   similar texts ends in one class.
+4. Texts that a bucket holds together but that are not linked yet are compared too, in blocks of bounded size and
+   over different components only, after a sketch of the samples has ruled out the pairs that can't be similar. So
+   every colliding pair of similar texts ends in one class, and only links leave a task.
 5. Connected components of the links are the classes; labels travel by joins until nothing changes.
 """
 
@@ -33,7 +33,11 @@ CELLS = 1 << 16
 SKETCH_LEAST = 0.58
 #: Shingles that are sampled together; bounds memory for very long texts.
 CHUNK = 4096
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
+#: Texts of a block of a bucket.
+BLOCK = 256
+#: Digests (16 bytes each) of texts that met another one, up to which they are broadcast rather than shuffled.
+BROADCAST_ROWS = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -230,8 +234,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def sketch_filter(pairs: DataFrame) -> DataFrame:
-    """(a, b, sketch_a, sketch_b) with enough equal sketch bytes, as (a, b)."""
+def sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose sketches have enough equal bytes."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +243,59 @@ def sketch_filter(pairs: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(n, -1) for i in (2, 3))
             yield batch.filter(pa.array((x == y).mean(axis=1) >= SKETCH_LEAST)).select(["a", "b"]) if n else batch.select(["a", "b"])
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(near, "a binary, b binary")
+    both = pairs.join(sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    both = both.join(sketches.select(F.col("digest").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(near, "a binary, b binary")
+
+
+def block_links(rows: DataFrame, sampled: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between the components of each bucket in ``rows`` (band, bucket, a, label, n).
+
+    A bucket is cut into blocks, and each two blocks are one group of at most about ``2 * BLOCK`` texts, whatever the
+    bucket's size. A group emits only links that join components, never its pairs: the likeliest pairs are verified
+    first, and pairs that are joined by then, or that an earlier band holds together, are passed over.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("a"), blocks).cast("int")})
+    rows = rows.select("band", "bucket", "a", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    rows = rows.join(sampled.withColumnRenamed("digest", "a"), "a").join(texts.withColumnRenamed("digest", "a"), "a")
+
+    def linked(group: pa.Table) -> pa.Table:
+        digests, labels, blocks, texts = (group.column(c).to_pylist() for c in ("a", "label", "block", "text"))
+        n, band = len(digests), group.column("band")[0].as_py()
+        bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)[:, :band]
+        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1)
+        label = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
+        block = np.array(blocks)
+        inner = len(set(blocks)) == 1
+        likely: list[tuple[float, int, int]] = []
+        for x in range(n - 1) if label.any() else ():
+            rest = slice(x + 1, n)
+            apart = (label[rest] != label[x]) & (inner | (block[rest] != block[x])) & ~(bands[rest] == bands[x]).any(axis=1)
+            share = (sketches[rest] == sketches[x]).mean(axis=1)
+            likely += [(-share[k], x, x + 1 + k) for k in np.nonzero(apart & (share >= SKETCH_LEAST))[0]]
+        words, weights, known, parent = Words(), idf.value, {}, {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        def vector(x: int):
+            if x not in known:
+                known[x] = shingles(words.hashes(decontam.normalised(texts[x]).split()), weights)
+            return known[x]
+
+        found = []
+        for _, x, y in sorted(likely):
+            p, q = root(label[x]), root(label[y])
+            if p != q and similarity(vector(x), vector(y)) >= threshold:
+                parent[p] = q
+                found.append((digests[x], digests[y]))
+        return pa.table([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+
+    return rows.groupBy("band", "bucket", "i", "j").applyInArrow(linked, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -252,6 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if all its ids are null.
     """
     spark = docs.sparkSession
+    common.batch_bytes(spark, 16 << 20)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     folded = rows.where("text is not null").groupBy(digest.alias("digest")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("text").alias("text"))
@@ -273,24 +330,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary())], ["digest", "bands", "sketch"])
 
     sampled = common.written(texts.select("digest", "text").mapInArrow(signed, "digest binary, bands array<long>, sketch binary"), "samples")
-    members = sampled.select("digest", "sketch", F.posexplode("bands").alias("band", "bucket"))
+    members = sampled.select("digest", F.posexplode("bands").alias("band", "bucket"))
     order = F.xxhash64("digest", "band")
-    found = members.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), "digest", "sketch")).alias("first")).where("size > 1")
-    met = common.written(members.join(found, ["band", "bucket"]).select("band", "bucket", F.col("digest").alias("a"), F.col("first.digest").alias("b"), F.col("sketch").alias("sketch_a"), F.col("first.sketch").alias("sketch_b")), "buckets")
-    star = met.where("a != b").groupBy("a", "b").agg(F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"))
-    links = common.written(verified(sketch_filter(star), texts, idf, threshold), "links")
+    found = members.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), "digest")).alias("first")).where("size > 1")
+    met = common.written(members.join(found, ["band", "bucket"]).select("band", "bucket", F.col("digest").alias("a"), F.col("first.digest").alias("b")), "buckets")
+    involved = common.written(met.select(F.col("a").alias("digest")).distinct(), "involved")
+    if involved.count() <= BROADCAST_ROWS:
+        involved = F.broadcast(involved)
+    near = common.written(texts.select("digest", "text").join(involved, "digest", "left_semi"), "near-texts")
+    sketches = common.written(sampled.select("digest", "sketch").join(involved, "digest", "left_semi"), "sketches")
+    star = common.written(met.where("a != b").select("a", "b").distinct(), "star")
+    links = common.written(verified(sketch_filter(star, sketches), near, idf, threshold), "links")
     labels = common.written(components(links), "first-labels")
 
-    # what a bucket holds together though it isn't linked: pairs over different components
-    named = met.join(labels.withColumnRenamed("node", "a"), "a", "left").select("band", "bucket", "a", F.coalesce("label", "a").alias("label"), F.col("sketch_a").alias("sketch"))
-    mixed_buckets = named.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "bucket")
-    open_rows = common.written(named.join(mixed_buckets, ["band", "bucket"], "left_semi"), "open")
-    left = open_rows.select("band", "bucket", "a", F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
-    right = open_rows.select("band", "bucket", F.col("a").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
-    across = left.join(right, ["band", "bucket"]).where("label_a < label_b")
-    tried = star.select("a", "b").unionAll(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = sketch_filter(across).distinct().join(tried, ["a", "b"], "left_anti")
-    more = common.written(verified(across, texts, idf, threshold), "links")
+    # what a bucket holds together though it isn't linked: blocks of the buckets with several components
+    named = met.join(labels.withColumnRenamed("node", "a"), "a", "left").select("band", "bucket", "a", F.coalesce("label", "a").alias("label"))
+    sizes = named.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    open_rows = common.written(named.join(sizes.select("band", "bucket", "n"), ["band", "bucket"]), "open")
+    more = common.written(block_links(open_rows, sampled, near, idf, threshold), "links")
     final = components(links.unionAll(more))
 
     ids = texts.select("digest", "id").join(sampled.select("digest"), "digest")
