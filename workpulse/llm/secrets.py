@@ -8,6 +8,8 @@ reported beside the matches of the fixed patterns.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -65,14 +67,23 @@ class Novelty:
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty, at_least: float, reach: int) -> list[tuple[str, int, int]]:
     """Candidates in a sensitive context (such a word ends or begins within ``reach`` characters before them) that no
     fixed pattern covers, mix letters and digits, and are novel."""
-    found = []
+    found: list[tuple[str, int, int]] = []
+    edges = sorted((a, b) for _, a, b in taken)
+    ends = list(itertools.accumulate((b for _, b in edges), max))
+    seen: set[int] = set()
+
+    def is_taken(start: int, end: int) -> bool:
+        i = bisect.bisect_left(edges, (end,))
+        return i > 0 and ends[i - 1] > start
+
     for word in _CONTEXT.finditer(text):
         for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach + 512)):
             start, end = m.span()
             if start > word.end() + reach:
                 break
-            if any(start < b and a < end for _, a, b in taken) or any(start == a for _, a, _ in found):
+            if start in seen or is_taken(start, end):
                 continue
+            seen.add(start)
             s = m[0]
             if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and novelty(text, start, end) >= at_least:
                 found.append(("novel", start, end))
