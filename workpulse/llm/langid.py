@@ -28,8 +28,14 @@ UNKNOWN = "und"
 SLICE_CHARS = 12_000_000
 
 
+def lowered(text: str) -> str:
+    """Lower case, with characters whose lower case is longer left alone, so that offsets hold."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str | None) -> list[str]:
-    return crf.WORD.findall((text or "").lower())
+    return crf.WORD.findall(lowered(text or ""))
 
 
 def training_sequences(rows: list[tuple[str, str]], words_each: int, seed: int = 7) -> tuple[list[tuple[list[str], list[int]]], list[str]]:

@@ -9,6 +9,7 @@ the score. Words with a marginal of a half or more are the offending spans.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,16 +24,28 @@ from . import common, crf, langid
 #: Labelled documents of each class that the model is fitted on, at most; the ones with the smallest hashes of ids.
 SAMPLE_DOCS = 1200
 THRESHOLD = 0.3
+#: Marginal from which a word counts among the expected toxic words.
+LEAST_MARGINAL = 0.1
 
 
-def cues(rows: list[tuple[str, int]], least_docs: int = 4, least_odds: float = 3.0) -> set[str]:
-    """Words and beginnings (four or five letters and ``*``) that mark toxic documents."""
+def copy_key(words: list[str]) -> int:
+    """Near copies likely share it: the smallest hash of three words in a row."""
+    return min(zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2)))
+
+
+def cues(rows: list[tuple[str, int]], least_docs: int = 4, least_share: float = 0.015, least_odds: float = 3.0) -> set[str]:
+    """Words and beginnings (four or five letters and ``*``) that mark toxic documents. Near copies count as one
+    document, so that what one text says often, under a wrong label, isn't a mark."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     docs = [0, 0]
+    held: dict[tuple[int, int], set[str]] = {}
     for text, toxic in rows:
-        words = set(langid.words_of(text))
+        words = langid.words_of(text)
+        held.setdefault((toxic, copy_key(words)), set()).update(words)
+    for (toxic, _), words in held.items():
         counts[toxic].update(words | {w[:k] + "*" for w in words for k in (4, 5) if len(w) > k})
         docs[toxic] += 1
+    least_docs = max(least_docs, math.ceil(least_share * docs[1]))
     odds = lambda c: math.log((counts[1][c] + 0.5) / (docs[1] + 1)) - math.log((counts[0][c] + 0.5) / (docs[0] + 1))
     return {c for c, n in counts[1].items() if n >= least_docs and odds(c) >= least_odds}
 
@@ -42,8 +55,10 @@ def marked(words: list[str], found: set[str]) -> list[int]:
 
 
 def document_features(toxic: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One, the log of one plus the expected toxic words, the largest marginal, by document."""
-    return np.stack([np.ones(len(starts)), np.log1p(np.add.reduceat(toxic, starts)), np.maximum.reduceat(toxic, starts)], axis=1)
+    """One, the log of one plus the expected toxic words, the largest marginal, by document. Words of small marginals
+    count for nothing, so that a long text doesn't gather a toxic word from many harmless ones."""
+    expected = np.add.reduceat(np.where(toxic >= LEAST_MARGINAL, toxic, 0), starts)
+    return np.stack([np.ones(len(starts)), np.log1p(expected), np.maximum.reduceat(toxic, starts)], axis=1)
 
 
 class Model:
@@ -133,7 +148,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                         for i, at in zip(full, starts):
                             p = toxic[at : at + len(words[i])]
                             if p.max() >= 0.5:
-                                places = [m.span() for m in crf.WORD.finditer(lowered(texts[i]))]
+                                places = [m.span() for m in crf.WORD.finditer(langid.lowered(texts[i]))]
                                 spans[i] = [{"start": places[j][0], "end": places[j][1], "marginal": float(p[j])} for j in np.nonzero(p >= 0.5)[0]]
             arrays = [ids.cast(id_arrow), pa.array(scores)] + ([pa.array(spans, pa.list_(span))] if with_spans else [])
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -142,12 +157,6 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return rows.mapInArrow(scored, sql).withColumnRenamed("id", id_col)
 
 
-def lowered(text: str) -> str:
-    """Lower case, with characters whose lower case is longer left alone, so that offsets hold."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.id_remainder(F.col("doc_id"), 4) == 2
