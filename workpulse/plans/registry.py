@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, joins, repeats, slow, summaries
+from ..operators import dashboard, ingest, joins, repeats, slow, summaries
 from ..operators.measures import counted
 from .facts import FACTS_SQL, EngineConfig, table, tasks
 
@@ -269,3 +269,4 @@ def _listed(spark, sf_dir):
 
 
 joins.register_all(register, with_facts, tasks, table)
+ingest.register_all(register, with_facts, tasks, table)
