@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -108,6 +110,20 @@ def test_novel_strings_are_found_and_names_are_not(spark):
     assert found == {1: ["q7Zr9LkX2vTb5NwY8cPd3HfJ"], 2: [], 3: [], 4: []}
 
 
+def test_secrets_are_found_whole(spark):
+    draw = random.Random(5)
+    key = lambda n: "".join(draw.choices(string.ascii_letters + string.digits + "-_", k=n))
+    secret = {
+        1: key(513), 2: key(2_000), 3: key(100_000), 4: f"{key(36)}.{key(700)}.{key(43)}", 5: f"{key(90)}.{key(300)}.{key(43)}", 6: f"v2.local.{key(48)}.x",
+        7: f"{'0123456789abcdef' * 3}.{key(48)}", 8: f"{key(48)}.{'0123456789abcdef' * 3}.{key(20)}",
+    }
+    rows = [(i, f"here comes Authorization: Bearer {s} and more.") for i, s in secret.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [s["text"] for s in r["found"] if s["kind"] == "novel"] for r in secrets.find_secrets(docs).collect()}
+    assert found == {i: [s] for i, s in secret.items()}
+    assert {r["text"] for r in secrets.redact_documents(docs).collect()} == {"here comes Authorization: Bearer [SECRET] and more."}
+
+
 def test_redaction():
     assert secrets.redact("ab SECRET1 cd", [("hex", 3, 10)]) == "ab [SECRET] cd"
     assert secrets.redact("abcdefgh", [("hex", 1, 4), ("assign", 3, 6)]) == "a[SECRET]gh"

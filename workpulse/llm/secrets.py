@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and strings that a dictionary-primed compressor finds new.
 
-A candidate is a long run of key characters near a word such as "password" or "bearer". Its novelty is the number of
-bytes that it adds to a zstandard frame primed with an identifier dictionary and the text around it: names, paths and
-repeated strings add few bytes, random ones nearly their entropy. Candidates of high novelty per character are
-reported beside the matches of the fixed patterns.
+A candidate is a token, runs of key characters joined by dots, that begins near a word such as "password" or "bearer";
+it has no upper length, and is judged by its long runs. Novelty is the number of bytes that a string adds to a zstandard
+frame primed with an identifier dictionary and the text around it: names, paths and repeated strings add few bytes,
+random ones nearly their entropy. Candidates of high novelty per character are reported, whole, beside the matches of
+the fixed patterns.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key")
 _CONTEXT = re.compile(r"passw|secret|token|api[_ -]?key|credential|bearer|private[_ -]?key|access[_ -]?key|auth", re.I)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+_KEY = re.compile(r"[A-Za-z0-9+/_=-]+")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+#: Characters of the shortest run that is judged, and of the pieces, overlapping by half, that longer runs are judged in.
+SHORTEST, PIECE = 16, 512
 
 #: What code and configuration name things; primes the compressor, so that such names are not new to it.
 IDENTIFIERS = (
@@ -65,28 +70,57 @@ class Novelty:
 
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty, at_least: float, reach: int) -> list[tuple[str, int, int]]:
-    """Candidates in a sensitive context (such a word ends or begins within ``reach`` characters before them) that no
-    fixed pattern covers, mix letters and digits, and are novel."""
+    """Tokens that begin in a sensitive context (such a word ends within ``reach`` characters before them) and hold a
+    run, or a piece of a long run, that no fixed pattern covers, mixes letters and digits, and is novel."""
     found: list[tuple[str, int, int]] = []
     edges = sorted((a, b) for _, a, b in taken)
     ends = list(itertools.accumulate((b for _, b in edges), max))
-    seen: set[int] = set()
+    begun: list[int] = []
+    tokens: list[tuple[int, list[tuple[int, int]], bool]] = []
 
     def is_taken(start: int, end: int) -> bool:
-        i = bisect.bisect_left(edges, (end,))
-        return i > 0 and ends[i - 1] > start
+        """Whether the fixed patterns cover all letters and digits of text[start:end]."""
+        at = start
+        for i in range(bisect.bisect_right(ends, start), bisect.bisect_left(edges, (end,))):
+            if edges[i][0] > at and _ALNUM.search(text, at, edges[i][0]):
+                return False
+            at = max(at, edges[i][1])
+        return at > start and not _ALNUM.search(text, at, end)
+
+    def is_secret(start: int, end: int) -> bool:
+        s = text[start:end]
+        return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and novelty(text, start, end) >= at_least
+
+    def any_secret(start: int, end: int) -> bool:
+        """Whether a piece of the run text[start:end] is a secret."""
+        if end - start < SHORTEST or is_taken(start, end):
+            return False
+        if end - start <= PIECE:
+            return is_secret(start, end)
+        return any(is_secret(a, a + PIECE) for a in [*range(start, end - PIECE, PIECE // 2), end - PIECE])
 
     for word in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach + 512)):
-            start, end = m.span()
-            if start > word.end() + reach:
-                break
-            if start in seen or is_taken(start, end):
-                continue
-            seen.add(start)
-            s = m[0]
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and novelty(text, start, end) >= at_least:
-                found.append(("novel", start, end))
+        at, last = word.end(), min(len(text), word.end() + reach + 1)
+        while first := _KEY.search(text, at, last):
+            start = first.start()
+            i = bisect.bisect_right(begun, start) - 1
+            if i >= 0 and start < tokens[i][0]:
+                end, runs, secret = tokens[i]
+                if start > begun[i] and not secret:
+                    # the word is inside a token: all but what directly follows it has been judged
+                    stop = runs[bisect.bisect_right(runs, (start, len(text))) - 1][1]
+                    if any_secret(start, min(stop, start + PIECE)):
+                        found.append(("novel", start, end))
+                        tokens[i] = (end, runs, True)
+            else:
+                end = _TOKEN.match(text, start).end()
+                runs = [m.span() for m in _KEY.finditer(text, start, end)]
+                secret = any(any_secret(a, b) for a, b in runs)
+                if secret:
+                    found.append(("novel", start, end))
+                begun.append(start)
+                tokens.append((end, runs, secret))
+            at = end
     return found
 
 
