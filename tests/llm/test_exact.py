@@ -124,6 +124,22 @@ def test_secrets_are_found_whole(spark):
     assert {r["text"] for r in secrets.redact_documents(docs).collect()} == {"here comes Authorization: Bearer [SECRET] and more."}
 
 
+def test_random_strings_are_novel_at_every_length():
+    draw, novelty = random.Random(6), secrets.Novelty()
+    alphabets = {
+        "base 16": "0123456789ABCDEF", "base 32": string.ascii_uppercase + "234567", "base 36": string.digits + string.ascii_lowercase,
+        "base 62": string.digits + string.ascii_letters, "base 64": string.digits + string.ascii_letters + "+/",
+    }
+    for name, alphabet in alphabets.items():
+        for n in (16, 24, 40, 60, 61, 64, 96, 128, 256, 512, 2_000):
+            for _ in range(20):
+                key = "".join(draw.choices(alphabet, k=n - 2)) + "A7"
+                text = f"send the credential {key} to them"
+                assert secrets.novel_spans(text, [], novelty, 0.72, 40) == [("novel", 20, 20 + n)], (name, n, key)
+    known = "the bearer of " + "default_configuration_settings_2/" * 20 + " and of " + "abcdefghijklmnopqrstuvwxyz0123456789" * 10 + " and of " + "a1" * 500
+    assert secrets.novel_spans(known, [], novelty, 0.72, 1_000) == []
+
+
 def test_redaction():
     assert secrets.redact("ab SECRET1 cd", [("hex", 3, 10)]) == "ab [SECRET] cd"
     assert secrets.redact("abcdefgh", [("hex", 1, 4), ("assign", 3, 6)]) == "a[SECRET]gh"

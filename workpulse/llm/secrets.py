@@ -29,7 +29,9 @@ _KEY = re.compile(r"[A-Za-z0-9+/_=-]+")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 #: Characters of the shortest run that is judged, and of the pieces, overlapping by half, that longer runs are judged in.
-SHORTEST, PIECE = 16, 512
+#: From 64 characters on zstandard codes single characters by their frequency, and random strings of few different
+#: characters shrink below any limit that suits short ones; in pieces, a long key is judged as a short one is.
+SHORTEST, PIECE = 16, 60
 
 #: What code and configuration name things; primes the compressor, so that such names are not new to it.
 IDENTIFIERS = (
