@@ -9,7 +9,7 @@ from workpulse.llm import common, decontam, langid, neardup, packing, secrets
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that most of the text is in, go."""
+    """Documents for which language ID finds no language go: those without a letter. Mixed text stays."""
     return langid.keep_known(docs, langid.train(docs))
 
 

@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import itertools
+
 import corpus_pipeline
 from workpulse.llm import common, langid, neardup, secrets
 
 from .test_exact import classes_by_hand, leaks_by_hand, packed_rightly, texts_of
 
 
+def test_no_document_with_a_language_is_lost(spark, small):
+    docs = common.table(spark, small, "documents")
+    mixed = mixed_texts(docs)
+    model = langid.train(docs)
+    given = spark.createDataFrame([(-i, t, None, "mixed", len(t)) for i, t in enumerate(mixed, 1)], docs.schema).unionByName(docs)
+    found = {r["doc_id"]: r for r in langid.predict(given, model).collect()}
+    assert {found[-i]["score"] < 0.5 for i in range(1, len(mixed) + 1)} == {True}
+    kept = {r["doc_id"] for r in langid.keep_known(given, model).collect()}
+    assert kept == {k for k, r in found.items() if r["lang_pred"] != langid.UNKNOWN}
+    assert kept == {r["doc_id"] for r in given.collect() if langid.words_of(r["text"])}
+
+
+def mixed_texts(docs, words: int = 60) -> list[str]:
+    """Clean text in three languages, as much of each."""
+    texts: dict[str, str] = {}
+    for r in sorted(docs.where("lang is not null").collect(), key=lambda r: r["doc_id"]):
+        if len(r["text"].split()) >= words:
+            texts.setdefault(r["lang"], " ".join(r["text"].split()[:words]))
+    assert len(texts) >= 3
+    return [" ".join(part) for part in itertools.combinations(texts.values(), 3)]
+
+
 def test_stages(spark, small):
     docs = common.table(spark, small, "documents")
     before = docs

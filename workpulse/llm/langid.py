@@ -78,6 +78,19 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.A
                 yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
 
 
+def languages_of(tagger: crf.Crf | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
+    """Each text's language, its score, and the mean marginals of all languages; ``und``, 0 and none where it has no word."""
+    langs, scores, means = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+    sequences = [tagger.sequence_rows(words_of(t)) for t in texts] if tagger is not None else []
+    if full := [i for i, s in enumerate(sequences) if s]:
+        found, starts = tagger.marginals_of([sequences[i] for i in full])
+        mean = np.add.reduceat(found, starts, axis=0) / np.array([len(sequences[i]) for i in full])[:, None]
+        for i, best, m in zip(full, mean.argmax(axis=1), mean):
+            langs[i], scores[i] = tagger.labels[best], min(1.0, float(m[best]))
+            means[i] = list(zip(tagger.labels, map(float, m)))
+    return langs, scores, means
+
+
 def predict(docs: DataFrame, model: crf.Crf | None, id_col: str = "doc_id", text_col: str = "text", shares: bool = False) -> DataFrame:
     """Per document: id, lang_pred and score; with ``shares``, also each language's mean marginal as a map.
 
@@ -93,16 +106,7 @@ def predict(docs: DataFrame, model: crf.Crf | None, id_col: str = "doc_id", text
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
         for ids, texts in slices(batches, SLICE_CHARS):
-            langs, scores, means = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-            if tagger is not None:
-                sequences = [tagger.sequence_rows(words_of(t)) for t in texts]
-                full = [i for i, s in enumerate(sequences) if s]
-                if full:
-                    found, starts = tagger.marginals_of([sequences[i] for i in full])
-                    mean = np.add.reduceat(found, starts, axis=0) / np.array([len(sequences[i]) for i in full])[:, None]
-                    for i, best, m in zip(full, mean.argmax(axis=1), mean):
-                        langs[i], scores[i] = tagger.labels[best], min(1.0, float(m[best]))
-                        means[i] = list(zip(tagger.labels, map(float, m)))
+            langs, scores, means = languages_of(tagger, texts)
             arrays = [ids.cast(id_arrow), pa.array(langs, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(means, arrow.field("shares").type)] * shares if shares else arrays, schema=arrow)
 
@@ -110,21 +114,21 @@ def predict(docs: DataFrame, model: crf.Crf | None, id_col: str = "doc_id", text
     return rows.mapInArrow(predicted, sql).withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, model: crf.Crf | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with a mean marginal of ``least`` or more."""
+def keep_known(docs: DataFrame, model: crf.Crf | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, for whose text ``predict`` names a language. How evenly languages share a text
+    doesn't matter: text that is in several of them stays."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
         tagger = shared.value
 
         def judge(texts):
-            keep = [False] * len(texts)
-            sequences = [tagger.sequence_rows(words_of(t)) for t in texts] if tagger is not None else []
-            if full := [i for i, s in enumerate(sequences) if s]:
-                found, starts = tagger.marginals_of([sequences[i] for i in full])
-                sums = np.add.reduceat(found, starts, axis=0).max(axis=1)
-                for i, top in zip(full, sums):
-                    keep[i] = bool(top >= least * len(sequences[i]))
+            keep, at, size = [], 0, 0
+            for i, t in enumerate(texts, 1):
+                size += len(t or "")
+                if size >= SLICE_CHARS or i == len(texts):
+                    keep += [lang != UNKNOWN for lang in languages_of(tagger, texts[at:i])[0]]
+                    at, size = i, 0
             return keep, {}
 
         return judge
