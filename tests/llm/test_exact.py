@@ -254,6 +254,23 @@ def test_repeated_runs_go_where_markup_says_nothing(spark):
     assert found == dict(enumerate(own))
 
 
+def test_limits_are_for_the_whole_host(spark, monkeypatch):
+    draw = random.Random(8)
+    words = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    # 480 pages are three groups or more; ten pages are over 2 % of them, nine are under, whatever groups they fall into
+    enough, few, copied = words(12), words(12), words(12)
+    own = [words(30) for _ in range(480)]
+    more = {i: enough for i in range(0, 400, 40)} | {i: few for i in range(5, 365, 40)} | {450: copied}
+    pages = [(i, "https://a.example/", f"<div>{more[i]}</div><div>{t}</div>" if i in more else f"<div>{t}</div>") for i, t in enumerate(own)]
+    pages += [(1_000 + i, "https://a.example/copy", pages[450][2]) for i in range(40)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    right = {i: t if i not in more or more[i] == enough else f"{more[i]}\n\n{t}" for i, t in enumerate(own)}
+    right |= {1_000 + i: right[450] for i in range(40)}
+    assert {r["page_id"]: r["text"] for r in htmltext.extract(rows).collect()} == right
+    monkeypatch.setattr(htmltext, "BROADCAST_ROWS", 0)
+    assert {r["page_id"]: r["text"] for r in htmltext.extract(rows).collect()} == right
+
+
 def test_repetition_equals_brute_force():
     draw = np.random.default_rng(4)
     tokens, owner = [], []

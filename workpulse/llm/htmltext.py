@@ -3,19 +3,22 @@
 1. A map reads a page's blocks: text between block-level tags, without scripts, styles and forms, and without elements
    whose tag or class says menu, header, footer, sidebar, notice, advert or comments. Blocks inside an article (or else
    the main element) are the page's; without either, all remaining blocks are.
-2. Pages of a host are concatenated as a token stream and their suffixes sorted. Substrings of at least ``LEAST``
-   tokens that occur in several pages of different content are boilerplate; runs of tokens that they cover are removed
-   and unique runs kept. Copies of a page are not boilerplate: pages with the same blocks count once. Articles quote
-   each other, so inside an article element only runs that nearly all of the host's pages have are removed.
+2. Pages of a host are concatenated as a token stream and their suffixes sorted. Runs of ``LEAST`` tokens that occur in
+   several pages of different content are boilerplate; what they cover is removed and unique runs kept. Copies of a
+   page are not boilerplate: pages with the same blocks count once. Articles quote each other, so inside an article
+   element only what nearly all of the host's pages have is removed.
 
-A host with many pages is split into groups by a hash, each with a stream of its own; what stands on all pages of the
-host stands on many of any group.
+A host with many pages is split into groups by a hash of their content, each with a stream of its own. The limits are
+for the whole host: a run on so many of its pages is on two pages of some group, so the groups name the runs that they
+repeat, and all pages are then counted for these.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,9 @@ LEAST, PAGES, SHARE = 8, 3, 0.02
 ORDER = 32
 #: The same inside an article or main element, whose text may quote what others hold: only what nearly all pages have.
 ROOTED_PAGES, ROOTED_SHARE = 20, 0.9
+#: Distinct pages of a group, about. A run on SHARE of a host's pages is on two of some group as long as SHARE * GROUP_PAGES > 2.
 GROUP_PAGES = 160
-#: Hosts of more pages than that, up to which their counts are broadcast rather than joined by a shuffle.
+#: Hosts, or runs of all hosts, up to which they are broadcast rather than joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
@@ -158,41 +162,95 @@ def covered(width: int, often: np.ndarray) -> np.ndarray:
     return np.cumsum(marks[:n]) > 0
 
 
-def unique_text(pages: list[tuple[list[str], bool]]) -> list[str]:
-    """The text of each page of a group: its blocks without the runs that other pages repeat."""
+def words_in(found: list[str]) -> list[str]:
+    return [w for b in found for w in b.split(" ")]
+
+
+def hash64(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+class Runs:
+    """Hashes of the runs of ``LEAST`` tokens of a page, the same in every process."""
+
+    def __init__(self, most_words: int = 500_000):
+        self.words: dict[str, int] = {}
+        self.most_words = most_words
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.words) > self.most_words:
+            self.words.clear()
+        for w in words:
+            if w not in self.words:
+                self.words[w] = hash64(w)
+        n = len(words) - LEAST + 1
+        if n < 1:
+            return np.zeros(0, dtype=np.int64)
+        tokens = np.fromiter((self.words[w] for w in words), dtype=np.int64, count=len(words)).view(np.uint64)
+        sums = np.zeros(n, dtype=np.uint64)
+        for k in range(LEAST):
+            sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
+        return sums.view(np.int64)
+
+
+def repeated_runs(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs that several of the pages (the words of each; no two alike) have, and how many have them."""
     number: dict[str, int] = {}
-    content: dict[tuple, int] = {}
-    distinct: list[int] = []
-    for i, (found, _) in enumerate(pages):
-        key = tuple(found)
-        if key not in content:
-            content[key] = len(distinct)
-            distinct.append(i)
-    stream, owner, edges = [], [], [0]
-    for k, i in enumerate(distinct):
-        for b in pages[i][0]:
-            stream += [number.setdefault(w, len(number)) for w in b.split(" ")]
+    stream, owner, runs, hashed = [], [], [], Runs()
+    for k, words in enumerate(pages):
+        stream += [number.setdefault(w, len(number)) for w in words]
         stream.append(-1 - k)
-        owner += [k] * (len(stream) - edges[-1])
-        edges.append(len(stream))
+        owner += [k] * (len(words) + 1)
+        found = hashed(words)
+        runs.append(np.concatenate([found, np.zeros(len(words) + 1 - len(found), dtype=np.int64)]))
     width, times = repetition(np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64), LEAST)
-    repeated = {r: covered(width, times >= max(least, share * len(distinct))) for r, (least, share) in ((False, (PAGES, SHARE)), (True, (ROOTED_PAGES, ROOTED_SHARE)))}
-    texts = []
-    for k, i in enumerate(distinct):
-        found, rooted = pages[i]
-        mask = repeated[rooted][edges[k] : edges[k + 1] - 1]
-        if not mask.any():
-            texts.append("\n\n".join(found))
-            continue
-        kept, at = [], 0
-        for b in found:
-            words = b.split(" ")
-            left = [w for w, gone in zip(words, mask[at : at + len(words)]) if not gone]
-            at += len(words)
-            if left:
-                kept.append(" ".join(left))
-        texts.append("\n\n".join(kept))
-    return [texts[content[tuple(found)]] for found, _ in pages]
+    assert width == LEAST or not (times > 1).any()
+    often = times > 1
+    distinct, at = np.unique(np.concatenate([*runs, np.zeros(0, dtype=np.int64)])[often], return_index=True)
+    return distinct, times[often][at]
+
+
+def without(found: list[str], rooted: bool, boiler: np.ndarray, hashed: Runs) -> str:
+    """The text of a page without what the runs ``boiler`` (sorted hashes) cover."""
+    words = words_in(found)
+    runs = hashed(words)
+    if not len(boiler) or not (often := boiler[np.minimum(np.searchsorted(boiler, runs), len(boiler) - 1)] == runs).any():
+        return "\n\n".join(found)
+    mask = covered(LEAST, np.concatenate([often, np.zeros(len(words) - len(runs), dtype=bool)]))
+    kept, at = [], 0
+    for b in found:
+        own = b.split(" ")
+        left = [w for w, gone in zip(own, mask[at : at + len(own)]) if not gone]
+        at += len(own)
+        if left:
+            kept.append(" ".join(left))
+    return "\n\n".join(kept)
+
+
+def on_pages(pages: DataFrame, runs: DataFrame, parts: DataFrame, each: Callable, schema: str) -> DataFrame:
+    """``each(pages, runs_of)`` over the pages (Arrow tables); runs_of(host, rooted) are the sorted hashes of ``runs``
+    (host, run, rooted). Few runs are broadcast; many go to the groups of their host, with which pages are cogrouped."""
+
+    def lookup(found: pa.Table) -> Callable[[str, bool], np.ndarray]:
+        hosts, run, rooted = (found.column(c).to_numpy(zero_copy_only=False) for c in ("host", "run", "rooted"))
+        by = np.argsort(hosts.astype(str), kind="stable")
+        names, first = np.unique(hosts[by].astype(str), return_index=True)
+        spans = dict(zip(names.tolist(), np.split(by, first[1:])))
+        sets = {(h, r): np.sort(run[at[rooted[at]] if r else at]) for h, at in spans.items() for r in (False, True)}
+        none = np.zeros(0, dtype=np.int64)
+        return lambda host, is_rooted: sets.get((host, is_rooted), none)
+
+    if runs.count() <= BROADCAST_ROWS:
+        shared = pages.sparkSession.sparkContext.broadcast(runs.select("host", "run", "rooted").toArrow())
+
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            runs_of = lookup(shared.value)
+            for batch in batches:
+                yield from each(pa.Table.from_batches([batch]), runs_of).to_batches()
+
+        return pages.mapInArrow(mapped, schema)
+    spread = runs.join(parts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "run", "rooted")
+    return pages.groupBy("host", "part").cogroup(spread.groupBy("host", "part")).applyInArrow(lambda left, right: each(left, lookup(right)), schema)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -202,29 +260,61 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     counts as one page where repetition is counted. An empty table gives no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    counts = common.written(rows.groupBy(host.alias("host")).agg(F.count("*").alias("n")).where(F.col("n") > GROUP_PAGES), "hosts")
-    if counts.count() <= BROADCAST_ROWS:
-        counts = F.broadcast(counts)
-    groups = F.ceil(F.coalesce("n", F.lit(1)) / GROUP_PAGES)
-    rows = rows.withColumn("host", host).join(counts, "host", "left")
-    rows = rows.select("id", "url", "html", "host", F.pmod(F.xxhash64("id", "url"), groups).alias("part"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host)
     id_type = rows.schema["id"].dataType
     id_arrow, id_sql = to_arrow_type(id_type), id_type.simpleString()
-    parsed = pa.schema([("id", id_arrow), ("url", pa.string()), ("host", pa.string()), ("part", pa.int64()), ("blocks", pa.list_(pa.string())), ("rooted", pa.bool_())])
+    parsed = pa.schema([("id", id_arrow), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("rooted", pa.bool_())])
 
     def start():
-        return lambda row_id, url, page, host, part: (row_id, url, host, part, *blocks(page))
+        def each(row_id, url, page, host):
+            found, rooted = blocks(page)
+            return row_id, url, host, hash64("\n".join(found)), found, rooted
+
+        return each
+
+    read = common.map_rows(rows, f"id {id_sql}, url string, host string, content long, blocks array<string>, rooted boolean", start, parsed)
+    parts = read.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP_PAGES))
+    parts = common.written(parts, "hosts")
+    if parts.count() <= BROADCAST_ROWS:
+        parts = F.broadcast(parts)
+    read = read.join(parts.select("host", "groups"), "host").withColumn("part", F.pmod("content", "groups")).drop("groups")
+
+    def first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One copy of each content a task: many copies of one page don't all go to the task of its group."""
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+            new = [k not in seen and not seen.add(k) for k in keys]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    def named(group: pa.Table) -> pa.Table:
+        distinct = dict(zip(group.column("content").to_pylist(), group.column("blocks").to_pylist()))
+        runs, _ = repeated_runs([words_in(found) for found in distinct.values()])
+        return pa.table([pa.array([group.column("host")[0].as_py()] * len(runs), pa.string()), pa.array(runs)], names=["host", "run"])
+
+    def counted(pages: pa.Table, runs_of) -> pa.Table:
+        hosts, contents, runs, hashed = [], [], [], Runs()
+        for host, content, found in zip(*(pages.column(c).to_pylist() for c in ("host", "content", "blocks"))):
+            hit = np.intersect1d(hashed(words_in(found)), runs_of(host, False))
+            hosts += [host] * len(hit)
+            contents += [content] * len(hit)
+            runs += hit.tolist()
+        return pa.table([pa.array(hosts, pa.string()), pa.array(runs, pa.int64()), pa.array(contents, pa.int64())], names=["host", "run", "content"])
 
-    sql = f"id {id_sql}, url string, host string, part long, blocks array<string>, rooted boolean"
-    read = common.map_rows(rows, sql, start, parsed)
     final = pa.schema([("id", id_arrow), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
-    def kept(group: pa.Table) -> pa.Table:
-        texts = unique_text(list(zip(group.column("blocks").to_pylist(), group.column("rooted").to_pylist())))
-        return pa.table([group.column("id"), group.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=final)
+    def kept(pages: pa.Table, runs_of) -> pa.Table:
+        hashed = Runs()
+        texts = [without(found, rooted, runs_of(host, rooted), hashed) for host, found, rooted in zip(*(pages.column(c).to_pylist() for c in ("host", "blocks", "rooted")))]
+        return pa.table([pages.column("id").cast(id_arrow), pages.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=final)
 
-    out = read.groupBy("host", "part").applyInArrow(kept, f"id {id_sql}, url string, text string, n_chars long")
+    streams = read.select("host", "part", "content", "blocks")
+    streams = streams.mapInArrow(first_copies, streams.schema)
+    candidates = streams.groupBy("host", "part").applyInArrow(named, "host string, run long").distinct().withColumn("rooted", F.lit(False))
+    counts = on_pages(read, common.written(candidates, "candidates"), parts, counted, "host string, run long, content long").distinct().groupBy("host", "run").count().join(parts, "host")
+    least = lambda least, share: F.col("count") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("n"))
+    boiler = counts.where(least(PAGES, SHARE)).select("host", "run", least(ROOTED_PAGES, ROOTED_SHARE).alias("rooted"))
+    out = on_pages(read, common.written(boiler, "boilerplate"), parts, kept, f"id {id_sql}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
