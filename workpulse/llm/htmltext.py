@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -170,38 +171,27 @@ def hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-class Runs:
-    """Hashes of the runs of ``LEAST`` tokens of a page, the same in every process."""
-
-    def __init__(self, most_words: int = 500_000):
-        self.words: dict[str, int] = {}
-        self.most_words = most_words
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.words) > self.most_words:
-            self.words.clear()
-        for w in words:
-            if w not in self.words:
-                self.words[w] = hash64(w)
-        n = len(words) - LEAST + 1
-        if n < 1:
-            return np.zeros(0, dtype=np.int64)
-        tokens = np.fromiter((self.words[w] for w in words), dtype=np.int64, count=len(words)).view(np.uint64)
-        sums = np.zeros(n, dtype=np.uint64)
-        for k in range(LEAST):
-            sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
-        return sums.view(np.int64)
+def run_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of the runs of ``LEAST`` tokens, the same in every process."""
+    n = len(words) - LEAST + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64)
+    tokens = hash_array(np.array(words, dtype=object), categorize=False)
+    sums = np.zeros(n, dtype=np.uint64)
+    for k in range(LEAST):
+        sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
+    return sums.view(np.int64)
 
 
 def repeated_runs(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs that several of the pages (the words of each; no two alike) have, and how many have them."""
     number: dict[str, int] = {}
-    stream, owner, runs, hashed = [], [], [], Runs()
+    stream, owner, runs = [], [], []
     for k, words in enumerate(pages):
         stream += [number.setdefault(w, len(number)) for w in words]
         stream.append(-1 - k)
         owner += [k] * (len(words) + 1)
-        found = hashed(words)
+        found = run_hashes(words)
         runs.append(np.concatenate([found, np.zeros(len(words) + 1 - len(found), dtype=np.int64)]))
     width, times = repetition(np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64), LEAST)
     assert width == LEAST or not (times > 1).any()
@@ -210,11 +200,13 @@ def repeated_runs(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return distinct, times[often][at]
 
 
-def without(found: list[str], rooted: bool, boiler: np.ndarray, hashed: Runs) -> str:
+def without(found: list[str], boiler: np.ndarray) -> str:
     """The text of a page without what the runs ``boiler`` (sorted hashes) cover."""
+    if not len(boiler):
+        return "\n\n".join(found)
     words = words_in(found)
-    runs = hashed(words)
-    if not len(boiler) or not (often := boiler[np.minimum(np.searchsorted(boiler, runs), len(boiler) - 1)] == runs).any():
+    runs = run_hashes(words)
+    if not (often := boiler[np.minimum(np.searchsorted(boiler, runs), len(boiler) - 1)] == runs).any():
         return "\n\n".join(found)
     mask = covered(LEAST, np.concatenate([often, np.zeros(len(words) - len(runs), dtype=bool)]))
     kept, at = [], 0
@@ -293,9 +285,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return pa.table([pa.array([group.column("host")[0].as_py()] * len(runs), pa.string()), pa.array(runs)], names=["host", "run"])
 
     def counted(pages: pa.Table, runs_of) -> pa.Table:
-        hosts, contents, runs, hashed = [], [], [], Runs()
+        hosts, contents, runs = [], [], []
         for host, content, found in zip(*(pages.column(c).to_pylist() for c in ("host", "content", "blocks"))):
-            hit = np.intersect1d(hashed(words_in(found)), runs_of(host, False))
+            named = runs_of(host, False)
+            if not len(named):
+                continue
+            own = run_hashes(words_in(found))
+            hit = np.unique(own[named[np.minimum(np.searchsorted(named, own), len(named) - 1)] == own])
             hosts += [host] * len(hit)
             contents += [content] * len(hit)
             runs += hit.tolist()
@@ -304,8 +300,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     final = pa.schema([("id", id_arrow), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def kept(pages: pa.Table, runs_of) -> pa.Table:
-        hashed = Runs()
-        texts = [without(found, rooted, runs_of(host, rooted), hashed) for host, found, rooted in zip(*(pages.column(c).to_pylist() for c in ("host", "blocks", "rooted")))]
+        texts = [without(found, runs_of(host, rooted)) for host, found, rooted in zip(*(pages.column(c).to_pylist() for c in ("host", "blocks", "rooted")))]
         return pa.table([pages.column("id").cast(id_arrow), pages.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=final)
 
     streams = read.select("host", "part", "content", "blocks")
