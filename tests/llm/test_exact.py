@@ -254,6 +254,21 @@ def test_repeated_runs_go_where_markup_says_nothing(spark):
     assert found == dict(enumerate(own))
 
 
+def test_banners_in_articles_of_small_hosts_go_and_quotations_stay(spark):
+    banner = "read our special report on the harvest and the prices of grain today"
+    quoted = "the minister said that nothing at all would change before the end of the year"
+    own = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(6)]
+    # the banner is a block of half of the pages; four quote within a paragraph, two have the quotation as a block
+    parts = [([banner] if i % 2 else []) + [f"{t} {quoted}" if i < 4 else t] + ([quoted] if i >= 4 else []) for i, t in enumerate(own)]
+    pages = [(i, "https://small.example/", "<article>" + "".join(f"<p>{b}</p>" for b in found) + "</article>") for i, found in enumerate(parts)]
+    pages += [(10 + i, "https://two.example/", f"<article><p>{banner}</p><p>{own[i]}</p></article>") for i in range(2)]
+    found = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    quotes = {i: f"{t} {quoted}" for i, t in enumerate(own) if i < 4}
+    assert {i: found[i] for i in range(4)} == quotes
+    assert all(banner not in found[i] and own[i] in found[i] for i in range(6))
+    assert {i: found[i] for i in (10, 11)} == {10 + i: f"{banner}\n\n{own[i]}" for i in range(2)}
+
+
 def test_limits_are_for_the_whole_host(spark, monkeypatch):
     draw = random.Random(8)
     words = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))

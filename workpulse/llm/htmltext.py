@@ -6,7 +6,7 @@
 2. Pages of a host are concatenated as a token stream and their suffixes sorted. Runs of ``LEAST`` tokens that occur in
    several pages of different content are boilerplate; what they cover is removed and unique runs kept. Copies of a
    page are not boilerplate: pages with the same blocks count once. Articles quote each other, so inside an article
-   element only what nearly all of the host's pages have is removed.
+   element only blocks that such runs cover from end to end, on a large share of the host's pages, are removed.
 
 A host with many pages is split into groups by a hash of their content, each with a stream of its own. The limits are
 for the whole host: a run on so many of its pages is on two pages of some group, so the groups name the runs that they
@@ -33,8 +33,9 @@ from . import common
 LEAST, PAGES, SHARE = 8, 3, 0.02
 #: Suffixes are sorted by so many tokens.
 ORDER = 32
-#: The same inside an article or main element, whose text may quote what others hold: only what nearly all pages have.
-ROOTED_PAGES, ROOTED_SHARE = 20, 0.9
+#: The same inside an article or main element, whose text may quote what others hold. There a block goes only as a whole:
+#: a quotation stands among words of the page's own, or on few pages.
+ROOTED_PAGES, ROOTED_SHARE = 3, 0.4
 #: Distinct pages of a group, about. A run on SHARE of a host's pages is on two of some group as long as SHARE * GROUP_PAGES > 2.
 GROUP_PAGES = 160
 #: Hosts, or runs of all hosts, up to which they are broadcast rather than joined by a shuffle.
@@ -200,7 +201,7 @@ def repeated_runs(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return distinct, times[often][at]
 
 
-def without(found: list[str], boiler: np.ndarray) -> str:
+def without(found: list[str], rooted: bool, boiler: np.ndarray) -> str:
     """The text of a page without what the runs ``boiler`` (sorted hashes) cover."""
     if not len(boiler):
         return "\n\n".join(found)
@@ -212,7 +213,8 @@ def without(found: list[str], boiler: np.ndarray) -> str:
     kept, at = [], 0
     for b in found:
         own = b.split(" ")
-        left = [w for w, gone in zip(own, mask[at : at + len(own)]) if not gone]
+        gone = mask[at : at + len(own)]
+        left = own if rooted and not gone.all() else [w for w, g in zip(own, gone) if not g]
         at += len(own)
         if left:
             kept.append(" ".join(left))
@@ -300,7 +302,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     final = pa.schema([("id", id_arrow), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def kept(pages: pa.Table, runs_of) -> pa.Table:
-        texts = [without(found, runs_of(host, rooted)) for host, found, rooted in zip(*(pages.column(c).to_pylist() for c in ("host", "blocks", "rooted")))]
+        texts = [without(found, rooted, runs_of(host, rooted)) for host, found, rooted in zip(*(pages.column(c).to_pylist() for c in ("host", "blocks", "rooted")))]
         return pa.table([pages.column("id").cast(id_arrow), pages.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=final)
 
     streams = read.select("host", "part", "content", "blocks")
