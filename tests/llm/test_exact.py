@@ -195,7 +195,7 @@ def test_plan_fills_gaps_exactly_before_best_fit():
 
 
 def classes_by_hand(texts: dict, idf) -> dict:
-    vectors = {k: neardup.shingles(neardup.Words().hashes(decontam.normalised(t).split()), idf) for k, t in texts.items() if t is not None}
+    vectors = {k: neardup.shingles(neardup.Words().hashes(t), idf) for k, t in texts.items() if t is not None}
     parent = {k: k for k in texts}
 
     def root(x):

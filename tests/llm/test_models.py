@@ -25,7 +25,9 @@ def held(key, divisor: int) -> int:
 def test_crf_marginals_equal_enumeration():
     draw = np.random.default_rng(0)
     scores, moves, begin = draw.normal(size=(5, 3)), draw.normal(size=(3, 3)), draw.normal(size=3)
-    found, pairs, parts = crf.marginals(scores, np.array([4, 1]), moves, begin)
+    lengths = np.array([4, 1])
+    found, pairs = crf.marginals(scores, lengths, moves, begin)
+    totals = crf.log_totals(*crf.emissions(scores), np.arange(5), lengths, moves, begin)
     total, each, both = 0.0, np.zeros((4, 3)), np.zeros((3, 3))
     for path in itertools.product(range(3), repeat=4):
         p = math.exp(begin[path[0]] + sum(scores[i, s] for i, s in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
@@ -36,11 +38,40 @@ def test_crf_marginals_equal_enumeration():
             both[a, b] += p
     assert np.allclose(found[:4], each / total)
     assert np.allclose(pairs, both / total)
-    assert np.isclose(parts[:4].sum(), math.log(total))
+    assert np.isclose(totals[0], math.log(total))
+
+
+def test_blocks_of_positions_give_the_same_marginals(monkeypatch):
+    draw = np.random.default_rng(3)
+    lengths = draw.integers(1, 60, 100)
+    scores, moves, begin = draw.normal(size=(lengths.sum(), 3)), draw.normal(size=(3, 3)), draw.normal(size=3)
+    whole, total = crf.marginals(scores, lengths, moves, begin), crf.log_totals(*crf.emissions(scores), np.arange(len(scores)), lengths, moves, begin)
+    monkeypatch.setattr(crf.Layout.__init__, "__defaults__", (50,))
+    assert len(crf.Layout(lengths)) > 20
+    parts = crf.marginals(scores, lengths, moves, begin)
+    assert np.allclose(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+    assert np.allclose(total, crf.log_totals(*crf.emissions(scores), np.arange(len(scores)), lengths, moves, begin))
+
+
+def test_forgotten_words_get_the_same_marginals(monkeypatch):
+    draw = np.random.default_rng(4)
+    model = crf.Crf([0, 1], draw.normal(size=(1 << crf.BITS, 2)).astype(np.float32), np.zeros((2, 2), np.float32), np.zeros(2, np.float32))
+    texts = [" ".join("".join(map(chr, draw.integers(97, 123, 4))) for _ in range(400)) for _ in range(20)]
+    whole = list(model.tagged(texts))
+    monkeypatch.setattr(crf, "WORDS_KEPT", 100)
+    monkeypatch.setattr(crf, "TEXT_CHARS", 64)
+    model.forget()
+    parts = list(model.tagged(texts))
+    assert [w for w, _, _ in whole] == [w for w, _, _ in parts]
+    assert all(np.allclose(a[1], b[1], atol=1e-5) for a, b in zip(whole, parts))
+
+
+def test_words_hold_letters_only():
+    assert crf.words_of("½ ② Ⅷ abc x² d'été 日本") == ["abc", "x", "d", "été", "日本"]
 
 
 def test_language_of_held_out_documents(spark, small):
-    truth = {r["doc_id"]: r["lang"] for r in common.table(spark, small, "documents").collect() if r["lang"] and langid.words_of(r["text"])}
+    truth = {r["doc_id"]: r["lang"] for r in common.table(spark, small, "documents").collect() if r["lang"] and crf.words_of(r["text"])}
     rows = langid.op4_language_id(spark, small).collect()
     assert len(rows) == common.table(spark, small, "documents").count()
     tested = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
@@ -51,10 +82,10 @@ def test_language_of_held_out_documents(spark, small):
 
 def test_code_switched_words_get_their_own_language():
     texts = [("the cat sat on the mat with another cat " * 4, "en"), ("der hund lief mit einem anderen hund nach haus " * 4, "de")]
-    sequences, labels = langid.training_sequences(texts, 300)
+    sequences, labels = langid.training_sequences(texts)
     model = crf.fit(sequences, labels)
     words = "the cat sat on the mat der hund lief nach haus".split()
-    found, _ = model.marginals_of([model.sequence_rows(words)])
+    [(_, found, _)] = model.tagged([" ".join(words)])
     assert [labels[i] for i in found.argmax(axis=1)] == ["en"] * 6 + ["de"] * 5
 
 

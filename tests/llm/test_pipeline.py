@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import corpus_pipeline
-from workpulse.llm import common, langid, neardup, secrets
+from workpulse.llm import common, crf, langid, neardup, secrets
 
 from .test_exact import classes_by_hand, leaks_by_hand, packed_rightly, texts_of
 
@@ -19,7 +19,7 @@ def test_no_document_with_a_language_is_lost(spark, small):
     assert {found[-i]["score"] < 0.5 for i in range(1, len(mixed) + 1)} == {True}
     kept = {r["doc_id"] for r in langid.keep_known(given, model).collect()}
     assert kept == {k for k, r in found.items() if r["lang_pred"] != langid.UNKNOWN}
-    assert kept == {r["doc_id"] for r in given.collect() if langid.words_of(r["text"])}
+    assert kept == {r["doc_id"] for r in given.collect() if crf.words_of(r["text"])}
 
 
 def mixed_texts(docs, words: int = 60) -> list[str]:
@@ -42,8 +42,8 @@ def test_stages(spark, small):
             given, kept = ({r["doc_id"]: r.asDict() for r in d.collect()} for d in (before, after))
             assert set(kept) <= set(given)
         if i == 0:
-            assert all(langid.words_of(r["text"]) for r in kept.values())
-            clean = [k for k, r in given.items() if r["lang"] and len(langid.words_of(r["text"])) >= 20]
+            assert all(crf.words_of(r["text"]) for r in kept.values())
+            clean = [k for k, r in given.items() if r["lang"] and len(crf.words_of(r["text"])) >= 20]
             assert len(set(clean) - set(kept)) <= 0.02 * len(clean)
         if i == 1:
             folded = before.where("text is not null").groupBy("text").count().select("text", "count")

@@ -6,12 +6,17 @@ the work nor clash with a column that is added.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +31,52 @@ def id_remainder(ids: Column, divisor: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves
+    a local master; on a cluster that would be another folder on each machine, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='workpulse-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; set it to a folder that the driver and all executors share")
+        folder = _local_folder()
     return folder.rstrip("/")
 
 
-def batch_bytes(spark: SparkSession, n: int) -> None:
-    """Arrow batches between executors and their Python workers hold about ``n`` bytes from now on: where texts are
-    long, this bounds the memory of both."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n))
+@functools.cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='workpulse-')}"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, n: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of about ``n`` bytes between executors and their Python workers for what runs inside, so that long
+    texts don't fill either; the session's own setting holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def byte_slices(batch: pa.RecordBatch, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows that hold about ``size`` bytes of text at most, or one row."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at, ends = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        before = ends[at] - sizes[at]
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def texts_of(batch: pa.RecordBatch, column: int) -> Iterator[str | None]:
+    """A column's texts, few of them as Python objects at a time."""
+    for part in byte_slices(batch.select([column])):
+        yield from part.column(0).to_pylist()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -81,18 +120,17 @@ def rows_out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def map_rows(
-    df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple]], arrow: pa.Schema, slice_rows: int = 512
+    df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple]], arrow: pa.Schema
 ) -> DataFrame:
     """One output row for each input row: ``start()`` runs once a task and returns the function of a row's values.
 
-    Batches are cut into slices of ``slice_rows`` rows, so a task holds few rows as Python objects at a time.
+    Batches are cut into slices of few rows and bytes, so a task holds little as Python objects at a time.
     """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for part in byte_slices(batch):
                 values = [column.to_pylist() for column in part.columns]
                 yield rows_out([each(*row) for row in zip(*values)], arrow)
 
@@ -100,7 +138,7 @@ def map_rows(
 
 
 def map_whole_rows(
-    df: DataFrame, text_col: str, start: Callable[[], Callable[[list[str | None]], tuple[list[bool], dict[str, list]]]], slice_rows: int = 512
+    df: DataFrame, text_col: str, start: Callable[[], Callable[[list[str | None]], tuple[list[bool], dict[str, list]]]]
 ) -> DataFrame:
     """Rows of ``df``, all columns, filtered and edited by their texts alone: the function that ``start()`` returns
     gives which rows stay, and new values of the columns that change. Nothing is shuffled."""
@@ -110,8 +148,7 @@ def map_whole_rows(
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for part in byte_slices(batch):
                 keep, changed = judge(part.column(at_text).to_pylist())
                 for name, values in changed.items():
                     i = part.schema.get_field_index(name)

@@ -9,6 +9,7 @@ the words' places in the text; both are needed only in texts with a match.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ WINDOW = 10
 #: Normalised item text in one automaton. A larger benchmark is split and each part scanned in its own pass.
 AUTOMATON_BYTES = 32 << 20
 
+#: Bytes of text that are cut into words together.
+TEXT_BYTES = 1 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -28,10 +31,21 @@ _HIT = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.strin
 _HIT_SQL = "array<struct<first:int,last:int,item:string>>"
 
 
+def word_lists(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in order, those of about ``TEXT_BYTES`` bytes of it at a time; no word is cut."""
+    body, at = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE), 0
+    while len(body) - at > TEXT_BYTES:
+        gap = body.find(b" ", at + TEXT_BYTES)
+        stop = len(body) if gap < 0 else gap
+        yield body[at:stop].split()
+        at = stop
+    yield body[at:].split()
+
+
 def normalised(text: str | None) -> bytes:
     """The words, each between single spaces; a single space if there are none."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-    return b" " + b" ".join(words) + b" " if words else b" "
+    parts = [b" ".join(words) for words in word_lists(text) if words]
+    return b" " + b" ".join(parts) + b" " if parts else b" "
 
 
 def windows(item: bytes, width: int) -> set[bytes]:

@@ -8,7 +8,7 @@ map over whole texts.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,36 +21,21 @@ from . import common, crf
 
 #: Labelled documents that the model is fitted on, at most; the ones with the smallest hashes of their ids.
 SAMPLE_DOCS = 600
-#: Words of a sampled document that go into training sequences, drawn over its whole length.
-SAMPLE_WORDS = 300
 UNKNOWN = "und"
-#: Characters of text that go through forward-backward together.
-SLICE_CHARS = 12_000_000
 
 
-def lowered(text: str) -> str:
-    """Lower case, with characters whose lower case is longer left alone, so that offsets hold."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
-def words_of(text: str | None) -> list[str]:
-    return crf.WORD.findall(lowered(text or ""))
-
-
-def training_sequences(rows: list[tuple[str, str]], words_each: int, seed: int = 7) -> tuple[list[tuple[list[str], list[int]]], list[str]]:
+def training_sequences(rows: list[tuple[str, str]], seed: int = 7) -> tuple[list[tuple[list[str], list[int]]], list[str]]:
     """Pieces of 10 to 40 words, some of them joined with a piece of another document, so that transitions between
     languages are seen as well as those within one."""
     labels = sorted({lang for _, lang in rows})
     draw = random.Random(seed)
     pieces = []
     for text, lang in rows:
-        words = words_of(text)
-        starts = list(range(0, len(words), 30))
-        draw.shuffle(starts)
-        for at in starts[: max(1, words_each // 30)]:
-            if part := words[at : at + draw.randint(10, 40)]:
-                pieces.append((part, [labels.index(lang)] * len(part)))
+        words = crf.words_of(text)
+        at = 0
+        while part := words[at : at + draw.randint(10, 40)]:
+            pieces.append((part, [labels.index(lang)] * len(part)))
+            at += len(part)
     draw.shuffle(pieces)
     third = len(pieces) // 3
     mixed = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(pieces[:third], pieces[third : 2 * third])]
@@ -64,28 +49,17 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     """
     rows = docs.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = common.bounded_sample(rows.where("text is not null and lang is not null"), "key", sample_docs)
-    sequences, labels = training_sequences([(r["text"], r["lang"]) for r in rows.collect()], SAMPLE_WORDS)
+    sequences, labels = training_sequences([(r["text"], r["lang"]) for r in rows.collect()])
     return crf.fit(sequences, labels) if sequences else None
 
 
-def slices(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Ids and texts, about ``chars`` characters at a time."""
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // chars
-        edges = [0, *(np.nonzero(np.diff(sizes))[0] + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
-
-
-def languages_of(tagger: crf.Crf | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
-    """Each text's language, its score, and the mean marginals of all languages; ``und``, 0 and none where it has no word."""
-    langs, scores, means = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-    sequences = [tagger.sequence_rows(words_of(t)) for t in texts] if tagger is not None else []
-    if full := [i for i, s in enumerate(sequences) if s]:
-        found, starts = tagger.marginals_of([sequences[i] for i in full])
-        mean = np.add.reduceat(found, starts, axis=0) / np.array([len(sequences[i]) for i in full])[:, None]
-        for i, best, m in zip(full, mean.argmax(axis=1), mean):
+def languages_of(tagger: crf.Crf | None, texts: Iterable[str | None], n: int) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
+    """The language of each of ``n`` texts, its score, and the mean marginals of all languages; ``und``, 0 and none where
+    it has no word."""
+    langs, scores, means = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
+    for which, found, starts in tagger.tagged(texts) if tagger is not None else ():
+        mean = np.add.reduceat(found, starts, axis=0, dtype=np.float64) / np.diff(np.append(starts, len(found)))[:, None]
+        for i, best, m in zip(which, mean.argmax(axis=1), mean):
             langs[i], scores[i] = tagger.labels[best], min(1.0, float(m[best]))
             means[i] = list(zip(tagger.labels, map(float, m)))
     return langs, scores, means
@@ -94,8 +68,9 @@ def languages_of(tagger: crf.Crf | None, texts: list[str | None]) -> tuple[list[
 def predict(docs: DataFrame, model: crf.Crf | None, id_col: str = "doc_id", text_col: str = "text", shares: bool = False) -> DataFrame:
     """Per document: id, lang_pred and score; with ``shares``, also each language's mean marginal as a map.
 
-    A null text, or one without a letter, is ``und`` with score 0, and so is every text where there is no model. Of
-    languages with equal means the first by name is taken. A repeated row gives a row each; an empty table none.
+    A null or empty text, or one without a letter, is ``und`` with score 0, and so is every text where there is no
+    model. A very long text is judged whole, in blocks of words with the state carried on. Of languages with equal means
+    the first by name is taken. A repeated row gives a row each; an empty table none.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -105,35 +80,37 @@ def predict(docs: DataFrame, model: crf.Crf | None, id_col: str = "doc_id", text
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for ids, texts in slices(batches, SLICE_CHARS):
-            langs, scores, means = languages_of(tagger, texts)
-            arrays = [ids.cast(id_arrow), pa.array(langs, pa.string()), pa.array(scores)]
+        for batch in batches:
+            langs, scores, means = languages_of(tagger, common.texts_of(batch, 1), batch.num_rows)
+            arrays = [batch.column(0).cast(id_arrow), pa.array(langs, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(means, arrow.field("shares").type)] * shares if shares else arrays, schema=arrow)
 
     sql = f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double" + ", shares map<string,double>" * shares
     return rows.mapInArrow(predicted, sql).withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, model: crf.Crf | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, for whose text ``predict`` names a language. How evenly languages share a text
-    doesn't matter: text that is in several of them stays."""
+def keep_known(docs: DataFrame, model: crf.Crf | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, for whose text ``predict`` names a language; where ``lang_col`` is null it gets
+    that language. How evenly languages share a text doesn't matter: text that is in several of them stays.
+
+    Texts that are null, empty or without a letter go, and all rows where there is no model. Very long texts are judged
+    whole, in bounded memory. Of languages with equal means the first by name is taken. A repeated row stays as often as
+    it is given; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+    at_lang = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
-    def start():
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-
-        def judge(texts):
-            keep, at, size = [], 0, 0
-            for i, t in enumerate(texts, 1):
-                size += len(t or "")
-                if size >= SLICE_CHARS or i == len(texts):
-                    keep += [lang != UNKNOWN for lang in languages_of(tagger, texts[at:i])[0]]
-                    at, size = i, 0
-            return keep, {}
-
-        return judge
-
-    return common.map_whole_rows(docs, text_col, start, 8192)
+        for batch in batches:
+            langs = pa.array(languages_of(tagger, common.texts_of(batch, at_text), batch.num_rows)[0], pa.string())
+            if at_lang is not None:
+                filled = pc.coalesce(batch.column(at_lang), langs.cast(batch.column(at_lang).type))
+                batch = batch.set_column(at_lang, batch.schema.field(at_lang), filled)
+            yield batch.filter(pc.not_equal(langs, UNKNOWN))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

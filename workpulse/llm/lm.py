@@ -11,13 +11,15 @@ a hash of their affixes, the unknown word by itself: the model's tables have a f
 2. Counts by word are summed over blocks and joined back to the blocks' vocabularies: exact counts over all training
    documents, with rows for a block's different words rather than for its tokens.
 3. A block's documents meet its vocabulary: base scores, class sequences.
-4. Baum-Welch: each pass over all training documents sums expected counts by class in the tasks, then by Spark.
+4. Baum-Welch: each pass over all training documents, whole ones, sums expected counts by class in the tasks, then by
+   Spark. Passes end when the likelihood hardly grows.
 5. The scaled forward recursion gives each document's exact likelihood.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,26 +32,26 @@ from pyspark.sql import functions as F
 from . import common, crf
 
 STATES = 6
-PASSES = 2
+#: Passes of Baum-Welch over all training documents, at most; it ends before where a pass gains so few nats a token.
+PASSES, LEAST_GAIN = 3, 0.02
 HASHES = 1 << 14
 CLASSES = 2 * HASHES + 1
 UNKNOWN_CLASS = 2 * HASHES
 OWN_CLASS = 2e-6
 SMOOTH = 0.1
 #: A block ends after so many tokens or different words.
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 800_000
-#: Tokens that go through the recursion together.
-SLICE_TOKENS = 500_000
-#: In training, longer sequences are learnt from in pieces of so many tokens, all of them.
-PIECE_TOKENS = 512
-#: Training documents that the states are started from, at most, and passes over them on the driver.
-START_DOCS, START_PASSES = 300, 12
+BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 200_000
+#: Bytes of text that are cut into words together.
+TEXT_BYTES = 1 << 20
+#: Tokens that go through the recursion together. A longer sequence goes alone, in blocks with the state carried on.
+SLICE_TOKENS = 1 << 19
 #: Tokens of a class at which half its emission is its own and half the base's.
 PRIOR_TOKENS = 20.0
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a text as a word; no word holds a space.
 END = b" "
+_SPACE = re.compile(rb"\s")
 
 _NUMBERED = pa.schema([
     ("block", pa.int64()), ("key", pa.string()), ("train", pa.bool_()), ("words", pa.list_(pa.int32())),
@@ -58,8 +60,19 @@ _NUMBERED = pa.schema([
 _NUMBERED_SQL = "block long, key string, train boolean, words array<int>, word binary, local int, n long, whole int, affix int"
 
 
+def word_lists(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, about ``TEXT_BYTES`` bytes of it at a time, and its end as the last word."""
+    body, at = (text or "").encode("utf-8", "replace").translate(_LOWER), 0
+    while len(body) - at > TEXT_BYTES:
+        gap = _SPACE.search(body, at + TEXT_BYTES)
+        stop = gap.start() if gap else len(body)
+        yield body[at:stop].split()
+        at = stop
+    yield [*body[at:].split(), END]
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "replace").translate(_LOWER).split(), END]
+    return [w for part in word_lists(text) for w in part]
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -83,32 +96,42 @@ def numbered(rows: DataFrame) -> DataFrame:
                 arrays = [pa.array(np.full(n, block)), *none, pa.array(part, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(counts[at : at + n]), pa.array(whole), pa.array(affix)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_NUMBERED)
 
+        def documents(keys: list[str], trains: list[bool], sequences: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal counts
+            if len(counts) < len(known):
+                counts = np.concatenate([counts, np.zeros(len(known), dtype=np.int64)])
+            if learn := [s for s, t in zip(sequences, trains) if t]:
+                counts[: len(known)] += np.bincount(np.concatenate(learn), minlength=len(known))
+            n = len(sequences)
+            flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sequences)]).astype(np.int32), np.concatenate(sequences))
+            none = [pa.nulls(n, t) for t in (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(keys, pa.string()), pa.array(trains, pa.bool_()), flat, *none], schema=_NUMBERED)
+
+        def numbers(text: str | None) -> np.ndarray:
+            """Word numbers of a text, without a list of all its words."""
+            parts = []
+            for words in word_lists(text):
+                found = list(map(known.get, words))
+                if None in found:
+                    found = [known.setdefault(w, len(known)) for w in words]
+                parts.append(np.array(found, dtype=np.int32))
+            return np.concatenate(parts)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                keys, trains, texts = batch.slice(at, 512).columns
-                sequences, learn = [], []
-                for train, text in zip(trains.to_pylist(), texts.to_pylist()):
-                    found = []
-                    for w in words_of(text):
-                        i = known.get(w)
-                        if i is None:
-                            i = known[w] = len(known)
-                        found.append(i)
-                    sequences.append(np.array(found, dtype=np.int32))
-                    tokens += len(found)
-                    if train:
-                        learn.append(sequences[-1])
-                if len(counts) < len(known):
-                    counts = np.concatenate([counts, np.zeros(len(known), dtype=np.int64)])
-                if learn:
-                    counts[: len(known)] += np.bincount(np.concatenate(learn), minlength=len(known))
-                n = len(sequences)
-                flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sequences)]).astype(np.int32), np.concatenate(sequences))
-                none = [pa.nulls(n, t) for t in (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), keys, trains, flat, *none], schema=_NUMBERED)
-                if tokens > BLOCK_TOKENS or len(known) > BLOCK_WORDS:
-                    yield from vocabulary()
-                    block, known, counts, tokens = block + 1, {}, counts[:0], 0
+            for part in common.byte_slices(batch):
+                keys, trains, sequences = [], [], []
+                for key, train, text in zip(*(c.to_pylist() for c in part.columns)):
+                    keys.append(key)
+                    trains.append(train)
+                    sequences.append(numbers(text))
+                    tokens += len(sequences[-1])
+                    if tokens > BLOCK_TOKENS or len(known) > BLOCK_WORDS:
+                        yield from documents(keys, trains, sequences)
+                        yield from vocabulary()
+                        keys, trains, sequences = [], [], []
+                        block, known, counts, tokens = block + 1, {}, counts[:0], 0
+                if keys:
+                    yield from documents(keys, trains, sequences)
         yield from vocabulary()
 
     return rows.mapInArrow(number, _NUMBERED_SQL)
@@ -119,37 +142,52 @@ class Model:
 
     def __init__(self, emissions: np.ndarray, transitions: np.ndarray, begin: np.ndarray):
         self.emissions, self.transitions, self.begin = emissions, transitions, begin
+        self.emit, self.top = crf.emissions(emissions)
 
-    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of (class, state), (state, state) and first states over the sequences, none of them empty."""
+    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of (class, state), (state, state) and first states over the sequences, none of them empty,
+        and the sequences' log likelihood. Sequences are learnt from whole."""
         states = len(self.begin)
-        emit, move, first = np.zeros((CLASSES, states)), np.zeros((states, states)), np.zeros(states)
-        table = self.emissions.astype(np.float32)
-        for part in sliced([s[i : i + PIECE_TOKENS] for s in sequences for i in range(0, len(s), PIECE_TOKENS)]):
+        emit, move, first, total = np.zeros((CLASSES, states)), np.zeros((states, states)), np.zeros(states), 0.0
+        table, transitions, begin = (x.astype(np.float32) for x in (self.emit, self.transitions, self.begin))
+        for part in sliced(sequences):
             tokens = np.concatenate(part)
             lengths = np.array([len(s) for s in part], dtype=np.int64)
-            found, pairs, _ = crf.marginals(table[tokens], lengths, self.transitions.astype(np.float32), self.begin.astype(np.float32))
-            for s in range(states):
-                emit[:, s] += np.bincount(tokens, found[:, s], CLASSES)
-            move += pairs
-            first += found[np.cumsum(lengths) - lengths].sum(axis=0)
-        return emit, move, first
+            starts = np.zeros(len(tokens), dtype=bool)
+            starts[np.cumsum(lengths) - lengths] = True
+            totals: list[float] = []
+            for at, found, pairs in crf.marginal_blocks(table, tokens, lengths, transitions, begin, totals):
+                classes = tokens[at].astype(np.int64)
+                for s in range(states):
+                    emit[:, s] += np.bincount(classes, found[s], CLASSES)
+                move += pairs
+                first += found[:, starts[at]].sum(axis=1, dtype=np.float64)
+            total += sum(totals) + float(self.top[tokens].sum())
+        return emit, move, first, total
 
     def log_likelihoods(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Natural logarithms, by the scaled forward recursion in double precision."""
-        out = []
+        out = np.empty(len(sequences))
+        order = by_length(sequences)
+        at = 0
         for part in sliced(sequences):
+            tokens = np.concatenate(part)
             lengths = np.array([len(s) for s in part], dtype=np.int64)
-            *_, parts = crf.forward(self.emissions[np.concatenate(part)], lengths, self.transitions, self.begin, keep=False)
-            out.append(np.add.reduceat(parts, np.cumsum(lengths) - lengths))
-        return np.concatenate(out) if out else np.empty(0)
+            out[order[at : at + len(part)]] = crf.log_totals(self.emit, self.top, tokens, lengths, self.transitions, self.begin)
+            at += len(part)
+        return out
+
+
+def by_length(sequences: list[np.ndarray]) -> np.ndarray:
+    return np.argsort([-len(s) for s in sequences], kind="stable")
 
 
 def sliced(sequences: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The sequences, longest first, about ``SLICE_TOKENS`` tokens at a time: sequences of like lengths take few steps."""
     part, tokens = [], 0
-    for s in sequences:
-        part.append(s)
-        tokens += len(s)
+    for i in by_length(sequences):
+        part.append(sequences[i])
+        tokens += len(sequences[i])
         if tokens >= SLICE_TOKENS:
             yield part
             part, tokens = [], 0
@@ -172,19 +210,16 @@ def maximised(emit: np.ndarray, move: np.ndarray, first: np.ndarray, base: np.nd
     return Model(np.maximum(logs, -700), np.log(move / move.sum(axis=1, keepdims=True)), np.log(first / first.sum()))
 
 
-def started(sequences: list[np.ndarray], base: np.ndarray, states: int, passes: int) -> Model:
-    """A model from a few documents: states begin as the base with random tilts and tend to stay."""
+def tilted(base: np.ndarray, states: int) -> Model:
+    """Where Baum-Welch starts: states are the base with random tilts and tend to stay."""
     tilt = np.exp(np.random.default_rng(5).normal(0, 0.5, (CLASSES, states)))
     sticky = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * 0.9
-    model = maximised(base[:, None] * tilt * 1e6, sticky * 1e4, np.ones(states), base)
-    for _ in range(passes if sequences else 0):
-        model = maximised(*model.expected(sequences), base)
-    return model
+    return maximised(base[:, None] * tilt * 1e6, sticky * 1e4, np.ones(states), base)
 
 
-def baum_welch(sequences: DataFrame, model: Model, base: np.ndarray) -> Model:
+def baum_welch(sequences: DataFrame, model: Model, base: np.ndarray) -> tuple[Model, float]:
     """One pass over all training rows of ``sequences`` (classes): counts are summed by task, then over tasks by class,
-    so that what reaches the driver has the size of the model."""
+    so that what reaches the driver has the size of the model. Returns also the log likelihood under ``model``."""
     states = len(model.begin)
     shared = sequences.sparkSession.sparkContext.broadcast(model)
     names = [f"s{i}" for i in range(states)]
@@ -193,18 +228,31 @@ def baum_welch(sequences: DataFrame, model: Model, base: np.ndarray) -> Model:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            found = shared.value.expected(from_bytes(batch.column(0)))
-            total = found if total is None else tuple(a + b for a, b in zip(total, found))
+            for part in common.byte_slices(batch, 1 << 20, 8 << 20):
+                found = shared.value.expected(from_bytes(part.column(0)))
+                total = found if total is None else tuple(a + b for a, b in zip(total, found))
         if total is not None:
-            every = np.concatenate([total[0], total[1], total[2][None]])
+            every = np.concatenate([total[0], total[1], total[2][None], np.full((1, states), total[3])])
             rows = np.nonzero(every.any(axis=1))[0]
             yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32))] + [pa.array(every[rows, i]) for i in range(states)], schema=schema)
 
     rows = sequences.where("train").select("classes").mapInArrow(counted, "row int, " + ", ".join(f"{x} double" for x in names))
-    every = np.zeros((CLASSES + states + 1, states))
+    every = np.zeros((CLASSES + states + 2, states))
     for r in rows.groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).toPandas().to_numpy():
         every[int(r[0])] = r[1:]
-    return maximised(every[:CLASSES], every[CLASSES : CLASSES + states], every[-1], base)
+    return maximised(every[:CLASSES], every[CLASSES : CLASSES + states], every[-2], base), float(every[-1, 0])
+
+
+def trained(sequences: DataFrame, base: np.ndarray, states: int, passes: int, least_gain: float) -> Model:
+    """Passes over all training documents until one gains less than ``least_gain`` nats a token, ``passes`` at most."""
+    model, before = tilted(base, states), -np.inf
+    tokens = sequences.where("train").agg(F.sum("n_tokens")).first()[0] or 0
+    for _ in range(passes if tokens else 0):
+        model, likelihood = baum_welch(sequences, model, base)
+        if (likelihood - before) / tokens < least_gain:
+            break
+        before = likelihood
+    return model
 
 
 def from_bytes(column: pa.Array) -> list[np.ndarray]:
@@ -217,13 +265,13 @@ def score_documents(
     """Per document: id, train, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     ``train`` says which rows are learnt from; a null counts as false. A null or empty text has one token, its end. A
-    repeated row is a document of its own, in training too. An empty table gives no rows; without training rows every
+    very long text is learnt from and scored whole, in blocks with the state carried on. A repeated row is a document of its own, in training too. An empty table gives no rows; without training rows every
     token is unknown and has probability 1. Ids come back as given, by their text.
     """
-    common.batch_bytes(docs.sparkSession, 16 << 20)
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.to_json(F.struct(F.col(id_col).alias("id"))).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
-    both = common.written(numbered(rows), "numbered")
+    with common.small_batches(docs.sparkSession):
+        both = common.written(numbered(rows), "numbered")
     vocabulary = both.where("word is not null").select("block", "local", "word", "n", "whole", "affix")
     totals = vocabulary.groupBy("word").agg(F.sum("n").alias("c"), F.first("whole").alias("whole"), F.first("affix").alias("affix"))
     size = vocabulary.agg(F.sum("n")).first()[0] or 0
@@ -270,20 +318,16 @@ def score_documents(
     common.remove_written(looked_up)
     common.remove_written(both)
 
-    first = common.bounded_sample(sequences.where("train").select("key", "classes"), "key", START_DOCS)
-    model = started([np.frombuffer(r["classes"], dtype=np.uint16) for r in first.collect()], base, states, START_PASSES)
-    for _ in range(passes if size else 0):
-        model = baum_welch(sequences, model, base)
-
+    model = trained(sequences, base, states, passes, LEAST_GAIN)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     schema = "key string, train boolean, n_tokens long, n_known long, base_score double, score double"
 
     def scored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = shared.value.log_likelihoods(from_bytes(batch.column(6))) / np.log(10) + batch.column(5).to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array(found)], ["key", "train", "n_tokens", "n_known", "base_score", "score"])
+            for part in common.byte_slices(batch, 1 << 20, 8 << 20):
+                found = shared.value.log_likelihoods(from_bytes(part.column(6))) / np.log(10) + part.column(5).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(5)] + [pa.array(found)], ["key", "train", "n_tokens", "n_known", "base_score", "score"])
 
     found = sequences.mapInArrow(scored_rows, schema)
     ids = F.from_json("key", f"id {id_type.simpleString()}")["id"]

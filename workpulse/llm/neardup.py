@@ -7,9 +7,9 @@ words. Document frequencies are counted over all documents in a table of fixed s
 2. Each text gets ``BANDS * ROWS`` consistent samples; ``ROWS`` of them make a band, and texts that share a band meet.
 3. Texts of a bucket are verified against one of them, another one in each band, not against each other: as many pairs
    as texts. Weighted Jaccard similarity is worked out from the whole texts.
-4. Texts that a bucket holds together but that are not linked yet are compared too, in blocks of bounded size and
-   over different components only, after a sketch of the samples has ruled out the pairs that can't be similar. So
-   every colliding pair of similar texts ends in one class, and only links leave a task.
+4. Texts that a bucket holds together but that are not linked yet are compared too, over different components only: a
+   sketch of the samples, in blocks of bounded size, rules out the pairs that can't be similar, and texts are fetched
+   for the pairs that are left. So every colliding pair of similar texts ends in one class.
 5. Connected components of the links are the classes; labels travel by joins until nothing changes.
 """
 
@@ -20,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from xxhash import xxh3_64_intdigest as hashed
+
 from . import common, decontam
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
-#: Cells of the document-frequency table.
-CELLS = 1 << 16
+#: Cells of the document-frequency table: words share one by the first bits of their numbers.
+CELL_BITS = 20
+CELLS = 1 << CELL_BITS
 #: Least share of equal sketch bytes: 0.8 less over three standard deviations of 48 samples.
 SKETCH_LEAST = 0.58
 #: Shingles that are sampled together; bounds memory for very long texts.
@@ -49,25 +52,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
-    """Numbers of words: a 64-bit hash, kept while there is room."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+class Words(dict):
+    """Numbers of words, 64-bit hashes, kept while there is room."""
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = hashed(word)
+        return h
 
-        known, hashed = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = hashed(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+    def hashes(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words, in order, without a list of all of them."""
+        parts = []
+        for words in decontam.word_lists(text):
+            parts.append(np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words)))
+            if len(self) > WORDS_KEPT:
+                self.clear()
+        return np.concatenate(parts)
 
 
 def shingles(hashes: np.ndarray, idf: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +78,7 @@ def shingles(hashes: np.ndarray, idf: np.ndarray, width: int = WIDTH) -> tuple[n
     m = n - width + 1
     total = np.zeros(m, dtype=np.uint64)
     weight = np.zeros(m)
-    each = idf[(hashes >> np.uint64(48)).astype(np.int64)]
+    each = idf[(hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
     for i in range(width):
         total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + m]
         weight += each[i : i + m]
@@ -175,24 +174,22 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         total = np.zeros(CELLS, dtype=np.int64)
         docs = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for text, n in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist()):
+            for part in common.byte_slices(batch):
+                for text, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     docs += n
-                    different = list(set(decontam.normalised(text).split()))
-                    if different:
-                        total[np.unique((words.hashes(different) >> np.uint64(48)).astype(np.int64))] += n
+                    total[np.unique((words.hashes(text) >> np.uint64(64 - CELL_BITS)).astype(np.int64))] += n
         rows = np.nonzero(total)[0].astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(rows, np.int32(-1)), pa.int32()), pa.array(np.append(total[rows], docs))], schema=schema)
 
     summed = texts.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     total = np.zeros(CELLS + 1, dtype=np.int64)
-    for r in summed.collect():  # at most CELLS + 1 rows
-        total[r["cell"]] = r["n"]
+    found = summed.toPandas()  # at most CELLS + 1 rows of two numbers
+    total[found["cell"]] = found["n"]
     return total[:CELLS], int(total[-1])
 
 
 def inverse(frequencies: np.ndarray, docs: int) -> np.ndarray:
-    return np.log((docs + 1) / (np.minimum(frequencies, docs) + 1)) + 1
+    return (np.log((docs + 1) / (np.minimum(frequencies, docs) + 1)) + 1).astype(np.float32)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -203,12 +200,13 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
         words, weights = Words(), idf.value
         held: tuple = (None, None)
         for batch in batches:
-            keep = []
-            for at, (b, text_a, text_b) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
-                if held[0] != b:
-                    held = (b, shingles(words.hashes(decontam.normalised(text_b).split()), weights))
-                keep.append(similarity(shingles(words.hashes(decontam.normalised(text_a).split()), weights), held[1]) >= threshold)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            for part in common.byte_slices(batch):
+                keep = []
+                for b, text_a, text_b in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                    if held[0] != b:
+                        held = (b, shingles(words.hashes(text_b), weights))
+                    keep.append(similarity(shingles(words.hashes(text_a), weights), held[1]) >= threshold)
+                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     first = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
@@ -248,79 +246,54 @@ def sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(near, "a binary, b binary")
 
 
-def block_links(rows: DataFrame, sampled: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between the components of each bucket in ``rows`` (band, bucket, a, label, n).
+def block_pairs(rows: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Pairs (a, b) between different components of each bucket in ``rows`` (band, bucket, a, label, n) that the sketches
+    don't rule out and that no earlier band holds together: each pair once. Texts don't come here.
 
-    A bucket is cut into blocks, and each two blocks are one group of at most about ``2 * BLOCK`` texts, whatever the
-    bucket's size. A group emits only links that join components, never its pairs: the likeliest pairs are verified
-    first, and pairs that are joined by then, or that an earlier band holds together, are passed over.
+    A bucket is cut into blocks, and each two blocks are one group of at most about ``2 * BLOCK`` samples, whatever the
+    bucket's size.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("a"), blocks).cast("int")})
-    rows = rows.select("band", "bucket", "a", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.join(sampled.withColumnRenamed("digest", "a"), "a")
+    rows = rows.select("band", "bucket", "a", "label", "bands", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    rows = rows.join(sampled.withColumnRenamed("digest", "a"), "a").join(texts.withColumnRenamed("digest", "a"), "a")
 
-    def linked(group: pa.Table) -> pa.Table:
-        digests, labels, blocks, texts = (group.column(c).to_pylist() for c in ("a", "label", "block", "text"))
+    def paired(group: pa.Table) -> pa.Table:
+        digests, labels, blocks = (group.column(c).to_pylist() for c in ("a", "label", "block"))
         n, band = len(digests), group.column("band")[0].as_py()
         bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)[:, :band]
         sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1)
         label = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
         block = np.array(blocks)
         inner = len(set(blocks)) == 1
-        likely: list[tuple[float, int, int]] = []
+        found: list[tuple[bytes, bytes]] = []
         for x in range(n - 1) if label.any() else ():
             rest = slice(x + 1, n)
-            apart = (label[rest] != label[x]) & (inner | (block[rest] != block[x])) & ~(bands[rest] == bands[x]).any(axis=1)
-            share = (sketches[rest] == sketches[x]).mean(axis=1)
-            likely += [(-share[k], x, x + 1 + k) for k in np.nonzero(apart & (share >= SKETCH_LEAST))[0]]
-        words, weights, known, parent = Words(), idf.value, {}, {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = x = parent.get(parent[x], parent[x])
-            return x
-
-        def vector(x: int):
-            if x not in known:
-                known[x] = shingles(words.hashes(decontam.normalised(texts[x]).split()), weights)
-            return known[x]
-
-        found = []
-        for _, x, y in sorted(likely):
-            p, q = root(label[x]), root(label[y])
-            if p != q and similarity(vector(x), vector(y)) >= threshold:
-                parent[p] = q
-                found.append((digests[x], digests[y]))
+            apart = (label[rest] != label[x]) & (inner | (block[rest] != block[x]))
+            close = apart & ((sketches[rest] == sketches[x]).mean(axis=1) >= SKETCH_LEAST)
+            if close.any():
+                close &= ~(bands[rest] == bands[x]).any(axis=1)
+                found += [(digests[x], digests[x + 1 + k]) for k in np.nonzero(close)[0]]
         return pa.table([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
 
-    return rows.groupBy("band", "bucket", "i", "j").applyInArrow(linked, "a binary, b binary")
+    return rows.groupBy("band", "bucket", "i", "j").applyInArrow(paired, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document row: id, class_id (the smallest id of its class) and n_texts, the different texts of the class.
-
-    Words are runs of ASCII letters, digits and all other characters from U+0080, in lower case. A text of one to four
-    words is one shingle. A text without a word, or null, is like nothing else: its class is its own id. Exact copies
-    and repeated rows share a class. Of equal candidates for a bucket's first text the smallest hash is taken, so
-    results don't depend on partitions. An empty table gives no rows. A null id counts in its class, but names it only
-    if all its ids are null.
-    """
-    spark = docs.sparkSession
-    common.batch_bytes(spark, 16 << 20)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    folded = rows.where("text is not null").groupBy(digest.alias("digest")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("text").alias("text"))
+def labelled_texts(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``rows`` (id, text): the different texts (digest, id, n, text), the samples of those with words (digest, bands,
+    sketch), and the components (node, label) of similar ones."""
+    spark = rows.sparkSession
+    folded = rows.where("text is not null").groupBy(digest_of("text").alias("digest")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("text").alias("text"))
     texts = common.written(folded, "texts")
     idf = spark.sparkContext.broadcast(inverse(*document_frequencies(texts.select("text", "n"))))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = Words(), idf.value
-        for batch in batches:
+        for part in (part for batch in batches for part in common.byte_slices(batch)):
             digests, bands, sketches = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, w = shingles(words.hashes(decontam.normalised(text).split()), weights)
+            for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                keys, w = shingles(words.hashes(text), weights)
                 if len(keys):
                     found = samples(keys, w)
                     digests.append(d)
@@ -347,24 +320,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = met.join(labels.withColumnRenamed("node", "a"), "a", "left").select("band", "bucket", "a", F.coalesce("label", "a").alias("label"))
     sizes = named.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     open_rows = common.written(named.join(sizes.select("band", "bucket", "n"), ["band", "bucket"]), "open")
-    more = common.written(block_links(open_rows, sampled, near, idf, threshold), "links")
-    final = components(links.unionAll(more))
+    more = common.written(verified(common.written(block_pairs(open_rows, sampled), "pairs"), near, idf, threshold), "links")
+    return texts, sampled, components(links.unionAll(more))
+
+
+def digest_of(text: str | Column) -> Column:
+    return F.unhex(F.md5((F.col(text) if isinstance(text, str) else text).cast("string").cast("binary")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep_digest: bool = False) -> DataFrame:
+    """Per document row: id, class_id (the smallest id of its class) and n_texts, the different texts of the class.
+
+    Words are runs of ASCII letters, digits and all other characters from U+0080, in lower case. A text of one to four
+    words is one shingle. A text without a word, or null, is like nothing else: its class is its own id. Very long texts
+    are compared whole. Exact copies and repeated rows share a class. Of equal candidates for a bucket's first text the
+    smallest hash is taken, so results don't depend on partitions. An empty table gives no rows. A null id counts in its
+    class, but names it only if all its ids are null.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    with common.small_batches(docs.sparkSession):
+        texts, sampled, final = labelled_texts(rows, threshold)
 
     ids = texts.select("digest", "id").join(sampled.select("digest"), "digest")
     named = ids.join(final.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "id", F.coalesce("label", "digest").alias("label"))
     classes = named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("n_texts"))
-    by_digest = common.written(named.join(classes, "label").select("digest", "class_id", "n_texts"), "classes")
-    keyed = rows.select("id", digest.alias("digest"))
+    by_digest = common.written(named.join(classes, "label").select("digest", "label", "class_id", "n_texts"), "classes")
+    keyed = rows.select("id", digest_of("text").alias("digest"))
     out = keyed.join(by_digest, "digest", "left")
-    named_class = F.when(F.col("n_texts").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    alone = F.col("n_texts").isNull()
+    if keep_digest:  # and a key of the class that isn't null: texts without a word are by id and digest
+        own = F.concat_ws("/", F.lit("own"), F.to_json(F.struct("id")), F.hex("digest"))
+        return out.select("id", "digest", F.when(alone, own).otherwise(F.hex("label")).alias("class_key"))
+    named_class = F.when(alone, F.col("id")).otherwise(F.col("class_id"))
     return out.select(F.col("id").alias(id_col), named_class.alias("class_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each class: the one with the smallest id. Rows that
-    share an id are taken for one document; a null id is an id like others."""
-    kept = near_duplicates(docs, id_col, text_col, threshold).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs``, all columns, with one document of each class: of those with its smallest id, the one whose
+    text has the smallest digest.
+
+    Documents are told apart by id and text, and a null id is an id like others. A document without a word, or with a
+    null text, is its own class. Of repeated rows of a document the smallest by all columns stays. An empty table gives
+    no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    classes = near_duplicates(rows, "id", "text", threshold, keep_digest=True)
+    document = F.struct(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    kept = classes.groupBy("class_key", document.alias("document")).agg(F.count("*").alias("times"))
+    kept = kept.groupBy("class_key").agg(F.min_by(F.struct("document", "times"), F.struct(F.col("document.kept_id").isNull(), "document")).alias("first"))
+    kept = common.written(kept.select("first.document.*", "first.times"), "kept")
+    same = lambda k: docs[id_col].eqNullSafe(k["kept_id"]) & digest_of(docs[text_col]).eqNullSafe(k["kept_digest"])
+    once, often = kept.where("times = 1"), kept.where("times > 1")
+    repeated = docs.join(often, same(often), "left_semi")
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    folded = repeated.groupBy(F.col(id_col).alias("k"), digest_of(text_col).alias("d")).agg(F.min_by(every, F.to_json(every)).alias("row")).select("row.*")
+    return docs.join(once, same(once), "left_semi").unionByName(folded)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

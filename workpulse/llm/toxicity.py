@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import common, crf, langid
+from . import common, crf
 
 #: Labelled documents of each class that the model is fitted on, at most; the ones with the smallest hashes of ids.
 SAMPLE_DOCS = 1200
@@ -40,7 +40,7 @@ def cues(rows: list[tuple[str, int]], least_docs: int = 4, least_share: float =
     docs = [0, 0]
     held: dict[tuple[int, int], set[str]] = {}
     for text, toxic in rows:
-        words = langid.words_of(text)
+        words = crf.words_of(text)
         held.setdefault((toxic, copy_key(words)), set()).update(words)
     for (toxic, _), words in held.items():
         counts[toxic].update(words | {w[:k] + "*" for w in words for k in (4, 5) if len(w) > k})
@@ -67,11 +67,6 @@ class Model:
     def __init__(self, tagger: crf.Crf, curve: np.ndarray):
         self.tagger, self.curve = tagger, curve
 
-    def tag(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Toxic marginals of the words of the texts (each with words), one after another, and where each begins."""
-        found, starts = self.tagger.marginals_of([self.tagger.sequence_rows(t) for t in texts])
-        return found[:, 1].astype(np.float64), starts
-
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.curve, -30, 30)))
 
@@ -87,21 +82,20 @@ def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, ste
 
 
 def fit_model(rows: list[tuple[str, int]]) -> Model | None:
-    rows = [(t, y) for t, y in rows if langid.words_of(t)]
+    rows = [(t, y) for t, y in rows if crf.words_of(t)]
     if len({y for _, y in rows}) < 2:
         return None
     found = cues(rows)
     sequences = []
     for text, toxic in rows:
-        words = langid.words_of(text)
+        words = crf.words_of(text)
         marks = marked(words, found) if toxic else [0] * len(words)
         for at in range(0, len(words), 60):  # all pieces of toxic documents with a mark, some of the others
             if any(marks[at : at + 60]) or at // 60 % 4 == 0:
                 sequences.append((words[at : at + 60], marks[at : at + 60]))
     model = Model(crf.fit(sequences, [0, 1], steps=40), np.zeros(3))
-    toxic, starts = model.tag([langid.words_of(t) for t, _ in rows])
-    labels = np.array([y for _, y in rows], dtype=float)
-    model.curve = fit_curve(document_features(toxic, starts), labels)
+    features = [document_features(found[:, 1].astype(np.float64), starts) for _, found, starts in model.tagger.tagged(t for t, _ in rows)]
+    model.curve = fit_curve(np.concatenate(features), np.array([y for _, y in rows], dtype=float))
     return model
 
 
@@ -135,22 +129,19 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for ids, texts in langid.slices(batches, langid.SLICE_CHARS):
-            scores, spans = np.zeros(len(texts)), [[] for _ in texts]
+        for batch in batches:
+            scores, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             if tagger is not None:
-                words = [langid.words_of(t) for t in texts]
                 scores[:] = tagger.score(np.array([[1.0, 0.0, 0.0]]))[0]
-                full = [i for i, w in enumerate(words) if w]
-                if full:
-                    toxic, starts = tagger.tag([words[i] for i in full])
-                    scores[full] = tagger.score(document_features(toxic, starts))
+                for which, found, starts in tagger.tagger.tagged(common.texts_of(batch, 1)):
+                    toxic = found[:, 1].astype(np.float64)
+                    scores[which] = tagger.score(document_features(toxic, starts))
                     if with_spans:
-                        for i, at in zip(full, starts):
-                            p = toxic[at : at + len(words[i])]
+                        for i, p in zip(which, np.split(toxic, starts[1:])):
                             if p.max() >= 0.5:
-                                places = [m.span() for m in crf.WORD.finditer(langid.lowered(texts[i]))]
+                                places = [m.span() for m in crf.WORD.finditer(crf.lowered(batch.column(1)[i].as_py()))]
                                 spans[i] = [{"start": places[j][0], "end": places[j][1], "marginal": float(p[j])} for j in np.nonzero(p >= 0.5)[0]]
-            arrays = [ids.cast(id_arrow), pa.array(scores)] + ([pa.array(spans, pa.list_(span))] if with_spans else [])
+            arrays = [batch.column(0).cast(id_arrow), pa.array(scores)] + ([pa.array(spans, pa.list_(span))] if with_spans else [])
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     sql = f"id {rows.schema['id'].dataType.simpleString()}, score double" + ", spans array<struct<start:long,end:long,marginal:double>>" * with_spans
