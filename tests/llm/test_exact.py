@@ -74,6 +74,25 @@ def test_several_automata_give_the_same_rows(spark, small):
     assert rows_of(decontam.drop_leaks(docs, items)) == rows_of(decontam.drop_leaks(docs, items, automaton_bytes=1000))
 
 
+def test_runs_of_item_words_equal_windows():
+    """Few different words, so that windows overlap, repeat and nearly match in every way."""
+    draw = random.Random(11)
+    for width in (1, 2, 3, 4, 7, 10):
+        text = lambda n: " ".join(draw.choices("ab", k=n))
+        items = [(str(i), text(draw.randint(0, 3 * width))) for i in range(6)]
+        found = decontam.Items(items, width)
+        for _ in range(30):
+            body = text(draw.randint(0, 60))
+            words = body.split()
+            right = set()
+            for name, item in items:
+                own = item.split()
+                size = min(width, len(own))
+                for i in range(len(own) - size + 1) if own else ():
+                    right |= {(name, j + k) for j in range(len(words) - size + 1) if words[j : j + size] == own[i : i + size] for k in range(size)}
+            assert {(n, k) for a, b, n in found.scan(decontam.normalised(body)) for k in range(a, b + 1)} == right, (width, items, body)
+
+
 def test_leak_offsets_point_into_the_original(spark):
     docs = spark.createDataFrame([(1, "Ünrelated — THE  Quick, brown fox jumps; over")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "the quick brown fox")], "item_id long, text string")
@@ -140,6 +159,37 @@ def test_random_strings_are_novel_at_every_length():
     assert secrets.novel_spans(known, [], novelty, 0.72, 1_000) == []
 
 
+def test_keys_of_letters_alone_are_found_and_long_words_are_not():
+    draw, novelty = random.Random(9), secrets.Novelty()
+    keys = ["".join(draw.choices(string.ascii_letters, k=24)) for _ in range(50)] + ["".join(draw.choices(string.ascii_lowercase, k=40)) for _ in range(50)]
+    caught = [secrets.novel_spans(f"the bearer {k} was used", [], novelty, 0.72, 40) == [("novel", 11, 11 + len(k))] for k in keys]
+    assert sum(caught) >= 0.8 * len(keys)
+    for word in ("responsibilities", "internationalization", "Rechtsschutzversicherung", "TelecommunicationsInfrastructure", "anticonstitutionnellement", "1234567890123456"):
+        assert secrets.novel_spans(f"the bearer {word} was used", [], novelty, 0.72, 40) == []
+
+
+def test_added_spans_equal_brute_force(spark, small):
+    """Every token near a sensitive word, judged by itself: all its runs, in pieces, without the bookkeeping of the scan."""
+    novelty = secrets.Novelty()
+    docs = {r["doc_id"]: r["text"] or "" for r in common.table(spark, small, "documents").collect()}
+    docs |= {-1: "Bearer " + "x9Qw7LpZ" * 3 + "0123456789abcdef01234567" + "Yt5RmK2vB8nC4dFg" + " end", -2: "secret: " + "Zx81" * 4 + " api key kQ93mfLw02Xc7vBn5Ty1 and token"}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for r in secrets.find_secrets(frame).collect():
+        text, taken = docs[r["doc_id"]], {i for s in r["found"] if s["kind"] != "novel" for i in range(s["start"], s["end"])}
+        right = set()
+        for token in secrets._TOKEN.finditer(text):
+            near = [w.end() for w in secrets._CONTEXT.finditer(text) if w.end() <= token.start() <= w.end() + 40]
+            for run in secrets._KEY.finditer(text, *token.span()) if near else ():
+                a, b = run.span()
+                if b - a < secrets.SHORTEST or all(i in taken for i in range(a, b) if text[i].isalnum()):
+                    continue
+                step = secrets.PIECE // 2
+                parts = [(a, b)] if b - a <= secrets.PIECE else [(i, i + secrets.PIECE) for i in [*range(a, b - secrets.PIECE, step), b - secrets.PIECE]]
+                if any(not secrets.is_plain(text[i:j]) and novelty(text, i, j) >= 0.72 for i, j in parts):
+                    right.add(token.span())
+        assert {(s["start"], s["end"]) for s in r["found"] if s["kind"] == "novel"} >= right, r["doc_id"]
+
+
 def test_redaction():
     assert secrets.redact("ab SECRET1 cd", [("hex", 3, 10)]) == "ab [SECRET] cd"
     assert secrets.redact("abcdefgh", [("hex", 1, 4), ("assign", 3, 6)]) == "a[SECRET]gh"
@@ -293,7 +343,47 @@ def test_repetition_equals_brute_force():
         tokens += [*draw.integers(0, 3, 60).tolist(), -1 - k]
         owner += [k] * 61
     tokens, owner = np.array(tokens), np.array(owner)
-    width, times = htmltext.repetition(tokens, owner, 4)
-    for i in range(len(tokens)):
-        key = tuple(tokens[i : i + width])
-        assert times[i] == len({owner[j] for j in range(len(tokens)) if tuple(tokens[j : j + width]) == key})
+    for least in (3, 4, 7):
+        times = htmltext.repetition(tokens, owner, least)
+        for i in range(len(tokens) - least):
+            key = tuple(tokens[i : i + least])
+            assert times[i] == len({owner[j] for j in range(len(tokens) - least + 1) if tuple(tokens[j : j + least]) == key})
+
+
+def test_pages_equal_brute_force(spark, small):
+    """The query against counts of all runs of eight words by host, made without suffixes, groups or hashes."""
+    sf = small.replace("0.001", "0.01")
+    pages = {r["page_id"]: r for r in common.table(spark, sf, "pages").collect()}
+    read = {k: htmltext.blocks(r["html"]) for k, r in pages.items()}
+    host = lambda k: (pages[k]["url"] or "").split("://")[-1].split("/")[0].lower()
+    runs = lambda words: [tuple(words[i : i + htmltext.LEAST]) for i in range(len(words) - htmltext.LEAST + 1)]
+    contents: dict = {}
+    for k, (found, _) in read.items():
+        contents.setdefault(host(k), set()).add(tuple(found))
+    counts: dict = {}
+    for h, every in contents.items():
+        for found in every:
+            for run in set(runs(htmltext.words_in(list(found)))):
+                counts[h, run] = counts.get((h, run), 0) + 1
+    rows = {r["page_id"]: r for r in htmltext.op7_html_extraction(spark, sf).collect()}
+    repeated = 0
+    for k, (found, kinds) in read.items():
+        words, n = htmltext.words_in(found), len(contents[host(k)])
+        inside = {True: set(), False: set()}
+        for i, run in enumerate(runs(words)):
+            for rooted, pages_, share in ((False, htmltext.PAGES, htmltext.SHARE), (True, htmltext.ROOTED_PAGES, htmltext.ROOTED_SHARE)):
+                if counts[host(k), run] >= max(pages_, share * n):
+                    inside[rooted].update(range(i, i + htmltext.LEAST))
+        place = next((p for p in "21" if p in kinds), "0")
+        at, kept = 0, []
+        for b, kind in zip(found, kinds):
+            own = range(at, at + len(b.split(" ")))
+            at = own.stop
+            if kind == place:
+                gone = inside[place != "0"]
+                left = [words[i] for i in own if not (set(own) <= gone if place != "0" else i in gone)]
+                kept += [" ".join(left)] * bool(left)
+        assert rows[k]["text"] == "\n\n".join(kept), k
+        assert rows[k]["n_chars"] == len(rows[k]["text"]) and len(words) == rows[k]["n_repeated"] + rows[k]["n_marked"] + len(rows[k]["text"].split())
+        repeated += rows[k]["n_repeated"] > 0
+    assert repeated > 0

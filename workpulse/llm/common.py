@@ -79,6 +79,17 @@ def texts_of(batch: pa.RecordBatch, column: int) -> Iterator[str | None]:
         yield from part.column(0).to_pylist()
 
 
+_KEPT: dict[str, object] = {}
+
+
+def once(token: str, build: Callable[[], object]):
+    """What ``build`` makes, made once by a worker process and kept for its next tasks until another token comes."""
+    if token not in _KEPT:
+        _KEPT.clear()
+        _KEPT[token] = build()
+    return _KEPT[token]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read again.
 

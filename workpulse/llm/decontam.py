@@ -1,14 +1,17 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the test items, one scan of each text.
 
 Normalisation works on UTF-8 bytes: A-Z are lowered and every ASCII byte that isn't a letter or digit becomes a space
-(bytes from 0x80 belong to words). A window of words with a space on either side is then a plain substring, and the
-automaton finds all windows of all items at once. Word numbers come from counting spaces, and original offsets from
-the words' places in the text; both are needed only in texts with a match.
+(bytes from 0x80 belong to words). Words with a space on either side are then a plain substring. Items are cut into
+blocks of half a window; every window holds one of them whole, so the automaton has the items' text once rather than
+once for each window that overlaps it. A match is extended word by word on both sides against its item: a run of a
+window's length or more is made of occurrences of windows, a shorter one of none. Original offsets come from the words'
+places in the text, and are needed only in texts with a run.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Normalised item text in one automaton. A larger benchmark is split and each part scanned in its own pass.
-AUTOMATON_BYTES = 32 << 20
+#: Normalised item text in one automaton, about 50 bytes of memory each. A larger benchmark is split, each part is
+#: scanned in its own pass, and the rows are written between passes, so that a worker has one automaton at a time.
+AUTOMATON_BYTES = 2 << 20
 
 #: Bytes of text that are cut into words together.
 TEXT_BYTES = 1 << 20
@@ -48,38 +52,52 @@ def normalised(text: str | None) -> bytes:
     return b" " + b" ".join(parts) + b" " if parts else b" "
 
 
-def windows(item: bytes, width: int) -> set[bytes]:
-    words = item.split()
-    if not words:
-        return set()
-    return {b" " + b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))}
-
-
-def automaton(items: list[tuple[str, str]], width: int):
-    """Matches carry (characters, words, item ids)."""
-    import ahocorasick
-
-    owners: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for window in windows(normalised(text), width):
-            owners.setdefault(window, set()).add(item)
-    found = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        found.add_word(window.decode("latin-1"), (len(window), window.count(b" ") - 1, tuple(sorted(ids))))
-    if owners:
-        found.make_automaton()
-    return found if owners else None
-
-
-def scan(norm: bytes, found) -> list[tuple[int, int, str]]:
-    """(first word, last word, item) of every occurrence."""
-    if found is None:
-        return []
-    matches = [(end - chars + 1, words, ids) for end, (chars, words, ids) in found.iter(norm.decode("latin-1"))]
-    if not matches:
-        return []
-    before = np.cumsum(np.frombuffer(norm, dtype=np.uint8) == 32)
-    return [(int(before[at]) - 1, int(before[at]) + words - 2, item) for at, words, ids in matches for item in ids]
+class Items:
+    """The automaton of some items, and their words."""
+
+    def __init__(self, items: list[tuple[str, str]], width: int):
+        import ahocorasick
+
+        self.width, self.half = width, (width + 1) // 2
+        same: dict[bytes, bytes] = {}
+        self.words = [tuple(same.setdefault(w, w) for part in word_lists(text) for w in part) for _, text in items]
+        self.names = [item for item, _ in items]
+        owners: dict[bytes, list[tuple[int, int]]] = {}
+        for i, words in enumerate(self.words):
+            step = self.half if len(words) >= width else len(words)
+            for at in range(0, len(words) - step + 1, step or 1) if words else ():
+                owners.setdefault(b" " + b" ".join(words[at : at + step]) + b" ", []).append((i, at))
+        self.found = ahocorasick.Automaton()
+        for block, places in owners.items():
+            self.found.add_word(block.decode("latin-1"), (len(block), block.count(b" ") - 1, places))
+        if owners:
+            self.found.make_automaton()
+        self.empty = not owners
+
+    def scan(self, norm: bytes) -> Iterator[tuple[int, int, str]]:
+        """(first word, last word, item) of every run of words that windows of the item cover."""
+        if self.empty:
+            return
+        words = before = None
+        done: dict[tuple[int, int], int] = {}  # by item and diagonal, the word at which its last run ends
+        for end, (chars, size, places) in self.found.iter(norm.decode("latin-1")):
+            if words is None:
+                words = norm.split()
+                before = np.cumsum(np.frombuffer(norm, dtype=np.uint8) == 32)
+            first = int(before[end - chars + 1]) - 1
+            for i, at in places:
+                if done.get((i, first - at), 0) > first:
+                    continue
+                item = self.words[i]
+                left, right = first, first + size
+                shift = at - first
+                while left > 0 and left + shift > 0 and words[left - 1] == item[left + shift - 1]:
+                    left -= 1
+                while right < len(words) and right + shift < len(item) and words[right] == item[right + shift]:
+                    right += 1
+                done[i, first - at] = right
+                if right - left >= min(self.width, len(item)):
+                    yield left, right - 1, self.names[i]
 
 
 def merged(hits: list[dict]) -> list[tuple[int, int]]:
@@ -114,8 +132,8 @@ def find_leaks(
     points of the original text, end exclusive), runs of words that lie in an occurrence of a window.
 
     Null texts and texts of separators have no words and no hits; so have items, which then match nothing. An item
-    with a null id is left out, as it can't be named; items that repeat count once. A repeated document row gives a
-    row each. Empty tables give no rows or no hits. The scan is a map: no shuffle, and no text leaves its task.
+    with a null id is left out, as it can't be named; items that repeat count once. Very long texts are scanned whole. A
+    repeated document row gives a row each. Empty tables give no rows or no hits. The scan is a map: no shuffle, and no text leaves its task.
     """
     spark = docs.sparkSession
     items, parts = test_items(benchmark, item_col, item_text_col, automaton_bytes)
@@ -141,18 +159,20 @@ def find_leaks(
         shared = spark.sparkContext.broadcast(part_of(items, part, parts))
         last = part == parts - 1
 
-        def start(shared=shared, last=last):
-            found = automaton(shared.value, width)
+        def start(shared=shared, last=last, token=uuid.uuid4().hex):
+            found = common.once(token, lambda: Items(shared.value, width))
 
             def each(row_id, text, hits):
                 norm = normalised(text)
-                hits = (hits or []) + [{"first": a, "last": b, "item": i} for a, b, i in scan(norm, found)]
+                hits = (hits or []) + [{"first": a, "last": b, "item": i} for a, b, i in found.scan(norm)]
                 return summary(row_id, text, norm, hits) if last else (row_id, text, hits)
 
             return each
 
         sql = f"id {id_sql}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>" if last else f"id {id_sql}, text string, hits {_HIT_SQL}"
         rows = common.map_rows(rows, sql, start, final if last else between)
+        if not last:
+            rows = common.written(rows, "hits")
     return rows.withColumnRenamed("id", id_col)
 
 
@@ -160,17 +180,22 @@ def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     width: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of an item; one pass for each automaton."""
+    """The rows of ``docs``, all columns, that hold no window of an item; one pass for each automaton.
+
+    Null and empty texts hold none and stay. Very long texts are scanned whole. Items with a null id or text are left
+    out. A repeated row stays as often as it is given; an empty table gives no rows, an empty benchmark all of them.
+    """
     items, parts = test_items(benchmark, item_col, item_text_col, automaton_bytes)
     for part in range(parts):
         shared = docs.sparkSession.sparkContext.broadcast(part_of(items, part, parts))
 
-        def start(shared=shared):
-            found = automaton(shared.value, width)
-            clean = lambda text: found is None or next(found.iter(normalised(text).decode("latin-1")), None) is None
-            return lambda texts: ([clean(t) for t in texts], {})
+        def start(shared=shared, token=uuid.uuid4().hex):
+            found = common.once(token, lambda: Items(shared.value, width))
+            return lambda texts: ([next(found.scan(normalised(t)), None) is None for t in texts], {})
 
         docs = common.map_whole_rows(docs, text_col, start)
+        if part < parts - 1:
+            docs = common.written(docs, "clean")
     return docs
 
 

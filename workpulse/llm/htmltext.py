@@ -1,12 +1,15 @@
-"""Main text of web pages: markup decides what it can, a suffix array of each host's pages the rest.
-
-1. A map reads a page's blocks: text between block-level tags, without scripts, styles and forms, and without elements
-   whose tag or class says menu, header, footer, sidebar, notice, advert or comments. Blocks inside an article (or else
-   the main element) are the page's; without either, all remaining blocks are.
-2. Pages of a host are concatenated as a token stream and their suffixes sorted. Runs of ``LEAST`` tokens that occur in
-   several pages of different content are boilerplate; what they cover is removed and unique runs kept. Copies of a
-   page are not boilerplate: pages with the same blocks count once. Articles quote each other, so inside an article
-   element only blocks that such runs cover from end to end, on a large share of the host's pages, are removed.
+"""Main text of web pages: a suffix array of each host's pages finds what pages share, markup hints at the rest.
+
+1. A map reads a page's blocks: all text between block-level tags but scripts, styles and the like, each with where it
+   stands (in an article, in the main element, elsewhere) and whether a tag or class hints that it isn't the article's
+   (menu, header, footer, sidebar, notice, advert, form, comments).
+2. Pages of a host, all blocks of them, are concatenated as a token stream and its suffixes sorted. Neighbours with a
+   common prefix of ``LEAST`` tokens or more are occurrences of one run; a run that occurs in several pages of different
+   content is boilerplate. Copies of a page are not: pages with the same blocks count once.
+3. What such runs cover is removed and unique runs are kept. Articles quote each other, so inside an article or main
+   element only blocks that runs on a large share of the host's pages cover from end to end go.
+4. What repetition can't know, since it is on one page only, goes by markup: hinted blocks such as reader comments, and
+   blocks outside the article where there is one.
 
 A host with many pages is split into groups by a hash of their content, each with a stream of its own. The limits are
 for the whole host: a run on so many of its pages is on two pages of some group, so the groups name the runs that they
@@ -30,9 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import common
 
 #: Tokens of the shortest substring that counts, different pages it must occur in, and its share of a group's pages.
-LEAST, PAGES, SHARE = 8, 3, 0.02
-#: Suffixes are sorted by so many tokens.
-ORDER = 32
+LEAST, PAGES, SHARE = 6, 3, 0.02
 #: The same inside an article or main element, whose text may quote what others hold. There a block goes only as a whole:
 #: a quotation stands among words of the page's own, or on few pages.
 ROOTED_PAGES, ROOTED_SHARE = 3, 0.4
@@ -49,7 +50,7 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
     "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
 }
-_SKIPPED = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "svg", "canvas", "object", "audio", "video", "map"}
+_HINTS = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "svg", "canvas", "object", "audio", "video", "map"}
 #: Parts of class, id and role values that mark what isn't the article.
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
@@ -61,25 +62,27 @@ _MARKS = re.compile(
 _CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
-def blocks(page: str | None) -> tuple[list[str], bool]:
-    """The candidate blocks in page order, and whether they come from an article or main element."""
+def blocks(page: str | None) -> tuple[list[str], str]:
+    """The blocks in page order, and a character for each: ``h`` where markup hints that it isn't the article's, else 2
+    in an article, 1 in the main element, 0 elsewhere."""
     page = page or ""
-    found: tuple[list[str], ...] = ([], [], [])  # outside, in main, in an article
-    stack: list[tuple[str, bool, int]] = []  # tag, skipped, level
-    skipped, level, at = False, 0, 0
+    found: list[str] = []
+    kinds: list[str] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, hinted, level
+    hinted, level, at = False, 0, 0
     buffer: list[str] = []
 
     def flush() -> None:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                found[level].append(text)
+                found.append(text)
+                kinds.append("h" if hinted else str(level))
             buffer.clear()
 
     while at < len(page):
         m = _TAG.search(page, at)
-        if not skipped:
-            buffer.append(page[at : m.start() if m else len(page)])
+        buffer.append(page[at : m.start() if m else len(page)])
         if not m:
             break
         at = m.end()
@@ -96,7 +99,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    skipped, level = stack[-1][1:] if stack else (False, 0)
+                    hinted, level = stack[-1][1:] if stack else (False, 0)
                     break
             continue
         if tag in _RAW:
@@ -107,22 +110,21 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             continue
         if block and stack and stack[-1][0] in _CLOSED_BY and ((by := _CLOSED_BY[stack[-1][0]]) is None or tag in by):
             stack.pop()
-            skipped, level = stack[-1][1:] if stack else (False, 0)
+            hinted, level = stack[-1][1:] if stack else (False, 0)
         marks = " ".join(a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])) if m[3] else ""
-        out = skipped or tag in _SKIPPED or (tag == "header" and level < 2) or (tag not in ("html", "body", "article", "main") and bool(marks) and bool(_MARKS.search(marks)))
+        out = hinted or tag in _HINTS or (tag == "header" and level < 2) or (tag not in ("html", "body", "article", "main") and bool(marks) and bool(_MARKS.search(marks)))
         out = out or (tag == "article" and "comment" in marks.lower())
-        if out and not skipped:
+        if out and not hinted:
             flush()
         inside = 2 if tag == "article" else 1 if tag == "main" or "main" in marks.split() else 0
-        skipped, level = out, max(level, inside)
-        stack.append((tag, skipped, level))
+        hinted, level = out, max(level, inside)
+        stack.append((tag, hinted, level))
     flush()
-    kept = next((i for i in (2, 1) if found[i]), 0)
-    return found[kept], kept > 0
+    return found, "".join(kinds)
 
 
 def suffix_order(tokens: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Positions sorted by their next ``order`` tokens (prefix doubling), and the ranks by 1, 2, 4, ... tokens."""
+    """Positions sorted by their next ``order`` tokens or more (prefix doubling), and the ranks by 1, 2, 4, ... tokens."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     ranks = [(1, rank)]
@@ -137,23 +139,38 @@ def suffix_order(tokens: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple
         rank[place] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         width *= 2
         ranks.append((width, rank))
-        if rank[place[-1]] == n - 1:
-            break
     return place, ranks
 
 
-def repetition(tokens: np.ndarray, owner: np.ndarray, least: int) -> tuple[int, np.ndarray]:
-    """A length of at least ``least`` tokens, and for each position how many different owners have the substring of
-    that length that begins there. ``tokens`` end each page with a token of its own, so none crosses a page's end."""
+def common_prefixes(place: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """For each suffix but the first in order, the tokens that it shares with the one before, as far as they are sorted."""
+    n = len(place)
+    a, b, length = place[:-1].copy(), place[1:].copy(), np.zeros(n - 1, dtype=np.int64)
+    for width, rank in ranks[::-1]:
+        inside = (a < n) & (b < n)
+        same = np.zeros(n - 1, dtype=bool)
+        same[inside] = rank[a[inside]] == rank[b[inside]]
+        same &= np.maximum(a, b) + width <= n
+        length[same] += width
+        a[same] += width
+        b[same] += width
+    return length
+
+
+def repetition(tokens: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray:
+    """For each position, how many different owners have the substring of ``least`` tokens that begins there.
+    ``tokens`` end each page with a token of its own, so none crosses a page's end. Longer repeats are made of these."""
     n = len(tokens)
     if not n:
-        return least, np.zeros(0, dtype=np.int64)
-    place, ranks = suffix_order(tokens, ORDER)
-    width, rank = next((r for r in ranks if r[0] >= least), (least, np.arange(n)))
-    by = np.lexsort((owner[place], rank[place]))
-    ranked, owned = rank[place][by], owner[place][by]
-    new = np.concatenate([[True], (ranked[1:] != ranked[:-1]) | (owned[1:] != owned[:-1])])
-    return width, np.bincount(ranked[new], minlength=n)[rank]
+        return np.zeros(0, dtype=np.int64)
+    place, ranks = suffix_order(tokens, least)
+    run = np.cumsum(np.concatenate([[0], common_prefixes(place, ranks) < least]))  # neighbours that share the prefix
+    owned = owner[place]
+    by = np.lexsort((owned, run))
+    new = np.concatenate([[True], (run[by][1:] != run[by][:-1]) | (owned[by][1:] != owned[by][:-1])])
+    out = np.empty(n, dtype=np.int64)
+    out[place] = np.bincount(run[by][new], minlength=n)[run]
+    return out
 
 
 def covered(width: int, often: np.ndarray) -> np.ndarray:
@@ -194,31 +211,42 @@ def repeated_runs(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         owner += [k] * (len(words) + 1)
         found = run_hashes(words)
         runs.append(np.concatenate([found, np.zeros(len(words) + 1 - len(found), dtype=np.int64)]))
-    width, times = repetition(np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64), LEAST)
-    assert width == LEAST or not (times > 1).any()
+    times = repetition(np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64), LEAST)
     often = times > 1
     distinct, at = np.unique(np.concatenate([*runs, np.zeros(0, dtype=np.int64)])[often], return_index=True)
     return distinct, times[often][at]
 
 
-def without(found: list[str], rooted: bool, boiler: np.ndarray) -> str:
-    """The text of a page without what the runs ``boiler`` (sorted hashes) cover."""
-    if not len(boiler):
-        return "\n\n".join(found)
-    words = words_in(found)
+def lying_in(words: list[str], boiler: np.ndarray) -> np.ndarray:
+    """Which words lie in one of the runs ``boiler`` (sorted hashes)."""
     runs = run_hashes(words)
-    if not (often := boiler[np.minimum(np.searchsorted(boiler, runs), len(boiler) - 1)] == runs).any():
-        return "\n\n".join(found)
-    mask = covered(LEAST, np.concatenate([often, np.zeros(len(words) - len(runs), dtype=bool)]))
-    kept, at = [], 0
-    for b in found:
+    if not len(boiler) or not len(runs):
+        return np.zeros(len(words), dtype=bool)
+    often = boiler[np.minimum(np.searchsorted(boiler, runs), len(boiler) - 1)] == runs
+    return covered(LEAST, np.concatenate([often, np.zeros(len(words) - len(runs), dtype=bool)]))
+
+
+def without(found: list[str], kinds: str, boiler: np.ndarray, shared: np.ndarray) -> tuple[str, int, int]:
+    """The text of a page without what the runs ``boiler`` cover, or inside an article the runs ``shared`` (both sorted
+    hashes), and without what markup rules out of the rest; words that went by runs, and by markup alone."""
+    words = words_in(found)
+    mask, inner = lying_in(words, boiler), lying_in(words, shared)
+    place = max(kinds.replace("h", ""), default="0")
+    kept, at, by_runs, by_marks = [], 0, 0, 0
+    for b, kind in zip(found, kinds):
         own = b.split(" ")
-        gone = mask[at : at + len(own)]
-        left = own if rooted and not gone.all() else [w for w, g in zip(own, gone) if not g]
+        gone, gone_inside = mask[at : at + len(own)], inner[at : at + len(own)]
         at += len(own)
-        if left:
+        if kind != "h" and kind == place > "0":
+            left = [] if gone_inside.all() else own
+        else:
+            left = [w for w, g in zip(own, gone) if not g]
+        by_runs += len(own) - len(left)
+        if kind != place:
+            by_marks += len(left)
+        elif left:
             kept.append(" ".join(left))
-    return "\n\n".join(kept)
+    return "\n\n".join(kept), by_runs, by_marks
 
 
 def on_pages(pages: DataFrame, runs: DataFrame, parts: DataFrame, each: Callable, schema: str) -> DataFrame:
@@ -248,25 +276,26 @@ def on_pages(pages: DataFrame, runs: DataFrame, parts: DataFrame, each: Callable
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: id, url, text and n_chars (code points).
+    """Per page: id, url, text, n_chars (code points), and how many words went as repeated (n_repeated) and by markup
+    alone (n_marked).
 
-    A null html is empty and has an empty text. A null url belongs to the host "". A repeated row gives a row each and
+    A null html is empty and has an empty text. Very long pages are read whole. A null url belongs to the host "". A repeated row gives a row each and
     counts as one page where repetition is counted. An empty table gives no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host)
     id_type = rows.schema["id"].dataType
     id_arrow, id_sql = to_arrow_type(id_type), id_type.simpleString()
-    parsed = pa.schema([("id", id_arrow), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("rooted", pa.bool_())])
+    parsed = pa.schema([("id", id_arrow), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.string())), ("kinds", pa.string())])
 
     def start():
         def each(row_id, url, page, host):
-            found, rooted = blocks(page)
-            return row_id, url, host, hash64("\n".join(found)), found, rooted
+            found, kinds = blocks(page)
+            return row_id, url, host, hash64("\n".join(found)), found, kinds
 
         return each
 
-    read = common.map_rows(rows, f"id {id_sql}, url string, host string, content long, blocks array<string>, rooted boolean", start, parsed)
+    read = common.map_rows(rows, f"id {id_sql}, url string, host string, content long, blocks array<string>, kinds string", start, parsed)
     parts = read.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP_PAGES))
     parts = common.written(parts, "hosts")
     if parts.count() <= BROADCAST_ROWS:
@@ -299,11 +328,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             runs += hit.tolist()
         return pa.table([pa.array(hosts, pa.string()), pa.array(runs, pa.int64()), pa.array(contents, pa.int64())], names=["host", "run", "content"])
 
-    final = pa.schema([("id", id_arrow), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    final = pa.schema([("id", id_arrow), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_repeated", pa.int64()), ("n_marked", pa.int64())])
 
     def kept(pages: pa.Table, runs_of) -> pa.Table:
-        texts = [without(found, rooted, runs_of(host, rooted)) for host, found, rooted in zip(*(pages.column(c).to_pylist() for c in ("host", "blocks", "rooted")))]
-        return pa.table([pages.column("id").cast(id_arrow), pages.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=final)
+        cut = [without(found, kinds, runs_of(host, False), runs_of(host, True)) for host, found, kinds in zip(*(pages.column(c).to_pylist() for c in ("host", "blocks", "kinds")))]
+        texts, by_runs, by_marks = zip(*cut) if cut else ((), (), ())
+        counts = [pa.array(c, pa.int64()) for c in ([len(t) for t in texts], by_runs, by_marks)]
+        return pa.table([pages.column("id").cast(id_arrow), pages.column("url"), pa.array(texts, pa.string()), *counts], schema=final)
 
     streams = read.select("host", "part", "content", "blocks")
     streams = streams.mapInArrow(first_copies, streams.schema)
@@ -311,7 +342,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     counts = on_pages(read, common.written(candidates, "candidates"), parts, counted, "host string, run long, content long").distinct().groupBy("host", "run").count().join(parts, "host")
     least = lambda least, share: F.col("count") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("n"))
     boiler = counts.where(least(PAGES, SHARE)).select("host", "run", least(ROOTED_PAGES, ROOTED_SHARE).alias("rooted"))
-    out = on_pages(read, common.written(boiler, "boilerplate"), parts, kept, f"id {id_sql}, url string, text string, n_chars long")
+    out = on_pages(read, common.written(boiler, "boilerplate"), parts, kept, f"id {id_sql}, url string, text string, n_chars long, n_repeated long, n_marked long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 

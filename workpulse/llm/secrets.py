@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import math
 import re
 
 import pyarrow as pa
@@ -54,6 +55,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+#: About how many of a hundred letters are this one, over English, German, French and Spanish.
+LETTERS = {
+    "a": 8, "b": 1.5, "c": 3.5, "d": 4.5, "e": 15, "f": 1.5, "g": 2, "h": 3.5, "i": 8, "j": 0.4, "k": 0.8, "l": 4.5, "m": 2.8,
+    "n": 8, "o": 6, "p": 2.3, "q": 0.5, "r": 7, "s": 7, "t": 7, "u": 5, "v": 1.3, "w": 1, "x": 0.3, "y": 0.8, "z": 0.6,
+}
+_LIKE_WORDS = {c: math.log(n * len(LETTERS) / 100) for c, n in LETTERS.items()}
+
+
+def is_plain(run: str) -> bool:
+    """Whether a run has no letter, or has no digit and is like words: its case hardly changes, and its letters are
+    likelier in a language than by chance. Long words are as new to a compressor as keys are, so letters alone are held
+    to this too."""
+    letters = [c for c in run if c.isalpha()]
+    if not letters or any(c.isdigit() for c in run):
+        return not letters
+    changes = sum(a.isupper() != b.isupper() for a, b in zip(letters, letters[1:]))
+    return changes < 0.3 * len(letters) and sum(_LIKE_WORDS[c.lower()] for c in letters) >= 0
+
+
 class Novelty:
     """Marginal compressed bytes per character of a string among its surroundings."""
 
@@ -73,7 +93,7 @@ class Novelty:
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty, at_least: float, reach: int) -> list[tuple[str, int, int]]:
     """Tokens that begin in a sensitive context (such a word ends within ``reach`` characters before them) and hold a
-    run, or a piece of a long run, that no fixed pattern covers, mixes letters and digits, and is novel."""
+    run, or a piece of a long run, that no fixed pattern covers, isn't a number or like a word, and is novel."""
     found: list[tuple[str, int, int]] = []
     edges = sorted((a, b) for _, a, b in taken)
     ends = list(itertools.accumulate((b for _, b in edges), max))
@@ -90,8 +110,7 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty,
         return at > start and not _ALNUM.search(text, at, end)
 
     def is_secret(start: int, end: int) -> bool:
-        s = text[start:end]
-        return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and novelty(text, start, end) >= at_least
+        return not is_plain(text[start:end]) and novelty(text, start, end) >= at_least
 
     def any_secret(start: int, end: int) -> bool:
         """Whether a piece of the run text[start:end] is a secret."""
@@ -170,7 +189,11 @@ def redact(text: str | None, found: list[tuple[str, int, int]], mark: str = "[SE
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", at_least: float = 0.72, reach: int = 40) -> DataFrame:
-    """All rows and columns of ``docs``, with every span replaced in the text and its length, if kept, put right."""
+    """All rows and columns of ``docs``, with every span replaced in the text and its length, if kept, put right.
+
+    Null and empty texts stay as they are; very long texts are scanned whole. Spans that overlap are replaced together.
+    A repeated row stays as often as it is given; an empty table gives no rows.
+    """
     with_length = length_col in docs.columns
 
     def start():
