@@ -21,11 +21,12 @@ import numpy as np
 #: Characters that count among a word's in Python but aren't letters: Roman numeral signs, fractions, superscripts.
 _SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
 WORD = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
+_FAST_WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(rf"[\W\d_{re.escape(_SIGNS)}]")
 BITS = 17
 MASK = (1 << BITS) - 1
 #: Different words whose scores a worker keeps; past it the store is emptied and filled anew.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 #: Characters of a text whose words are numbered together, and bytes of words whose features are worked out together.
 TEXT_CHARS, FEATURE_BYTES = 1 << 19, 1 << 20
 #: Tokens of a block of positions, and tokens of sequences that go through the recursions together.
@@ -44,7 +45,8 @@ def word_lists(text: str | None) -> Iterator[list[str]]:
     while at < len(low):
         gap = _GAP.search(low, at + TEXT_CHARS)
         stop = gap.start() if gap else len(low)
-        yield WORD.findall(low, at, stop)
+        words = _FAST_WORD.findall(low, at, stop)  # the same but for the signs, and much faster
+        yield words if "".join(words).isalpha() or not words else WORD.findall(low, at, stop)
         at = stop
 
 
@@ -52,12 +54,22 @@ def words_of(text: str | None) -> list[str]:
     return [w for part in word_lists(text) for w in part]
 
 
-def affixes(word: str) -> list[int]:
-    crc = zlib.crc32
-    n = len(word)
-    found = [crc(word.encode("utf-8", "surrogatepass"), 1) & MASK]
-    found += [crc(word[:k].encode("utf-8", "surrogatepass"), 2) & MASK for k in (1, 2, 3, 4, 5) if k < n]
-    return found + [crc(word[-k:].encode("utf-8", "surrogatepass"), 3) & MASK for k in (1, 2, 3, 4) if k < n]
+def affixes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the words as wholes, of their first one to five and their last one to four letters (words by ten),
+    and which of them there are: a word has its affixes of fewer letters than its own."""
+    n = len(words)
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    ends = np.cumsum(lengths)
+    found, there = np.empty((n, 10), dtype=np.int64), np.ones((n, 10), dtype=bool)
+    found[:, 0] = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), 1) & MASK for w in words), dtype=np.int64, count=n)
+    for slots, kind, place in ((range(1, 6), 2, lambda k: ends - lengths + k - 1), (range(6, 10), 3, lambda k: ends - k)):
+        total = np.full(n, kind, dtype=np.uint32)
+        for k, slot in enumerate(slots, 1):
+            total = total * np.uint32(0x01000193) + letters[np.clip(place(k), 0, max(0, len(letters) - 1))]
+            found[:, slot] = (total * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+            there[:, slot] = lengths > k
+    return found, there
 
 
 def pieces(blob: bytes) -> np.ndarray:
@@ -67,20 +79,15 @@ def pieces(blob: bytes) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def flat_features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Twice the features of all words one after another, and where each word's begin: affixes, and pieces of three
-    bytes of the word between two marks. Every word has some of each."""
-    each = [affixes(w) for w in words]
-    flat = np.fromiter((x for f in each for x in f), dtype=np.int64)
-    sizes = np.array([len(f) for f in each], dtype=np.int64)
+def word_pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of three bytes of each word between two marks, one word after another, and where each word's begin."""
     marked = [b"\x02" + w.encode("utf-8", "surrogatepass") + b"\x03" for w in words]
-    lengths = np.array([len(m) for m in marked], dtype=np.int64)
+    lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths)
-    inside = np.ones(int(ends[-1]) if len(ends) else 0, dtype=bool)
+    inside = np.ones(int(ends[-1]), dtype=bool)
     inside[ends - 1] = False
     inside[ends - 2] = False
-    grams = pieces(b"".join(marked))[inside[:-2]] if len(ends) else flat
-    return [(flat, np.cumsum(sizes) - sizes), (grams, np.cumsum(lengths - 2) - (lengths - 2))]
+    return pieces(b"".join(marked))[inside[:-2]], np.cumsum(lengths - 2) - (lengths - 2)
 
 
 class Layout:
@@ -224,10 +231,16 @@ class Crf:
         self.numbers, self.scores, self.scored = Numbers(), np.empty((1024, len(self.labels)), dtype=np.float32), 0
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        return sum(np.add.reduceat(self.weights[flat], starts, axis=0) for flat, starts in flat_features(words))
+        found, there = affixes(words)
+        grams, starts = word_pieces(words)
+        out = np.add.reduceat(self.weights[grams], starts, axis=0)
+        for slot in range(found.shape[1]):
+            out += self.weights[found[:, slot]] * there[:, slot, None]
+        return out
 
     def long_word_scores(self, word: str) -> np.ndarray:
-        total = self.weights[affixes(word)].sum(axis=0)
+        found, there = affixes([word])
+        total = self.weights[found[there]].sum(axis=0)
         blob = b"\x02" + word.encode("utf-8", "surrogatepass") + b"\x03"
         for i in range(0, len(blob) - 2, FEATURE_BYTES):
             total += self.weights[pieces(blob[i : i + FEATURE_BYTES + 2])].sum(axis=0)
@@ -298,35 +311,49 @@ class Crf:
             yield found()
 
 
-def fit(sequences: list[tuple[list[str], list[int]]], labels: list, steps: int = 60, rate: float = 0.15, decay: float = 1e-6) -> Crf:
-    """Maximum conditional likelihood by Adam over all the given sequences (words, label numbers; none empty)."""
+def fit(sequences: list[tuple[list[str], list[int]]], labels: list, steps: int = 60, rate: float = 0.15, decay: float = 1e-6, weight: list[float] | None = None) -> Crf:
+    """Maximum conditional likelihood by Adam over all the given sequences (words, label numbers; none empty), each
+    counted as often as its weight says."""
     k = len(labels)
+    weight = weight or [1.0] * len(sequences)
+    by_weight = sorted(range(len(sequences)), key=lambda i: weight[i])
+    sequences, weight = [sequences[i] for i in by_weight], np.array([weight[i] for i in by_weight])
     number = {w: i for i, w in enumerate(dict.fromkeys(w for ws, _ in sequences for w in ws))}
-    features = flat_features(list(number))
-    owners = [np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat)))) for flat, starts in features]
-    flat, owner = np.concatenate([f for f, _ in features]), np.concatenate(owners)
+    found, there = affixes(list(number))
+    grams, starts = word_pieces(list(number))
+    flat = np.concatenate([found[there], grams])
+    owner = np.concatenate([np.nonzero(there)[0], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(grams))))])
+    del found, there
     tokens = np.array([number[w] for ws, _ in sequences for w in ws], dtype=np.int64)
     gold = np.array([y for _, ys in sequences for y in ys], dtype=np.int64)
     lengths = np.array([len(ws) for ws, _ in sequences], dtype=np.int64)
-    n = len(tokens)
-    truth = np.zeros((n, k), dtype=np.float32)
-    truth[np.arange(n), gold] = 1
-    inner = np.ones(n, dtype=bool)
-    inner[np.cumsum(lengths) - lengths] = False
-    gold_pairs = np.zeros((k, k))
-    np.add.at(gold_pairs, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
+    each = np.repeat(weight, lengths)  # by token
+    truth = np.zeros((len(tokens), k), dtype=np.float32)
+    truth[np.arange(len(tokens)), gold] = 1
     firsts = np.cumsum(lengths) - lengths
+    inner = np.ones(len(tokens), dtype=bool)
+    inner[firsts] = False
+    gold_pairs = np.zeros((k, k))
+    np.add.at(gold_pairs, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), each[1:][inner[1:]])
+    n, n_first = each.sum(), weight.sum()
+    cuts = [0, *(np.nonzero(np.diff(weight))[0] + 1).tolist(), len(weight)]  # sequences of one weight go together
+    token_cuts = np.append(firsts, len(tokens))[cuts]
 
     weights, transitions, begin = (np.zeros(s, dtype=np.float32) for s in ((1 << BITS, k), (k, k), (k,)))
     parameters = [weights, transitions, begin]
     mean, spread = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     for step in range(1, steps + 1):
-        word_scores = sum(np.add.reduceat(weights[f], starts, axis=0) for f, starts in features)
-        found, pairs = marginals(word_scores[tokens], lengths, transitions, begin)
-        gap = truth - found
+        model = Crf(labels, weights, transitions, begin)
+        word_scores = model.word_scores(list(number))
+        gap, pairs = truth.copy(), np.zeros((k, k))
+        for i, (a, b) in enumerate(zip(token_cuts, token_cuts[1:])):
+            found, both = marginals(word_scores[tokens[a:b]], lengths[cuts[i] : cuts[i + 1]], transitions, begin)
+            gap[a:b] -= found
+            pairs += weight[cuts[i]] * both
+        gap *= each[:, None]
         by_word = np.stack([np.bincount(tokens, gap[:, j], len(number)) for j in range(k)], axis=1)
         gradient = np.stack([np.bincount(flat, by_word[owner, j], 1 << BITS) for j in range(k)], axis=1)
-        gradients = [gradient / n - decay * weights, (gold_pairs - pairs) / n - decay * transitions, gap[firsts].sum(axis=0) / len(firsts) - decay * begin]
+        gradients = [gradient / n - decay * weights, (gold_pairs - pairs) / n - decay * transitions, gap[firsts].sum(axis=0) / n_first - decay * begin]
         for p, g, m, v in zip(parameters, gradients, mean, spread):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

@@ -50,7 +50,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     rows = docs.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = common.bounded_sample(rows.where("text is not null and lang is not null"), "key", sample_docs)
     sequences, labels = training_sequences([(r["text"], r["lang"]) for r in rows.collect()])
-    return crf.fit(sequences, labels) if sequences else None
+    return crf.fit(sequences, labels, steps=40) if sequences else None
 
 
 def languages_of(tagger: crf.Crf | None, texts: Iterable[str | None], n: int) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:

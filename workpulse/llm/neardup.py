@@ -30,7 +30,7 @@ from . import common, decontam
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Cells of the document-frequency table: words share one by the first bits of their numbers.
-CELL_BITS = 20
+CELL_BITS = 16
 CELLS = 1 << CELL_BITS
 #: Least share of equal sketch bytes: 0.8 less over three standard deviations of 48 samples.
 SKETCH_LEAST = 0.58
@@ -183,8 +183,8 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     summed = texts.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     total = np.zeros(CELLS + 1, dtype=np.int64)
-    found = summed.toPandas()  # at most CELLS + 1 rows of two numbers
-    total[found["cell"]] = found["n"]
+    found = summed.toArrow()  # at most CELLS + 1 rows of two numbers
+    total[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return total[:CELLS], int(total[-1])
 
 

@@ -24,6 +24,8 @@ from . import common, crf
 #: Labelled documents of each class that the model is fitted on, at most; the ones with the smallest hashes of ids.
 SAMPLE_DOCS = 1200
 THRESHOLD = 0.3
+#: Weight of a piece of text without a marked word, when the field is fitted.
+UNMARKED = 0.25
 #: Marginal from which a word counts among the expected toxic words.
 LEAST_MARGINAL = 0.1
 
@@ -86,12 +88,14 @@ def fit_model(rows: list[tuple[str, int]]) -> Model | None:
     if len({y for _, y in rows}) < 2:
         return None
     found = cues(rows)
-    sequences = []
+    sequences, weight = [], []
     for text, toxic in rows:
         words = crf.words_of(text)
         marks = marked(words, found) if toxic else [0] * len(words)
-        sequences += [(words[at : at + 60], marks[at : at + 60]) for at in range(0, len(words), 60)]
-    model = Model(crf.fit(sequences, [0, 1], steps=40), np.zeros(3))
+        for at in range(0, len(words), 60):
+            sequences.append((words[at : at + 60], marks[at : at + 60]))
+            weight.append(1.0 if any(sequences[-1][1]) else UNMARKED)
+    model = Model(crf.fit(sequences, [0, 1], steps=40, weight=weight), np.zeros(3))
     features = [document_features(found[:, 1].astype(np.float64), starts) for _, found, starts in model.tagger.tagged(t for t, _ in rows)]
     model.curve = fit_curve(np.concatenate(features), np.array([y for _, y in rows], dtype=float))
     return model
