@@ -46,16 +46,63 @@ def test_text_grids():
 def test_rows_and_reasons(spark):
     rows = ingest.validated(ingest.raw_rows(grids.read_grids(spark.createDataFrame(ROWS, SCHEMA)))).orderBy("document_id", "row_index").collect()
     assert [(r["document_id"], r["employee_name"], r["task_status"], r["reject_reason"]) for r in rows] == [
-        ("d1", "Ann Lee", "Completed", None), ("d1", "Bob Ray", "Blocked", None), ("d1", "Ann Lee", "Completed", "INVALID_DATE"),
+        ("d1", "Ann Lee", "Completed", None), ("d1", "Bob Ray", "Pending", None), ("d1", "Ann Lee", "Completed", "INVALID_DATE"),
         ("d1", "Ann Lee", None, "UNKNOWN_STATUS"), ("d1", None, "Completed", "MISSING_REQUIRED_FIELD"),
         ("d2", "Ann Lee", "Completed", None), ("d2", "Ann Lee", "In Progress", None), ("d3", "Cy Poe", "Pending", None),
     ]
     assert rows[0]["link"] == "https://x.example/1" and rows[0]["task_date"] == datetime.date(2026, 3, 9)
 
 
+TEMPLATE = """Daily work report
+| DWR: 001 | Emp Name: Asha Rao | Designation | Date: 28/09/2026 | Day: Monday | Full Day | | |
+| Sr. No. | Company | Category | What was I supposed to do today? | What did I do? | Did I do | Time taken (Minutes) | Comments / Links |
+| 1 | Adhoc | Calls | Call the vendors | Called the vendors | All | 45 | - |
+| 2 | Adhoc | Forms | Check the forms | | No | 1h 30m | late |
+| 3 | Adhoc | Plans | | Review of the plans | Partly | 90 | |
+| 4 | Adhoc | | | | All | | |
+| 5 | Adhoc | | | | All | | |"""
+
+
+def test_template_with_title_line(spark):
+    docs = spark.createDataFrame([("t", None, TEMPLATE, None)], SCHEMA)
+    rows = ingest.validated(ingest.raw_rows(grids.read_grids(docs))).orderBy("row_index").collect()
+    assert [(r["employee_name"], r["task"], r["task_status"], r["actual_duration"], r["reject_reason"]) for r in rows] == [
+        ("Asha Rao", "Called the vendors", "Completed", 0.75, None), ("Asha Rao", "Check the forms", "Pending", 1.5, None), ("Asha Rao", "Review of the plans", "In Progress", 1.5, None),
+    ]
+    assert {r["task_date"] for r in rows} == {datetime.date(2026, 9, 28)} and rows[0]["notes"] == "Planned: Call the vendors" and rows[1]["notes"] == "late"
+
+
+def test_headings_in_two_rows_and_by_values(spark):
+    two = "Date | Employee Information | Work | \n | Name | Task | Status\n9/3/2026 | A1 | wrote minutes | done\n9/3/2026 | B2 | filed claims | to be done"
+    free = "When | Who | Particulars | Stand\n" + "\n".join(f"{i}/3/2026 | {p} | {t} number {i} | {s}" for i, (p, t, s) in enumerate([("Ann Lee", "wrote the minutes", "done"), ("Bob Ray", "called the suppliers", "WIP"), ("Ann Lee", "checked the claims", "done/pending"), ("Bob Ray", "filed the forms", "open")], 1))
+    other = "Item | Price | Amount\nbolt | 3 | 4\nnut | 5 | 6\nscrew | 7 | 8"
+    docs = spark.createDataFrame([("two", None, two, None), ("free", None, free, None), ("other", None, other, None)], SCHEMA)
+    cells = grids.read_grids(docs)
+    found = {r["document_id"]: (r["header_row"], dict(r["fields"])) for r in ingest.header_maps(cells).collect()}
+    columns = {"date": 0, "employee": 1, "task": 2, "status": 3}
+    assert found == {"two": (1, columns), "free": (0, columns)}
+    rows = ingest.validated(ingest.raw_rows(cells)).orderBy("document_id", "row_index").collect()
+    assert [(r["task_status"], r["work_kind"]) for r in rows] == [("Completed", "REPORTED"), ("In Progress", "REPORTED"), ("Ambiguous", "REPORTED"), ("Pending", "REPORTED"), ("Completed", "REPORTED"), ("Not Started", "PLANNED")]
+
+
+def test_headings_mean_fields(spark):
+    from workpulse.operators import headers
+
+    cases = {
+        "Dated": "date", "Handled By Staff": "employee", "Name of Employee": "employee", "Task Name": "task", "Current State": "status", "Unit Price": None, "Sr. No.": None, "S/N": None, "Tomorrow's Plan": "task",
+        "Business Unit": "department", "Planned Hours": "expectedDuration", "Hours Spent": "actualDuration", "Remarks": "notes", "Where": None, "Time taken (Minutes)": "actualDuration", "Did I do?": "status",
+    }
+    rows = headers.heading_fields(spark.createDataFrame([(h,) for h in cases], "heading string")).collect()
+    assert {r["heading"]: r["field"] for r in rows} == cases
+    kinds = {"Tomorrow's Plan": "PLANNED", "Yesterday": "PREVIOUS_DAY", "What was done today": "COMPLETED_TODAY", "Task": "REPORTED"}
+    frame = spark.createDataFrame([(h,) for h in kinds], "h string")
+    assert {r["h"]: r["k"] for r in frame.select("h", headers.work_kind(F.col("h")).alias("k")).collect()} == kinds
+
+
 def test_row_cap(spark):
     docs = spark.createDataFrame([("d", None, "Date | Employee | Task | Status\n" + "\n".join(f"2026-01-01 | A B | task number {i} | done" for i in range(9)), None)], SCHEMA)
     assert ingest.raw_rows(grids.read_grids(docs), ingest.IngestConfig(max_rows_per_document=4)).count() == 4
+    assert [tuple(r) for r in ingest.rows_over_cap(grids.read_grids(docs), ingest.IngestConfig(max_rows_per_document=4)).collect()] == [("d", 5)]
 
 
 def test_stream_is_idempotent_and_rejects_other_documents(spark, tmp_path):
@@ -84,3 +131,9 @@ def test_streamed_counts_equal_batch(spark, small, tmp_path):
     query.awaitTermination()
     plain = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].alias("start"), "event_type").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_a_document_twice_in_a_batch_counts_once(spark, tmp_path):
+    docs = spark.createDataFrame([ROWS[1], ROWS[1]], SCHEMA)
+    reports.ingest_batch(docs, 0, str(tmp_path))
+    assert reports.stored(spark, f"{tmp_path}/facts", reports.FACTS_SQL).count() == 2

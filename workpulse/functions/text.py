@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,24 @@ TASK_STOPWORDS = (
 )
 # The statuses a task can have.
 STATUSES = ("Completed", "Pending", "In Progress", "Blocked", "Cancelled", "Not Started")
+# Other words for a status.
+STATUS_ALIASES = {
+    "completed": "Completed", "complete": "Completed", "done": "Completed", "finished": "Completed", "closed": "Completed", "delivered": "Completed",
+    "completd": "Completed", "compeleted": "Completed", "yes": "Completed", "ok": "Completed", "over": "Completed", "100%": "Completed", "c": "Completed",
+    "in progress": "In Progress", "inprogress": "In Progress", "in-progress": "In Progress", "progress": "In Progress", "ongoing": "In Progress", "wip": "In Progress",
+    "working": "In Progress", "started": "In Progress", "doing": "In Progress", "partially done": "In Progress", "partial": "In Progress", "ip": "In Progress",
+    "in review": "In Progress", "under review": "In Progress", "reviewing": "In Progress", "for review": "In Progress", "in testing": "In Progress", "in qa": "In Progress",
+    "pending": "Pending", "waiting": "Pending", "not done": "Pending", "incomplete": "Pending", "open": "Pending", "todo": "Pending", "to do": "Pending", "hold": "Pending", "on hold": "Pending", "p": "Pending",
+    "blocked": "Blocked", "stuck": "Blocked", "blocker": "Blocked", "dependency": "Blocked", "waiting on client": "Blocked", "awaiting approval": "Blocked",
+    "not started": "Not Started", "notstarted": "Not Started", "new": "Not Started", "yet to start": "Not Started", "not yet started": "Not Started", "ns": "Not Started",
+    "cancelled": "Cancelled", "canceled": "Cancelled", "dropped": "Cancelled", "not required": "Cancelled", "na": "Cancelled", "n/a": "Cancelled",
+}
+# What answers a status column that is a question means.
+ANSWERS = {
+    "Completed": r"(?i)^(all|all done|yes|y|fully|full|done|completed?|100 ?%)$",
+    "In Progress": r"(?i)^(partial|partially|partly|part|half|some|mostly|in part|\d{1,2} ?%)$",
+    "Pending": r"(?i)^(no|n|none|nothing|not done|not at all|zero|0 ?%)$",
+}
 # Named character references that are decoded.
 _ENTITIES = (
     ("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"),
@@ -24,10 +44,19 @@ def clean_whitespace(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Named references; numeric ones only for printable ASCII, which is what documents use."""
+    """Named references, and numeric ones (decimal and hexadecimal) of the basic plane; others stay as they are."""
     for name, value in _ENTITIES:
         c = F.regexp_replace(c, f"(?i)&{name};", value)
-    return c
+    parts = F.split(c, "&#")
+
+    def decoded(part: Column) -> Column:
+        code = F.regexp_extract(part, r"^([xX][0-9a-fA-F]{1,4}|\d{1,5});", 1)
+        number = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, F.lit(2), F.length(code)), 16, 10)).otherwise(code).try_cast("int")
+        sign = F.decode(F.unhex(F.lpad(F.hex(number), 4, "0")), "UTF-16BE")
+        return F.when(number.between(1, 0xFFFF) & ~number.between(0xD800, 0xDFFF), F.concat(sign, F.substring(part, F.length(code) + 2, F.length(part)))).otherwise(F.concat(F.lit("&#"), part))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return F.when(F.contains(c, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(c)
 
 
 def keyify(c: Column) -> Column:
@@ -46,7 +75,7 @@ def normalize_task(c: Column) -> Column:
 
 
 def split_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def stem_token(t: Column) -> Column:
@@ -99,13 +128,31 @@ def title_case(c: Column) -> Column:
 
 def normalize_status(c: Column, aliases: dict[str, str]) -> Column:
     """A status by its name or an alias, with or without words such as "task" around it; null if unknown."""
-    known = {s.lower(): s for s in STATUSES} | aliases
+    known = {s.lower(): s for s in STATUSES} | {re.sub("[^a-z0-9]+", " ", k.lower().replace(".", "").replace("'", "")).strip(): v for k, v in aliases.items()}
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     key = keyify(c)
     bare = F.trim(F.regexp_replace(F.regexp_replace(key, r"\b(task|status|is|was)\b", ""), r"\s{2,}", " "))
     return F.coalesce(F.try_element_at(table, key), F.try_element_at(table, bare))
 
 
+def status_from_answer(answer: Column, heading: Column) -> Column:
+    """A status from an answer under a heading that asks whether the work was done; null under other headings."""
+    asked = clean_whitespace(F.coalesce(heading, F.lit(""))).rlike(r"(?i)^(did|have|has|was|is)\b.*\b(do|done|it|complete|completed|finish|finished)\b")
+    said = clean_whitespace(answer)
+    return F.when(asked, F.coalesce(*(F.when(said.rlike(pattern), status) for status, pattern in ANSWERS.items())))
+
+
+def status_means_planned(c: Column) -> Column:
+    """Whether a status places the work in the future."""
+    return F.trim(c).rlike(r"(?i)^(planned|planned work|to ?be ?started|to ?be ?done|scheduled|upcoming|next ?day|tomorrow|future|yet to begin)\b")
+
+
+def status_is_ambiguous(c: Column) -> Column:
+    """Whether a status cell names two states at once."""
+    parts = F.split(F.trim(c), r"(?i)\s*[/|,]\s*|\s+(?:or|and|then)\s+")
+    return F.size(F.filter(parts, lambda p: p.rlike("(?i)(complete|done|finish|progress|ongoing|pending|blocked|hold|start|cancel|review)"))) >= 2
+
+
 def normalize_priority(c: Column) -> Column:
     key = keyify(c)
     return (

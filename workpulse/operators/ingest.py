@@ -11,33 +11,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_date, parse_hours
-from ..functions.text import clean_whitespace, keyify, normalize_status, normalize_task
+from ..functions.dates import duration_hours, duration_in_hours, parse_date, parse_time
+from ..functions.text import STATUS_ALIASES, clean_whitespace, keyify, normalize_priority, normalize_status, normalize_task, status_from_answer, status_is_ambiguous, status_means_planned
 from ..plans.facts import EngineConfig
+from . import headers
 from .joins import occurrence_fingerprints, route
 
-# Headings that name a field, as their lower-case keys.
-HEADINGS = {
-    "date": ("date", "report date", "task date", "day"),
-    "employee": ("employee", "employee name", "name", "staff member", "person"),
-    "department": ("department", "dept", "team"),
-    "task": ("task", "task description", "work done", "what did i do", "what did i do today", "what i did", "what i did today"),
-    "plannedTask": ("what was i supposed to do", "what was i supposed to do today", "planned task", "supposed to do"),
-    "status": ("status", "current status", "task status", "did i do", "did i do it", "did you do it"),
-    "category": ("category", "task category"),
-    "priority": ("priority",),
-    "actualDuration": ("actual duration", "hours", "time taken", "time taken minutes", "time taken in minutes", "time spent in minutes"),
-    "link": ("link", "links", "url", "reference"),
-    "notes": ("notes", "remarks", "comments", "comments links", "remarks links"),
-}
 # A row that begins a field with one of these sums others up.
 SUMMARY_WORDS = r"^(total|grand total|sum|subtotal|overall|summary|count)\b"
-# Other words for a status.
-STATUS_ALIASES = {
-    "done": "Completed", "complete": "Completed", "finished": "Completed", "closed": "Completed", "yes": "Completed",
-    "wip": "In Progress", "ongoing": "In Progress", "started": "In Progress", "on hold": "Blocked", "stuck": "Blocked",
-    "open": "Pending", "todo": "Not Started", "to do": "Not Started", "no": "Not Started", "dropped": "Cancelled", "canceled": "Cancelled",
-}
 TABLE = ("document_id", "table_index")
 
 
@@ -46,68 +27,89 @@ class IngestConfig(EngineConfig):
     min_task_length: int = 3
     header_rows: int = 6
     header_fields: int = 3
-    headings: dict[str, tuple[str, ...]] = field(default_factory=lambda: HEADINGS)
+    headings: dict[str, tuple[str, ...]] = field(default_factory=lambda: headers.HEADINGS)
     status_aliases: dict[str, str] = field(default_factory=lambda: STATUS_ALIASES)
 
 
-def heading_field(c: Column, headings: dict[str, tuple[str, ...]] = HEADINGS) -> Column:
-    """The field that a heading names, else null."""
-    pairs = [x for name, known in headings.items() for k in known for x in (F.lit(k), F.lit(name))]
-    return F.try_element_at(F.create_map(*pairs), keyify(c))
+def header_maps(grids: DataFrame, config: IngestConfig = IngestConfig(), documents: DataFrame | None = None) -> DataFrame:
+    """The headings of tables, by ``headers.header_maps`` with the settings of ``config``."""
+    return headers.header_maps(grids, config.status_aliases, config.headings, config.header_rows, config.header_fields, config.date_order, stated=documents)
 
 
-def header_maps(grids: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    """(document_id, table_index, header_row, fields): the first of a table's top rows that names a task and enough
-    fields. ``fields`` maps a field to its column; of columns that name the same field the first counts."""
-    top = grids.where(F.col("row_index") < config.header_rows)
-    named = top.withColumn("named", F.transform("cells", lambda c: heading_field(c["text"], config.headings)))
-    distinct = F.filter(F.array_distinct("named"), lambda f: f.isNotNull())
-    named = named.where((F.size(distinct) >= config.header_fields) & F.exists("named", lambda f: f.isin("task", "plannedTask")))
-    fields = F.map_from_entries(F.transform(distinct, lambda f: F.struct(f, (F.array_position("named", f) - 1).cast("int"))))
-    first = named.groupBy(*TABLE).agg(F.min_by(F.struct("row_index", fields.alias("fields")), "row_index").alias("h"))
-    return first.select(*TABLE, F.col("h.row_index").alias("header_row"), F.col("h.fields").alias("fields"))
-
-
-def raw_rows(grids: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    """Rows under a header as ``raw`` (field to text), without blank rows, sums, and rows over the document's cap.
+def numbered_rows(grids: DataFrame, config: IngestConfig = IngestConfig(), documents: DataFrame | None = None) -> DataFrame:
+    """Rows under a header as ``raw`` (field to text) with what the table says of all of them, and ``place``: their number
+    in the document. Blank rows, sums, and unused lines of a template, which name no work, person or day, are left out.
 
     Cells of dashes alone are blank. A link is the target of its cell, else of the first cell that has one. Tables
     without a header give no rows.
     """
-    rows = grids.join(header_maps(grids, config), list(TABLE)).where(F.col("row_index") > F.col("header_row"))
+    rows = grids.join(header_maps(grids, config, documents), list(TABLE)).where(F.col("row_index") > F.col("header_row"))
     text = lambda at: F.coalesce(clean_whitespace(F.get("cells", at)["text"]), F.lit(""))
-    blank = lambda value: F.when(value.rlike(r"^[\s\-–—_.]*$"), F.lit("")).otherwise(value)
+    blank = lambda value: F.when(value.rlike(r"^[\s\-–—.]*$"), F.lit("")).otherwise(value)
     raw = F.transform_values("fields", lambda _, at: blank(text(at)))
     target = F.nullif(F.get("cells", F.try_element_at("fields", F.lit("link")))["href"], F.lit(""))
     any_target = F.get(F.filter(F.transform("cells", lambda c: c["href"]), lambda h: h != ""), F.lit(0))
-    rows = rows.select(*TABLE, "row_index", raw.alias("raw"), F.coalesce(target, any_target, F.try_element_at(raw, F.lit("link")), F.lit("")).alias("link"))
-    values = F.map_values("raw")
-    summed = F.exists(F.array(*(F.try_element_at("raw", F.lit(f)) for f in ("task", "employee", "date", "department", "status"))), lambda v: F.lower(v).rlike(SUMMARY_WORDS))
-    rows = rows.where(F.exists(values, lambda v: v != "") & ~F.coalesce(summed, F.lit(False)))
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy("table_index", "row_index"))
-    return rows.withColumn("place", place).where(F.col("place") <= config.max_rows_per_document).drop("place")
+    rows = rows.select(*TABLE, "row_index", "headings", "title_employee", "title_date", "title_department", raw.alias("raw"), F.coalesce(target, any_target).alias("target"))
+    rows = rows.withColumn("link", F.coalesce("target", F.try_element_at("raw", F.lit("link")), F.lit(""))).drop("target")
+    at = lambda f: F.coalesce(F.try_element_at("raw", F.lit(f)), F.lit(""))
+    summed = F.exists(F.array(*(at(f) for f in ("task", "employee", "date", "department", "status"))), lambda v: F.lower(v).rlike(SUMMARY_WORDS))
+    filler = F.concat(at("task"), at("plannedTask"), at("employee"), at("date")) == ""
+    rows = rows.where(~filler & ~summed)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("table_index", "row_index")))
+
+
+def raw_rows(grids: DataFrame, config: IngestConfig = IngestConfig(), documents: DataFrame | None = None) -> DataFrame:
+    """``numbered_rows`` up to the cap on rows of a document; ``rows_over_cap`` counts the others."""
+    return numbered_rows(grids, config, documents).where(F.col("place") <= config.max_rows_per_document).drop("place")
+
+
+def rows_over_cap(grids: DataFrame, config: IngestConfig = IngestConfig(), documents: DataFrame | None = None) -> DataFrame:
+    """Documents with more rows than the cap, and how many aren't read, so that none goes unsaid."""
+    rows = numbered_rows(grids, config, documents).where(F.col("place") > config.max_rows_per_document)
+    return rows.groupBy("document_id").agg(F.count("*").alias("rows_over_cap"))
 
 
 def validated(raw: DataFrame, documents: DataFrame | None = None, config: IngestConfig = IngestConfig()) -> DataFrame:
     """Each raw row as a task with ``reject_reason``, the first rule that it breaks, or null if it is accepted.
 
-    ``documents`` (document_id, stated_employee, stated_date; optional) fills in what a row leaves empty.
+    A row without a day takes the one that its table's title, or else ``documents`` (document_id, stated_employee,
+    stated_date; optional), states; so does one without a person, if the table has no column of people at all.
     """
-    value = lambda f: F.coalesce(F.try_element_at("raw", F.lit(f)), F.lit(""))
     if documents is not None:
         raw = raw.join(documents.select("document_id", "stated_employee", "stated_date"), "document_id", "left")
     else:
         raw = raw.withColumns({"stated_employee": F.lit(None).cast("string"), "stated_date": F.lit(None).cast("date")})
-    planned_only = (value("task") == "") & (value("plannedTask") != "")
-    rows = raw.select(
+    value = lambda f: F.coalesce(F.try_element_at("raw", F.lit(f)), F.lit(""))
+    heading = lambda f: F.try_element_at("headings", F.lit(f))
+    # each text once, so that what is worked out from it refers to a column rather than repeats the lookup
+    texts = raw.select(
+        *TABLE, "row_index", "link", "raw", F.coalesce("title_date", "stated_date").alias("given_date"), F.coalesce("title_employee", "stated_employee").alias("given_employee"), "title_department",
+        F.map_contains_key("raw", F.lit("employee")).alias("has_employee"), *(value(f).alias(f"_{f}") for f in ("date", "employee", "department", "task", "plannedTask", "status", "category", "priority", "notes", "startDate", "startTime", "completionDate", "completionTime")),
+        heading("status").alias("status_heading"), headers.work_kind(heading("task")).alias("heading_kind"), duration_in_hours(value("actualDuration"), heading("actualDuration")).alias("reported_hours"),
+        duration_in_hours(value("expectedDuration"), heading("expectedDuration")).alias("expected_duration"),
+    )
+    c = F.col
+    named = normalize_status(c("_status"), config.status_aliases)
+    texts = texts.withColumn("known_status", F.coalesce(named, status_from_answer(c("_status"), c("status_heading"))))
+    planned = c("known_status").isNull() & status_means_planned(c("_status"))
+    ambiguous = c("known_status").isNull() & status_is_ambiguous(c("_status"))
+    day = lambda f: parse_date(c(f), config.date_order)
+    rows = texts.select(
         *TABLE, "row_index", "link", "raw",
-        value("date").alias("date_text"), F.when(value("date") == "", F.col("stated_date")).otherwise(parse_date(value("date"), config.date_order)).alias("task_date"),
-        F.when(value("employee") == "", F.col("stated_employee")).otherwise(value("employee")).alias("employee_name"),
-        F.coalesce(F.nullif(value("department"), F.lit("")), F.lit(config.default_department)).alias("department"),
-        F.coalesce(F.nullif(value("task"), F.lit("")), value("plannedTask")).alias("task"), value("status").alias("status_text"),
-        normalize_status(value("status"), config.status_aliases).alias("task_status"), F.when(planned_only, "PLANNED").otherwise("REPORTED").alias("work_kind"),
-        parse_hours(value("actualDuration")).alias("actual_duration"), value("notes").alias("notes"),
-    ).withColumn("task_normalized", normalize_task(F.col("task")))
+        c("_date").alias("date_text"), F.when(c("_date") == "", c("given_date")).otherwise(day("_date")).alias("task_date"),
+        F.when(c("_employee") != "", c("_employee")).when(~c("has_employee"), c("given_employee")).alias("employee_name"),
+        F.coalesce(F.nullif(c("_department"), F.lit("")), "title_department", F.lit(config.default_department)).alias("department"),
+        F.coalesce(F.nullif(c("_task"), F.lit("")), "_plannedTask").alias("task"), c("_status").alias("status_text"),
+        F.coalesce("known_status", F.when(planned, "Not Started").when(ambiguous, "Ambiguous")).alias("task_status"),
+        F.when(planned, "PLANNED").otherwise(c("heading_kind")).alias("work_kind"),
+        F.nullif(c("_category"), F.lit("")).alias("task_category"), normalize_priority(c("_priority")).alias("priority"), "expected_duration", "reported_hours",
+        day("_startDate").alias("start_date"), parse_time(c("_startTime")).alias("start_time"), day("_completionDate").alias("completion_date"), parse_time(c("_completionTime")).alias("completion_time"),
+        F.concat_ws(" · ", F.when((c("_task") != "") & (c("_plannedTask") != "") & (keyify(c("_task")) != keyify(c("_plannedTask"))), F.concat(F.lit("Planned: "), "_plannedTask")), F.nullif(c("_notes"), F.lit(""))).alias("notes"),
+    )
+    begun = F.coalesce("start_date", F.when(c("start_time").isNotNull(), c("task_date")))
+    ended = F.coalesce("completion_date", F.when(c("completion_time").isNotNull(), c("task_date")))
+    rows = rows.withColumn("actual_duration", duration_hours(c("reported_hours"), begun, c("start_time"), ended, c("completion_time"))).drop("reported_hours")
+    rows = rows.withColumn("task_normalized", normalize_task(F.col("task")))
     reason = (
         F.when((F.col("date_text") == "") & F.col("task_date").isNull(), "MISSING_REQUIRED_FIELD")
         .when(F.col("task_date").isNull(), "INVALID_DATE")

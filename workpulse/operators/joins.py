@@ -45,15 +45,15 @@ def misspelt(names: DataFrame, roster: DataFrame, most: int = 2) -> DataFrame:
         return df.select(F.col(column).alias(alias), low.alias(f"{alias}_low"), initials.alias("initials")).where(F.length(f"{alias}_low") >= 8)
 
     left, right = sided(names, "name", "name"), sided(roster, "employee_name", "suggestion")
-    pairs = left.join(right, "initials").withColumn("distance", F.levenshtein("name_low", "suggestion_low", most)).where("distance between 1 and 2")
+    pairs = left.join(right, "initials").withColumn("distance", F.levenshtein("name_low", "suggestion_low", most)).where(F.col("distance").between(1, most))
     return pairs.groupBy("name").agg(F.min(F.struct("distance", "suggestion")).alias("best")).select("name", F.col("best.suggestion").alias("suggestion"), F.col("best.distance").alias("distance"))
 
 
-def route(new: DataFrame, known: DataFrame) -> DataFrame:
+def route(new: DataFrame, known: DataFrame, order: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """``new`` (owner_user_id, fingerprint, document_id) with its route against the stored owners of fingerprints:
     ``insert``, ``skip`` (the same document again) or ``reject`` (another document has it). Of rows of one batch with
-    the same fingerprint the first by document is the owner."""
-    first = F.min("document_id").over(Window.partitionBy("owner_user_id", "fingerprint"))
+    the same fingerprint the first by ``order`` (columns of ``new``, such as when a document arrived) is the owner."""
+    first = F.first("document_id").over(Window.partitionBy("owner_user_id", "fingerprint").orderBy(*order))
     out = new.withColumn("first", first).join(known.withColumnRenamed("document_id", "owner_document"), ["owner_user_id", "fingerprint"], "left")
     owner = F.coalesce("owner_document", "first")
     label = F.when(owner != F.col("document_id"), "reject").when(F.col("owner_document").isNotNull(), "skip").otherwise("insert")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.numbers import count_where, rate
 
 
+#: Planned work isn't work yet.
+NOT_PLANNED = "work_kind <> 'PLANNED'"
+
+
 def counted(tasks: DataFrame) -> DataFrame:
     """Planned work isn't work yet, and an ambiguous row counts nowhere."""
     return tasks.where((F.col("work_kind") != "PLANNED") & (F.col("task_status") != "Ambiguous"))

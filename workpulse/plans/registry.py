@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, ingest, joins, repeats, slow, summaries
+from ..operators import dashboard, digests, headers, ingest, joins, merges, messages, repeats, slow, summaries
 from ..operators.measures import counted
+from . import mailbox
 from .facts import FACTS_SQL, EngineConfig, table, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,3 +271,7 @@ def _listed(spark, sf_dir):
 
 joins.register_all(register, with_facts, tasks, table)
 ingest.register_all(register, with_facts, tasks, table)
+messages.register_all(register, mailbox, with_flags, flagged, groups_of)
+merges.register_all(register, with_facts, tasks, table, mailbox)
+digests.register_all(register, with_facts, with_flags, tasks, table, flagged, groups_of)
+headers.register_all(register, table)

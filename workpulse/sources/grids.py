@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Columns that one cell may span, at most; larger spans are typing errors.
-MOST_SPAN = 100
+MOST_SPAN = 50
 _RULE = re.compile(r"^[\s|:+=-]*$")
 _CELL = pa.struct([("text", pa.string()), ("href", pa.string())])
 _SCHEMA = pa.schema([("document_id", pa.string()), ("table_index", pa.int32()), ("row_index", pa.int32()), ("source", pa.string()), ("cells", pa.list_(_CELL))])
@@ -50,7 +50,7 @@ class _Tables(HTMLParser):
                 if tag == "tr" or not top["rows"]:
                     top["rows"].append([])
                 if tag != "tr":
-                    span = lambda name: min(MOST_SPAN, int(given[name])) if (given.get(name) or "").isdigit() and int(given[name]) else 1
+                    span = lambda name: int(given[name]) if (given.get(name) or "").isdigit() and 0 < int(given[name]) <= MOST_SPAN else 1
                     top["cell"] = {"text": [], "href": "", "spans": (span("colspan"), span("rowspan"))}
             elif top["cell"]:
                 if tag == "a" and given.get("href") and not top["cell"]["href"]:

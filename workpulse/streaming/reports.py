@@ -29,6 +29,7 @@ def ingest_batch(documents: DataFrame, batch: int, folder: str, owner: int = 1,
     """Facts and rejections of one batch, against the facts that other batches stored."""
     spark = documents.sparkSession
     known = stored(spark, f"{folder}/facts", FACTS_SQL).where(F.col("batch") != batch).groupBy("owner_user_id", "fingerprint").agg(F.min("document_id").alias("document_id"))
+    documents = documents.dropDuplicates(["document_id"])  # a document that arrives twice is one
     rows = validated(raw_rows(read_grids(documents), config), config=config).persist()
     out = routed(rows, known, owner).persist()
     names = [c.split()[0] for c in FACTS_SQL.split(", ")]
