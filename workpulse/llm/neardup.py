@@ -7,9 +7,9 @@ words. Document frequencies are counted over all documents in a table of fixed s
 2. Each text gets ``BANDS * ROWS`` consistent samples; ``ROWS`` of them make a band, and texts that share a band meet.
 3. Texts of a bucket are verified against one of them, another one in each band, not against each other: as many pairs
    as texts. Weighted Jaccard similarity is worked out from the whole texts.
-4. Texts that a bucket holds together but that are not linked yet are compared too, over different components only: a
-   sketch of the samples, in blocks of bounded size, rules out the pairs that can't be similar, and texts are fetched
-   for the pairs that are left. So every colliding pair of similar texts ends in one class.
+4. Texts that a bucket holds together but that are not linked yet are compared too, in blocks of bounded size and
+   over different components only, after a sketch of the samples has ruled out the pairs that can't be similar. So
+   every colliding pair of similar texts ends in one class, and only links leave a task.
 5. Connected components of the links are the classes; labels travel by joins until nothing changes.
 """
 
@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from xxhash import xxh3_64_intdigest as hashed
 
 from . import common, decontam
@@ -37,8 +36,8 @@ SKETCH_LEAST = 0.58
 #: Shingles that are sampled together; bounds memory for very long texts.
 CHUNK = 4096
 WORDS_KEPT = 200_000
-#: Texts of a block of a bucket.
-BLOCK = 256
+#: Texts of a block of a bucket, and bytes of them.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: Digests (16 bytes each) of texts that met another one, up to which they are broadcast rather than shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -246,38 +245,69 @@ def sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(near, "a binary, b binary")
 
 
-def block_pairs(rows: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Pairs (a, b) between different components of each bucket in ``rows`` (band, bucket, a, label, n) that the sketches
-    don't rule out and that no earlier band holds together: each pair once. Texts don't come here.
-
-    A bucket is cut into blocks, and each two blocks are one group of at most about ``2 * BLOCK`` samples, whatever the
-    bucket's size.
+def close_pairs(group: pa.Table) -> list[tuple[float, int, int]]:
+    """(-share of equal sketch bytes, row, row) of the pairs of a group that aren't of one component, that no earlier
+    band holds together, and that the sketches don't rule out."""
+    n, band = group.num_rows, group.column("band")[0].as_py()
+    bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)[:, :band]
+    sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1)
+    label = np.unique(np.array([x.hex() for x in group.column("label").to_pylist()]), return_inverse=True)[1]
+    block = np.array(group.column("block").to_pylist())
+    inner = (block == block[0]).all()
+    found: list[tuple[float, int, int]] = []
+    for x in range(n - 1) if label.any() else ():
+        rest = slice(x + 1, n)
+        share = (sketches[rest] == sketches[x]).mean(axis=1)
+        close = (share >= SKETCH_LEAST) & (label[rest] != label[x]) & (inner | (block[rest] != block[x]))
+        if close.any():
+            close &= ~(bands[rest] == bands[x]).any(axis=1)
+            found += [(-share[k], x, x + 1 + k) for k in np.nonzero(close)[0].tolist()]
+    return found
+
+
+def block_links(rows: DataFrame, sampled: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between the components of each bucket in ``rows`` (band, bucket, a, label, n, bytes).
+
+    A bucket is cut into blocks, and each two blocks are one group of about ``2 * BLOCK`` texts or ``2 * BLOCK_BYTES`` of
+    them at most, whatever the bucket's size. Groups see samples first; only texts that are in a pair which the samples
+    leave are fetched. A group emits links that join components, never its pairs: the likeliest pairs are verified first,
+    and pairs that are joined by then are passed over.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("a"), blocks).cast("int")})
-    rows = rows.join(sampled.withColumnRenamed("digest", "a"), "a")
+    rows = rows.join(sampled.select(F.col("digest").alias("a"), "bands", "sketch"), "a")
     rows = rows.select("band", "bucket", "a", "label", "bands", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-
-    def paired(group: pa.Table) -> pa.Table:
-        digests, labels, blocks = (group.column(c).to_pylist() for c in ("a", "label", "block"))
-        n, band = len(digests), group.column("band")[0].as_py()
-        bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)[:, :band]
-        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1)
-        label = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
-        block = np.array(blocks)
-        inner = len(set(blocks)) == 1
-        found: list[tuple[bytes, bytes]] = []
-        for x in range(n - 1) if label.any() else ():
-            rest = slice(x + 1, n)
-            apart = (label[rest] != label[x]) & (inner | (block[rest] != block[x]))
-            close = apart & ((sketches[rest] == sketches[x]).mean(axis=1) >= SKETCH_LEAST)
-            if close.any():
-                close &= ~(bands[rest] == bands[x]).any(axis=1)
-                found += [(digests[x], digests[x + 1 + k]) for k in np.nonzero(close)[0]]
+    keys = ["band", "bucket", "i", "j"]
+
+    def asked(group: pa.Table) -> pa.Table:
+        at = sorted({i for _, x, y in close_pairs(group) for i in (x, y)})
+        return group.take(pa.array(at, pa.int64()))
+
+    def linked(group: pa.Table) -> pa.Table:
+        digests, labels, texts = (group.column(c).to_pylist() for c in ("a", "label", "text"))
+        words, weights, known, parent = Words(), idf.value, {}, {}
+
+        def root(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        def vector(x: int):
+            if x not in known:
+                known[x] = shingles(words.hashes(texts[x]), weights)
+            return known[x]
+
+        found = []
+        for _, x, y in sorted(close_pairs(group)):
+            p, q = root(labels[x]), root(labels[y])
+            if p != q and similarity(vector(x), vector(y)) >= threshold:
+                parent[p] = q
+                found.append((digests[x], digests[y]))
         return pa.table([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
 
-    return rows.groupBy("band", "bucket", "i", "j").applyInArrow(paired, "a binary, b binary")
+    left = common.written(rows.groupBy(*keys).applyInArrow(asked, rows.schema), "asked")
+    return left.join(texts.withColumnRenamed("digest", "a"), "a").groupBy(*keys).applyInArrow(linked, "a binary, b binary")
 
 
 def labelled_texts(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -291,7 +321,7 @@ def labelled_texts(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = Words(), idf.value
         for part in (part for batch in batches for part in common.byte_slices(batch)):
-            digests, bands, sketches = [], [], []
+            digests, bands, sketches, sizes = [], [], [], []
             for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 keys, w = shingles(words.hashes(text), weights)
                 if len(keys):
@@ -299,10 +329,11 @@ def labelled_texts(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
                     digests.append(d)
                     bands.append(bands_of(found))
                     sketches.append(found.astype(np.uint8).tobytes())
+                    sizes.append(len(text))
             lists = pa.ListArray.from_arrays(np.arange(0, BANDS * len(bands) + 1, BANDS, dtype=np.int32), np.concatenate(bands) if bands else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary())], ["digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())], ["digest", "bands", "sketch", "size"])
 
-    sampled = common.written(texts.select("digest", "text").mapInArrow(signed, "digest binary, bands array<long>, sketch binary"), "samples")
+    sampled = common.written(texts.select("digest", "text").mapInArrow(signed, "digest binary, bands array<long>, sketch binary, size long"), "samples")
     members = sampled.select("digest", F.posexplode("bands").alias("band", "bucket"))
     order = F.xxhash64("digest", "band")
     found = members.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), "digest")).alias("first")).where("size > 1")
@@ -318,9 +349,10 @@ def labelled_texts(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
 
     # what a bucket holds together though it isn't linked: blocks of the buckets with several components
     named = met.join(labels.withColumnRenamed("node", "a"), "a", "left").select("band", "bucket", "a", F.coalesce("label", "a").alias("label"))
-    sizes = named.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    open_rows = common.written(named.join(sizes.select("band", "bucket", "n"), ["band", "bucket"]), "open")
-    more = common.written(verified(common.written(block_pairs(open_rows, sampled), "pairs"), near, idf, threshold), "links")
+    named = named.join(sampled.select(F.col("digest").alias("a"), "size"), "a")
+    sizes = named.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    open_rows = common.written(named.drop("size").join(sizes.select("band", "bucket", "n", "bytes"), ["band", "bucket"]), "open")
+    more = common.written(block_links(open_rows, sampled, near, idf, threshold), "links")
     return texts, sampled, components(links.unionAll(more))
 
 
