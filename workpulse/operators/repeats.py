@@ -1,17 +1,19 @@
 """Repeated work: the same task of the same person, with near-identical wordings merged, classified by how often.
 
-Rows are aggregated to (person, wording, day) before anything is compared, so what one person's merge sees is their
-different wordings, not their tasks.
+Rows are aggregated to (person, wording, day) before anything is compared, so what meets are different wordings. Similar
+ones are found by a join on few of their tokens, and which wording stands for which is settled in rounds of joins; no
+person's wordings come together in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyify, normalize_task, short_hash, task_tokens
-from ..plans.facts import EngineConfig
+from ..functions.text import keyify, normalize_task, short_hash, task_tokens, tasks_are_similar
+from ..plans.facts import EngineConfig, written
+
+WHO = ("owner_user_id", "person")
 
 
 def recent(tasks: DataFrame, days: int) -> DataFrame:
@@ -20,31 +22,54 @@ def recent(tasks: DataFrame, days: int) -> DataFrame:
     return tasks.join(newest, "owner_user_id").where(F.col("task_date") >= F.date_sub("newest", days)).drop("newest")
 
 
-def similar(a: list[str], b: list[str], threshold: float) -> bool:
-    shared = len(set(a) & set(b))
-    union = len(a) + len(b) - shared
-    jaccard = shared / union if a and b else 0.0
-    low, high = sorted((len(a), len(b)))
-    return jaccard >= threshold or (low >= 2 and high - low <= 2 and shared == low)
-
+def similar_wordings(wordings: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (owner_user_id, person, wording, earlier) of similar wordings of a person; ``earlier`` comes first by
+    frequency, then by name. ``wordings``: owner_user_id, person, wording, n, tokens.
 
-def canonical_wordings(wordings: DataFrame, threshold: float) -> DataFrame:
-    """(owner, person, wording) with the wording each merges into: from the most frequent down, the first kept wording
-    that is similar. The order matters and similarity isn't transitive, so a person's wordings are walked in turn."""
+    Similar wordings share a token among few: of two sets whose Jaccard similarity is the threshold or more, one of the
+    first |a| - ceil(threshold |a|) + 1 tokens of each, in one order of all tokens; and a set that holds another with
+    two tokens more at most has the other's first token among its first three. The order is by rarity."""
+    rows = wordings.where(F.size("tokens") > 0)
+    often = rows.select("owner_user_id", "person", F.explode("tokens").alias("token")).groupBy(*WHO, "token").agg(F.count("*").alias("held"))
+    each = rows.select(*WHO, "wording", "n", "tokens", F.explode("tokens").alias("token")).join(often, [*WHO, "token"])
+    size = F.size("tokens")
+    most = F.greatest(F.lit(3), size - F.ceil(size * threshold).cast("int") + 1)
+    place = F.row_number().over(Window.partitionBy(*WHO, "wording").orderBy("held", "token"))
+    keys = each.withColumn("place", place).where(F.col("place") <= most).select(*WHO, "token", F.struct((-F.col("n")).alias("rank"), "wording").alias("w"), "tokens")
+    left, right = keys.withColumnsRenamed({"w": "a", "tokens": "ta"}), keys.withColumnsRenamed({"w": "b", "tokens": "tb"})
+    pairs = left.join(right, [*WHO, "token"]).where("b < a").where(tasks_are_similar(F.col("ta"), F.col("tb"), threshold))
+    return pairs.select(*WHO, F.col("a.wording").alias("wording"), F.col("b.wording").alias("earlier"), F.col("b.rank").alias("rank")).distinct()
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "wording"], ascending=[False, True])
-        kept: list[tuple[str, list[str]]] = []
-        target = []
-        for wording, tokens in zip(rows["wording"], rows["tokens"]):
-            found = next((w for w, t in kept if similar(list(tokens), t, threshold)), None)
-            if found is None:
-                kept.append((wording, list(tokens)))
-                found = wording
-            target.append(found)
-        return pd.DataFrame({"owner_user_id": rows["owner_user_id"], "person": rows["person"], "wording": rows["wording"], "canonical": target})
 
-    return wordings.groupBy("owner_user_id", "person").applyInPandas(merge, f"owner_user_id {wordings.schema['owner_user_id'].dataType.simpleString()}, person string, wording string, canonical string")
+def canonical_wordings(wordings: DataFrame, threshold: float) -> DataFrame:
+    """(owner_user_id, person, wording, canonical): from the most frequent wording down, the first kept one that is
+    similar; a wording that is similar to none is kept.
+
+    A wording is kept once all earlier similar ones are known to be merged, and merged once one of them is known to be
+    kept; rounds of joins decide what can be decided until nothing is open, as many as the longest chain of similar
+    wordings needs."""
+    edges = written(similar_wordings(wordings, threshold), "similar-wordings")
+    if edges.isEmpty():
+        return wordings.select(*WHO, "wording", F.col("wording").alias("canonical"))
+    later = edges.select(*WHO, "wording").distinct()
+    first = edges.select(*WHO, F.col("earlier").alias("wording")).distinct().join(later, [*WHO, "wording"], "left_anti")
+    state = written(first.withColumn("kept", F.lit(True)).unionByName(later.withColumn("kept", F.lit(None).cast("boolean"))), "wordings")
+    while not state.where("kept is null").isEmpty():
+        known = state.select(*WHO, F.col("wording").alias("earlier"), F.col("kept").alias("earlier_kept"))
+        seen = edges.join(known, [*WHO, "earlier"]).groupBy(*WHO, "wording").agg(F.max(F.coalesce("earlier_kept", F.lit(False))).alias("any_kept"), F.min(F.col("earlier_kept").isNotNull()).alias("all_known"))
+        now = F.coalesce("kept", F.when(F.col("any_kept"), False), F.when(F.col("all_known"), True))
+        state = written(state.join(seen, [*WHO, "wording"], "left").select(*WHO, "wording", now.alias("kept")), "wordings")
+    kept = state.where("kept").select(*WHO, F.col("wording").alias("earlier"))
+    target = edges.join(kept, [*WHO, "earlier"]).groupBy(*WHO, "wording").agg(F.min(F.struct("rank", "earlier"))["earlier"].alias("target"))
+    merged = target.join(state.where("not kept").select(*WHO, "wording"), [*WHO, "wording"])
+    return wordings.join(merged, [*WHO, "wording"], "left").select(*WHO, "wording", F.coalesce("target", "wording").alias("canonical"))
+
+
+def merged_wordings(tasks: DataFrame, config: EngineConfig = EngineConfig(), person: str = "employee_name") -> DataFrame:
+    """``canonical_wordings`` of the facts within the lookback."""
+    rows = keyed(recent(tasks, config.repeat_lookback_days), person).where("wording != ''")
+    wordings = rows.groupBy(*WHO, "wording").agg(F.count("*").alias("n")).withColumn("tokens", task_tokens(F.col("wording")))
+    return canonical_wordings(wordings, config.similarity_threshold)
 
 
 def keyed(tasks: DataFrame, person: str) -> DataFrame:
@@ -55,23 +80,19 @@ def keyed(tasks: DataFrame, person: str) -> DataFrame:
 def repeat_groups(tasks: DataFrame, config: EngineConfig = EngineConfig(), person: str = "employee_name") -> DataFrame:
     """Groups of two occurrences or more within the lookback, with their classification."""
     rows = keyed(recent(tasks, config.repeat_lookback_days), person).where("wording != ''")
-    days = rows.groupBy("owner_user_id", "person", "wording", "task_date").agg(
+    merged = rows.join(merged_wordings(tasks, config, person), [*WHO, "wording"])
+    days = merged.groupBy(*WHO, "canonical", "task_date").agg(
         F.count("*").alias("n"), F.count_if(F.col("task_status") == "Completed").alias("done"), F.min(F.col(person)).alias("employee"),
-        F.min(F.struct("task_date", "task_id", "department")).alias("first"), F.collect_set("task").alias("variants"),
-    )
-    wordings = days.groupBy("owner_user_id", "person", "wording").agg(F.sum("n").alias("n")).withColumn("tokens", task_tokens(F.col("wording")))
-    merged = days.join(canonical_wordings(wordings, config.similarity_threshold), ["owner_user_id", "person", "wording"])
-    merged = merged.groupBy("owner_user_id", "person", "canonical", "task_date").agg(
-        F.sum("n").alias("n"), F.sum("done").alias("done"), F.min("employee").alias("employee"), F.min("first").alias("first"), F.flatten(F.collect_set("variants")).alias("variants"),
-        F.collect_set("wording").alias("wordings"),
+        F.min(F.struct("task_date", "task_id", "department")).alias("first"),
     )
-    groups = merged.groupBy("owner_user_id", "person", "canonical").agg(
+    shown = merged.select(*WHO, "canonical", "task").distinct()
+    shown = shown.withColumn("place", F.row_number().over(Window.partitionBy(*WHO, "canonical").orderBy("task"))).where("place <= 3")
+    shown = shown.groupBy(*WHO, "canonical").agg(F.array_join(F.array_sort(F.collect_list("task")), " | ").alias("task"))  # three of each
+    groups = days.groupBy(*WHO, "canonical").agg(
         F.sum("n").alias("occurrence_count"), F.count("*").alias("distinct_dates"), F.max("n").alias("max_same_day_count"), F.min("task_date").alias("first_date"),
         F.max("task_date").alias("last_date"), F.sum("done").alias("completed_count"), F.min("employee").alias("employee"), F.min("first")["department"].alias("department"),
-        F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("variants")))), 1, 3), " | ").alias("task"),
-        F.array_distinct(F.flatten(F.collect_set("wordings"))).alias("wordings"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("task_date")), lambda d: d.cast("string")), ",").alias("dates"),
-    ).where("occurrence_count >= 2")
+        F.array_join(F.transform(F.array_sort(F.collect_list("task_date")), lambda d: d.cast("string")), ",").alias("dates"),  # days of the lookback
+    ).where("occurrence_count >= 2").join(shown, [*WHO, "canonical"])
     n, dates = F.col("occurrence_count"), F.col("distinct_dates")
     label = (
         F.when(F.col("max_same_day_count") >= config.repeat_same_day_review_min, "Needs Review")
@@ -83,7 +104,7 @@ def repeat_groups(tasks: DataFrame, config: EngineConfig = EngineConfig(), perso
     return groups.select(
         "owner_user_id", short_hash(F.concat_ws("||", "person", "canonical")).alias("repeat_key"), "employee", "department", "task", F.col("canonical").alias("normalized_task"), "person",
         n.cast("bigint").alias("occurrence_count"), dates.cast("bigint").alias("distinct_dates"), F.col("max_same_day_count").cast("bigint").alias("max_same_day_count"),
-        "first_date", "last_date", "dates", F.col("completed_count").cast("bigint").alias("completed_count"), (n - F.col("completed_count")).cast("bigint").alias("open_count"), label.alias("classification"), "wordings",
+        "first_date", "last_date", "dates", F.col("completed_count").cast("bigint").alias("completed_count"), (n - F.col("completed_count")).cast("bigint").alias("open_count"), label.alias("classification"),
     )
 
 
@@ -101,10 +122,12 @@ def list_groups(groups: DataFrame, department: str | None = None, employee: str
     return groups.orderBy(F.desc("occurrence_count"), "repeat_key")
 
 
-def with_repeat_flag(tasks: DataFrame, groups: DataFrame, config: EngineConfig = EngineConfig(), person: str = "employee_name") -> DataFrame:
-    """``tasks`` with repeated_task_flag: whether the row is one of a group's occurrences."""
-    hit = groups.select("owner_user_id", "person", F.explode("wordings").alias("wording"), F.lit(True).alias("hit"))
+def with_repeat_flag(tasks: DataFrame, wordings: DataFrame, groups: DataFrame, config: EngineConfig = EngineConfig(), person: str = "employee_name") -> DataFrame:
+    """``tasks`` with repeated_task_flag: whether the row is one of a group's occurrences. ``wordings`` are
+    ``merged_wordings``."""
+    named = groups.select(*WHO, F.col("normalized_task").alias("canonical"))
+    hit = wordings.join(named, [*WHO, "canonical"]).select(*WHO, "wording", F.lit(True).alias("hit"))
     newest = tasks.groupBy("owner_user_id").agg(F.max("task_date").alias("newest"))
-    rows = keyed(tasks, person).join(newest, "owner_user_id").join(hit, ["owner_user_id", "person", "wording"], "left")
+    rows = keyed(tasks, person).join(newest, "owner_user_id").join(hit, [*WHO, "wording"], "left")
     inside = F.col("task_date") >= F.date_sub("newest", config.repeat_lookback_days)
     return rows.withColumn("repeated_task_flag", F.coalesce(F.col("hit") & inside, F.lit(False))).select(*tasks.columns, "repeated_task_flag")

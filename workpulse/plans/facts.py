@@ -5,6 +5,11 @@ The same SQL text serves both engines, so that queries and their SQL start from
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +67,38 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, alias in (("orders", "o"), ("customer", "c"), ("nation", "n"), ("region", "r"), ("part", "p")):
         text = text.replace(f" {name} {alias}", f" {{{name}}} {alias}")
     return spark.sql(text, **named)
+
+
+@functools.cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='workpulse-')}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves
+    a local master; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; set it to a folder that the driver and all executors share")
+        folder = _local_folder()
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read again, which ends its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives for the tables in ``sf_dir``, written by the first query of a Spark application that needs it
+    and scanned by the others: facts are analysed once, not by each dashboard."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = written(build(), name)
+    return _WRITTEN[key]

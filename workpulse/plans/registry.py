@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import dashboard, digests, headers, ingest, joins, merges, messages, repeats, slow, summaries
 from ..operators.measures import counted
 from . import mailbox
-from .facts import FACTS_SQL, EngineConfig, table, tasks
+from .facts import FACTS_SQL, EngineConfig, once, table, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,13 +84,22 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def analysed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "repeat-groups", lambda: repeats.repeat_groups(tasks(spark, sf_dir), REPEATS, PERSON))
+
+
 def groups_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeat_groups(tasks(spark, sf_dir), REPEATS, PERSON)
+    return analysed_groups(spark, sf_dir)
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analysed = slow.slow_analysis(tasks(spark, sf_dir))
-    return repeats.with_repeat_flag(analysed, groups_of(spark, sf_dir), REPEATS, PERSON)
+    """Facts with what the analyses say of them."""
+
+    def build() -> DataFrame:
+        facts = tasks(spark, sf_dir)
+        return repeats.with_repeat_flag(slow.slow_analysis(facts), repeats.merged_wordings(facts, REPEATS, PERSON), analysed_groups(spark, sf_dir), REPEATS, PERSON)
+
+    return once(spark, sf_dir, "analysed-facts", build)
 
 
 def managers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,12 +270,12 @@ def _slow_top(spark, sf_dir):
 
 @register("repeat_groups", with_flags("SELECT * FROM groups"))
 def _groups(spark, sf_dir):
-    return groups_of(spark, sf_dir).drop("wordings")
+    return groups_of(spark, sf_dir)
 
 
 @register("repeat_groups_listed", with_flags("SELECT * FROM groups WHERE last_date >= DATE '2001-01-01' AND first_date <= DATE '2001-03-31' AND task ILIKE '%bolt%'"))
 def _listed(spark, sf_dir):
-    return repeats.list_groups(groups_of(spark, sf_dir), first="2001-01-01", last="2001-03-31", search="bolt").drop("wordings")
+    return repeats.list_groups(groups_of(spark, sf_dir), first="2001-01-01", last="2001-03-31", search="bolt")
 
 
 joins.register_all(register, with_facts, tasks, table)
