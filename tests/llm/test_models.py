@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -136,6 +138,23 @@ def test_probing_retrieves_every_code_within_a_radius():
         assert set(zip(query.tolist(), row.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(apart <= radius))))
 
 
+def test_probing_is_selective_among_clusters():
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(50, 64))
+    vectors = np.repeat(centres, 40, axis=0) + draw.normal(0, 0.25, (2000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    coder = ann.Coder(vectors, 20)
+    codes = coder.codes(vectors)
+    index = ann.Index(codes)
+    share = np.unpackbits(index.probed(codes[::20], coder.radius), axis=1, count=2000).mean()
+    ids = np.arange(2000)
+    query, found, _ = ann.best(index, coder, vectors, ids, vectors[::20], ids[::20], 20)
+    scores = vectors[::20] @ vectors.T
+    scores[np.arange(100), ids[::20]] = -np.inf
+    truth = {(q, i) for q, near in zip(ids[::20], np.argsort(-scores, axis=1)[:, :20]) for i in near}
+    assert share < 0.2 and len(truth & set(zip(query.tolist(), found.tolist()))) >= 0.9 * len(truth)
+
+
 def test_language_model_contract_and_gain(spark, small):
     docs = {r["doc_id"]: lm.words_of(r["text"]) for r in common.table(spark, small, "documents").collect()}
     counts: dict[bytes, int] = {}
@@ -157,6 +176,53 @@ def test_language_model_contract_and_gain(spark, small):
     assert sum(gain) > 0
 
 
+def test_language_model_scores_equal_brute_force(spark, monkeypatch):
+    """The query's scores against a model trained and summed over paths step by step, with whole sequences."""
+    draw = random.Random(2)
+    docs = [(i, " ".join(draw.choices("abcde" if i % 2 else "vwxyz", k=draw.randint(0, 12))) + (" rare" if i == 3 else ""), i % 5 != 0) for i in range(40)]
+    monkeypatch.setattr(lm, "LEAST_GAIN", -1.0)
+    monkeypatch.setattr(lm, "SLICE_TOKENS", 20)
+    rows = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string, train boolean"), F.col("train"), states=2, passes=2).collect()
+    counts = Counter(w for _, t, train in docs if train for w in lm.words_of(t))
+    n, v = sum(counts.values()), len(counts)
+    p = lambda w: (counts[w] + 0.1) / (n + 0.1 * (v + 1))
+    kind = lambda w: zlib.crc32(w) % lm.HASHES if counts[w] >= lm.OWN_CLASS * n and counts[w] else lm.UNKNOWN_CLASS
+    base = np.zeros(lm.CLASSES)
+    for w in counts:
+        base[kind(w)] += p(w)
+    base[lm.UNKNOWN_CLASS] = 0.1 / (n + 0.1 * (v + 1))
+    model = lm.tilted(base, 2)
+
+    def walk(words):
+        """Scaled forward values, the likelihood, and expected counts, a token at a time."""
+        emit = np.exp(np.array([model.emissions[kind(w)] for w in words]))
+        move, begin = np.exp(model.transitions), np.exp(model.begin)
+        alpha = [begin * emit[0]]
+        for e in emit[1:]:
+            alpha.append(alpha[-1] @ move * e)
+        beta = [np.ones(2)]
+        for e in emit[:0:-1]:
+            beta.insert(0, move @ (e * beta[0]))
+        total = alpha[-1].sum()
+        pairs = sum((np.outer(alpha[t], emit[t + 1] * beta[t + 1]) * move for t in range(len(words) - 1)), np.zeros((2, 2))) / total
+        return [a * b / total for a, b in zip(alpha, beta)], pairs, total
+
+    for _ in range(2):
+        emit, move, first = np.zeros((lm.CLASSES, 2)), np.zeros((2, 2)), np.zeros(2)
+        for _, text, train in docs:
+            if train:
+                gamma, pairs, _ = walk(lm.words_of(text))
+                for w, g in zip(lm.words_of(text), gamma):
+                    emit[kind(w)] += g
+                move, first = move + pairs, first + gamma[0]
+        model = lm.maximised(emit, move, first, base)
+    texts = {i: t for i, t, _ in docs}
+    for r in rows:
+        words = lm.words_of(texts[r["doc_id"]])
+        right = math.log10(walk(words)[2]) + sum(math.log10(p(w) / base[kind(w)]) for w in words)
+        assert abs(r["score"] - right) < 1e-4 * max(1, abs(right)), (r, right)
+
+
 def test_language_model_is_a_distribution(spark):
     """Probabilities of all texts of one word (every known word, or the unknown one), and of none, times what follows."""
     texts = ["a b c a", "b b a", "c a d", "a"] * 5

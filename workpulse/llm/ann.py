@@ -9,6 +9,10 @@ holds, for each substring and value, the bitmap of the rows whose substring lies
 row of bits, and a query's candidates are the union of one probe for each substring. Candidates are held to the radius
 and then ranked by their exact inner products.
 
+Probes are selective where neighbours are near: among vectors in clusters. Where the nearest vectors are hardly nearer
+than others, as among random ones of many dimensions, the radius that holds them takes in most substrings, and the codes
+then save exact products rather than probes.
+
 Spark deals index rows and queries to a grid of cells of bounded size, each cell searched by one task, and merges the
 best of each. A query that finds too few within the radius probes again with a larger one.
 """
@@ -27,7 +31,8 @@ SAMPLE_VECTORS = 4096
 ROTATIONS, ITERATIONS = 4, 25
 #: Share of the sample's true neighbours that the radius takes in.
 COVERED = 0.95
-INDEX_ROWS, QUERY_ROWS = 16384, 2048
+#: Rows of an index block, and of a block of queries: an index row is copied once for each block of queries.
+INDEX_ROWS, QUERY_ROWS = 16384, 16384
 CHUNK = 64
 
 _COUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -76,15 +81,20 @@ class Index:
             self.tables[key] = np.packbits((_APART <= radius)[:, self.codes[:, substring]], axis=1)
         return self.tables[key]
 
-    def within(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of every row within ``radius`` bits of a query."""
+    def probed(self, codes: np.ndarray, radius: int) -> np.ndarray:
+        """Per query the bitmap of rows that the probes for ``radius`` retrieve: all within it, and others."""
         m = self.codes.shape[1]
         a, b = divmod(min(radius, 8 * m), m)
         found = np.zeros((len(codes), -(-len(self.codes) // 8)), dtype=np.uint8)
         for s in range(m):
             if (reach := a if s <= b else a - 1) >= 0:
                 found |= self.balls(s, reach)[codes[:, s]]
-        query, row = np.nonzero(np.unpackbits(found, axis=1, count=len(self.codes)))
+        return found
+
+    def within(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of every row within ``radius`` bits of a query."""
+        m = self.codes.shape[1]
+        query, row = np.nonzero(np.unpackbits(self.probed(codes, radius), axis=1, count=len(self.codes)))
         words = -(-m // 8) * 8
         wide = lambda c: np.pad(c, ((0, 0), (0, words - m))).view(np.uint64)
         apart = np.bitwise_count(wide(codes)[query] ^ wide(self.codes)[row]).sum(axis=1, dtype=np.int64)

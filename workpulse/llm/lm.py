@@ -40,7 +40,7 @@ UNKNOWN_CLASS = 2 * HASHES
 OWN_CLASS = 2e-6
 SMOOTH = 0.1
 #: A block ends after so many tokens or different words.
-BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 200_000
+BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 600_000
 #: Bytes of text that are cut into words together.
 TEXT_BYTES = 1 << 20
 #: Tokens that go through the recursion together. A longer sequence goes alone, in blocks with the state carried on.
