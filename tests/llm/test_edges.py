@@ -54,6 +54,25 @@ def test_odd_rows(spark, name):
         assert not {1, 2, 5} & set(ids)
 
 
+@pytest.fixture(scope="module")
+def different():
+    """Ten megabytes of text, no word twice."""
+    return " ".join(f"w{i:x}z" for i in range(1_250_000))
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_long_text_of_different_words(spark, name, different):
+    docs = spark.createDataFrame([(1, different, "x"), (2, "a short text of few words", "y"), (3, "another one, of other words", "x")], SCHEMA)
+    rows = OPERATORS[name](docs).collect()
+    assert {r["doc_id"] for r in rows} == {1, 2, 3}
+    if name == "lm":
+        assert {r["doc_id"]: r["n_tokens"] for r in rows}[1] == 1_250_001
+    if name == "decontam":
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in rows}[1] == (1_250_000, 1_250_000)
+    if name == "packing":
+        assert sum(r["length"] for r in rows if r["doc_id"] == 1) > 1_250_000
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables(spark, name):
     assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).collect() == []

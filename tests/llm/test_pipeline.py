@@ -60,3 +60,21 @@ def test_stages(spark, small):
                 assert r["n_chars"] == len(r["text"]) if r["text"] != text else r == given[k]
         before = after
     packed_rightly(after.collect(), {k: r["text"] for k, r in kept.items()})
+    whole = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, small).collect())
+    assert whole == sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in after.collect())
+
+
+def test_stages_keep_one_of_repeated_rows_and_tell_texts_of_one_id_apart(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "one text of some words", "en", "b", 22), (1, "one text of some words", "en", "a", 22), (1, "quite another text under the same id", "en", "a", 36), (2, "one text of some words", "en", "a", 22), (3, None, None, "a", None), (3, None, None, "a", None)]
+    found = sorted(map(tuple, neardup.representatives(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert found == sorted([rows[1], rows[2], rows[4]], key=str)
+
+
+def test_language_is_written_where_it_is_missing(spark, small):
+    docs = common.table(spark, small, "documents")
+    model = langid.train(docs)
+    kept = langid.keep_known(docs, model).select("doc_id", "lang").collect()
+    given = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert all(r["lang"] == (given[r["doc_id"]] or found[r["doc_id"]]) for r in kept)

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import duration_hours, duration_in_hours, parse_date, parse_time
 from ..functions.text import STATUS_ALIASES, clean_whitespace, keyify, normalize_priority, normalize_status, normalize_task, status_from_answer, status_is_ambiguous, status_means_planned
-from ..plans.facts import EngineConfig
+from ..plans.facts import EngineConfig, once
 from . import headers
 from .joins import occurrence_fingerprints, route
 
 # A row that begins a field with one of these sums others up.
-SUMMARY_WORDS = r"^(total|grand total|sum|subtotal|overall|summary|count)\b"
+SUMMARY_WORDS = r"(?i)^[\s\u00a0]*(total|grand total|sum|subtotal|overall|summary|count)\b"
 TABLE = ("document_id", "table_index")
 
 
@@ -44,17 +44,22 @@ def numbered_rows(grids: DataFrame, config: IngestConfig = IngestConfig(), docum
     without a header give no rows.
     """
     rows = grids.join(header_maps(grids, config, documents), list(TABLE)).where(F.col("row_index") > F.col("header_row"))
+    # judged by the cells themselves, so that the filter doesn't work out all of a row's fields
+    cell = lambda f: F.coalesce(F.get("cells", F.try_element_at("fields", F.lit(f)))["text"], F.lit(""))
+    blank = r"^[\s\u00a0\-–—.]*$"
+    named = F.lit(False)
+    for f in ("task", "plannedTask", "employee", "date"):
+        named = named | ~cell(f).rlike(blank)
+    summed = F.lit(False)
+    for f in ("task", "employee", "date", "department", "status"):
+        summed = summed | cell(f).rlike(SUMMARY_WORDS)
+    rows = rows.where(named & ~summed)
     text = lambda at: F.coalesce(clean_whitespace(F.get("cells", at)["text"]), F.lit(""))
-    blank = lambda value: F.when(value.rlike(r"^[\s\-–—.]*$"), F.lit("")).otherwise(value)
-    raw = F.transform_values("fields", lambda _, at: blank(text(at)))
+    raw = F.transform_values("fields", lambda _, at: F.when(F.get("cells", at)["text"].rlike(blank), F.lit("")).otherwise(text(at)))
     target = F.nullif(F.get("cells", F.try_element_at("fields", F.lit("link")))["href"], F.lit(""))
     any_target = F.get(F.filter(F.transform("cells", lambda c: c["href"]), lambda h: h != ""), F.lit(0))
     rows = rows.select(*TABLE, "row_index", "headings", "title_employee", "title_date", "title_department", raw.alias("raw"), F.coalesce(target, any_target).alias("target"))
     rows = rows.withColumn("link", F.coalesce("target", F.try_element_at("raw", F.lit("link")), F.lit(""))).drop("target")
-    at = lambda f: F.coalesce(F.try_element_at("raw", F.lit(f)), F.lit(""))
-    summed = F.exists(F.array(*(at(f) for f in ("task", "employee", "date", "department", "status"))), lambda v: F.lower(v).rlike(SUMMARY_WORDS))
-    filler = F.concat(at("task"), at("plannedTask"), at("employee"), at("date")) == ""
-    rows = rows.where(~filler & ~summed)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("table_index", "row_index")))
 
 
@@ -146,13 +151,17 @@ def register_all(register, with_facts, tasks, table) -> None:
         lines = rows.groupBy(F.concat_ws("/", "employee_name", F.date_format("task_date", "yyyy-MM")).alias("document_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
         return lines.select("document_id", F.concat(F.lit("Report\nDate | Employee | Task | Status\n-----|---|---|---\n"), "body", F.lit("\nTotal | | | \n\nRegards")).alias("text"))
 
+    def read_reports(spark, sf_dir):
+        """Grids are written before headings are looked for, so that markup is read once."""
+        return once(spark, sf_dir, "report-grids", lambda: read_grids(reports(spark, sf_dir)))
+
     facts = "SELECT concat(employee_name, '/', strftime(task_date, '%Y-%m')) AS document_id, * FROM (SELECT * REPLACE (CAST(task_date + INTERVAL 30 YEAR AS DATE) AS task_date) FROM tasks WHERE task_status <> 'Ambiguous')"
 
     @register("ingest_reports", with_facts(f"SELECT document_id, task_date, employee_name, task, CASE WHEN work_kind = 'PLANNED' THEN NULL ELSE task_status END AS task_status, CASE WHEN work_kind = 'PLANNED' THEN 'UNKNOWN_STATUS' END AS reject_reason FROM ({facts})"))
     def _(spark, sf_dir):
-        return validated(raw_rows(read_grids(reports(spark, sf_dir)))).select("document_id", "task_date", "employee_name", "task", "task_status", "reject_reason")
+        return validated(raw_rows(read_reports(spark, sf_dir))).select("document_id", "task_date", "employee_name", "task", "task_status", "reject_reason")
 
     @register("ingest_rejections", with_facts(f"SELECT document_id, 'UNKNOWN_STATUS' AS reject_reason, count(*) AS n FROM ({facts}) WHERE work_kind = 'PLANNED' GROUP BY 1"))
     def _(spark, sf_dir):
-        rows = validated(raw_rows(read_grids(reports(spark, sf_dir))))
+        rows = validated(raw_rows(read_reports(spark, sf_dir)))
         return rows.where("reject_reason is not null").groupBy("document_id", "reject_reason").agg(F.count("*").alias("n"))

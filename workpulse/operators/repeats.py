@@ -77,10 +77,11 @@ def keyed(tasks: DataFrame, person: str) -> DataFrame:
     return tasks.withColumns({"person": keyify(F.col(person)), "wording": wording})
 
 
-def repeat_groups(tasks: DataFrame, config: EngineConfig = EngineConfig(), person: str = "employee_name") -> DataFrame:
-    """Groups of two occurrences or more within the lookback, with their classification."""
+def repeat_groups(tasks: DataFrame, config: EngineConfig = EngineConfig(), person: str = "employee_name", wordings: DataFrame | None = None) -> DataFrame:
+    """Groups of two occurrences or more within the lookback, with their classification. ``wordings``:
+    ``merged_wordings``, if they are known already."""
     rows = keyed(recent(tasks, config.repeat_lookback_days), person).where("wording != ''")
-    merged = rows.join(merged_wordings(tasks, config, person), [*WHO, "wording"])
+    merged = rows.join(merged_wordings(tasks, config, person) if wordings is None else wordings, [*WHO, "wording"])
     days = merged.groupBy(*WHO, "canonical", "task_date").agg(
         F.count("*").alias("n"), F.count_if(F.col("task_status") == "Completed").alias("done"), F.min(F.col(person)).alias("employee"),
         F.min(F.struct("task_date", "task_id", "department")).alias("first"),

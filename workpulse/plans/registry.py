@@ -84,20 +84,20 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def analysed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "repeat-groups", lambda: repeats.repeat_groups(tasks(spark, sf_dir), REPEATS, PERSON))
+def wordings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "merged-wordings", lambda: repeats.merged_wordings(tasks(spark, sf_dir), REPEATS, PERSON))
 
 
 def groups_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysed_groups(spark, sf_dir)
+    return once(spark, sf_dir, "repeat-groups", lambda: repeats.repeat_groups(tasks(spark, sf_dir), REPEATS, PERSON, wordings_of(spark, sf_dir)))
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with what the analyses say of them."""
 
     def build() -> DataFrame:
-        facts = tasks(spark, sf_dir)
-        return repeats.with_repeat_flag(slow.slow_analysis(facts), repeats.merged_wordings(facts, REPEATS, PERSON), analysed_groups(spark, sf_dir), REPEATS, PERSON)
+        analysed = slow.slow_analysis(tasks(spark, sf_dir))
+        return repeats.with_repeat_flag(analysed, wordings_of(spark, sf_dir), groups_of(spark, sf_dir), REPEATS, PERSON)
 
     return once(spark, sf_dir, "analysed-facts", build)
 
