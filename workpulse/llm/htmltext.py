@@ -217,21 +217,31 @@ def repeated_runs(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return distinct, times[often][at]
 
 
-def lying_in(words: list[str], boiler: np.ndarray) -> np.ndarray:
-    """Which words lie in one of the runs ``boiler`` (sorted hashes)."""
-    runs = run_hashes(words)
-    if not len(boiler) or not len(runs):
-        return np.zeros(len(words), dtype=bool)
-    often = boiler[np.minimum(np.searchsorted(boiler, runs), len(boiler) - 1)] == runs
-    return covered(LEAST, np.concatenate([often, np.zeros(len(words) - len(runs), dtype=bool)]))
+def lying_in(words: list[str], asked: np.ndarray, boiler: np.ndarray) -> np.ndarray:
+    """Which of the ``asked`` words (true where asked) lie in one of the runs ``boiler`` (sorted hashes). Only they and
+    the words next to them, which runs may begin or end with, are hashed."""
+    out = np.zeros(len(words), dtype=bool)
+    if not len(boiler) or not asked.any():
+        return out
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], asked.astype(np.int8), [0]])))
+    starts, ends = np.maximum(edges[::2] - LEAST + 1, 0), np.minimum(edges[1::2] + LEAST - 1, len(words))
+    first = np.concatenate([[True], starts[1:] > ends[:-1]])  # stretches that touch are one
+    for a, b in zip(starts[first], ends[np.append(np.flatnonzero(first)[1:] - 1, len(ends) - 1)]):
+        runs = run_hashes(words[a:b])
+        if len(runs):
+            often = boiler[np.minimum(np.searchsorted(boiler, runs), len(boiler) - 1)] == runs
+            if often.any():
+                out[a:b] = covered(LEAST, np.concatenate([often, np.zeros(b - a - len(runs), dtype=bool)]))
+    return out & asked
 
 
 def without(found: list[str], kinds: str, boiler: np.ndarray, shared: np.ndarray) -> tuple[str, int, int]:
     """The text of a page without what the runs ``boiler`` cover, or inside an article the runs ``shared`` (both sorted
     hashes), and without what markup rules out of the rest; words that went by runs, and by markup alone."""
     words = words_in(found)
-    mask, inner = lying_in(words, boiler), lying_in(words, shared)
     place = max(kinds.replace("h", ""), default="0")
+    inside = np.repeat([k == place > "0" for k in kinds], [b.count(" ") + 1 for b in found]).astype(bool)
+    mask, inner = lying_in(words, ~inside, boiler), lying_in(words, inside, shared)
     kept, at, by_runs, by_marks = [], 0, 0, 0
     for b, kind in zip(found, kinds):
         own = b.split(" ")
