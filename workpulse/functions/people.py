@@ -9,21 +9,26 @@ from .text import clean_whitespace, keyify
 
 # Words that name work, teams or documents rather than people; their plurals follow by rule.
 WORK_WORDS = (
-    "meeting monitoring team building calendar event plan planning interview induction management support coordination update report reporting review "
-    "training engagement communication recruitment attendance capability process project task work follow followup documentation document asset details "
-    "form register leave hr qa sop testing test ticket defect deployment fixed fix resolved developed implemented discussed performed worked continued "
-    "completed call email mail data entry sheet content design designing creation create created preparation prepare prepared onboarding payroll audit "
-    "compliance policy vendor client campaign post blog video social media website app application server bug feature module dashboard analysis research "
-    "session workshop presentation marketing sales operations admin office biometric medical fitness directory official acknowledgement absence "
-    "compensatory record priority internal external day week weekly daily monthly round department development relations relationship employee staff "
-    "candidate hiring salary invoice order account finance budget approval upload download backup maintenance installation setup config configuration issue "
-    "query feedback survey brochure banner logo creative script course lesson quiz assessment drive visit pending progress status adhoc misc miscellaneous "
-    "general other total summary na none all yes no unassigned unknown panel group today dubai delhi noida india indian uae mumbai pune bengaluru bangalore "
-    "gurgaon gurugram hyderabad chennai kolkata sharjah london france resource human travel reimbursement welcome kit letter response cv database chart "
-    "organisational organizational organisation organization welfare committee confirmation gmail birthday poster celebration probation tracking tracker "
-    "menu invitation agenda signature payment stipend visa permit insurance handbook newsletter magazine internship certificate completion system access "
-    "joiner intern"
-).split()
+    "meeting", "monitoring", "team", "building", "calendar", "event", "plan", "planning", "interview", "induction", "management", "support",
+    "coordination", "update", "report", "reporting", "review", "training", "engagement", "communication", "recruitment", "attendance", "capability",
+    "process", "project", "task", "work", "follow", "followup", "documentation", "document", "asset", "details", "form", "register", "leave", "hr", "qa",
+    "sop", "testing", "test", "ticket", "defect", "deployment", "fixed", "fix", "resolved", "developed", "implemented", "discussed", "performed",
+    "worked", "continued", "completed", "call", "email", "mail", "data", "entry", "sheet", "content", "design", "designing", "creation", "create",
+    "created", "preparation", "prepare", "prepared", "onboarding", "payroll", "audit", "compliance", "policy", "vendor", "client", "campaign", "post",
+    "blog", "video", "social", "media", "website", "app", "application", "server", "bug", "feature", "module", "dashboard", "analysis", "research",
+    "session", "workshop", "presentation", "marketing", "sales", "operations", "admin", "office", "biometric", "medical", "fitness", "directory",
+    "official", "acknowledgement", "absence", "compensatory", "record", "priority", "internal", "external", "day", "week", "weekly", "daily", "monthly",
+    "round", "department", "development", "relations", "relationship", "employee", "staff", "candidate", "hiring", "salary", "invoice", "order",
+    "account", "finance", "budget", "approval", "upload", "download", "backup", "maintenance", "installation", "setup", "config", "configuration",
+    "issue", "query", "feedback", "survey", "brochure", "banner", "logo", "creative", "script", "course", "lesson", "quiz", "assessment", "drive",
+    "visit", "pending", "progress", "status", "adhoc", "misc", "miscellaneous", "general", "other", "total", "summary", "na", "none", "all", "yes", "no",
+    "unassigned", "unknown", "panel", "group", "today", "dubai", "delhi", "noida", "india", "indian", "uae", "mumbai", "pune", "bengaluru", "bangalore",
+    "gurgaon", "gurugram", "hyderabad", "chennai", "kolkata", "sharjah", "london", "france", "resource", "human", "travel", "reimbursement", "welcome",
+    "kit", "letter", "response", "cv", "database", "chart", "organisational", "organizational", "organisation", "organization", "welfare", "committee",
+    "confirmation", "gmail", "birthday", "poster", "celebration", "probation", "tracking", "tracker", "menu", "invitation", "agenda", "signature",
+    "payment", "stipend", "visa", "permit", "insurance", "handbook", "newsletter", "magazine", "internship", "certificate", "completion", "system",
+    "access", "joiner", "intern",
+)
 # Words that join a phrase, not a name.
 CONNECTORS = ("with", "for", "the", "to", "of", "on", "in", "at", "from", "and", "by", "about", "into", "via", "per")
 

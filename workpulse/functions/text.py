@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ _ENTITIES = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_whitespace(c: Column) -> Column:
     c = F.regexp_replace(F.translate(c, " ", " "), r"[\r\n\t]+", " ")
     return F.trim(F.regexp_replace(c, r"(?U)\s{2,}", " "))
