@@ -169,6 +169,16 @@ def map_whole_rows(
     return df.mapInArrow(mapped, schema)
 
 
+def ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    sizes = stops - starts
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, dtype=np.int64)
+    before = np.cumsum(sizes) - sizes
+    return np.arange(total, dtype=np.int64) + np.repeat(starts - before, sizes)
+
+
 def tokenizer_path(path: str | None) -> str:
     """``path``, or the public word tokenizer of this machine."""
     if path and os.path.exists(path):

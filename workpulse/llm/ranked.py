@@ -7,9 +7,11 @@
 3. Dynamic programming cuts every list into blocks of varying length: of all cuts it takes the one with the least
    sum, over postings, of the block's maximum less the posting's own value, plus a price for each block.
 4. The blocks' boundaries cut the shard into intervals. In an interval no cursor leaves its block, so the sum of the
-   blocks' maxima bounds every document in it: WAND's pivot test, made for all intervals of an item at once. Intervals
-   are taken from the highest bound down and scored exactly; when no bound left reaches the k-th best score so far,
-   the rest is skipped. A task keeps its best from shard to shard, so thresholds start high.
+   blocks' maxima bounds every document in it: WAND's test of a pivot's blocks, made for all intervals of an item at once.
+   Intervals are taken from the highest bound down and scored exactly; when no bound left reaches the k-th best score so
+   far (or the k-th largest value of one list, which k documents reach), the rest is skipped. Within an interval only documents from the pivot list on are scored: lists whose maxima
+   together don't reach that score bring none by themselves. A task keeps its best from shard to shard, so thresholds
+   start high.
 5. The best of all tasks are merged by a window that leaves at most k rows of an item in each task before its shuffle.
 
 No posting is shuffled. Items are taken in blocks of bounded text, one round of passes each.
@@ -46,16 +48,6 @@ _FOUND = pa.schema([("item", pa.int32()), ("doc_id", pa.int64()), ("score", pa.i
 _LAST = np.iinfo(np.int64).max  # stands for a null id, which is after all others
 
 
-def runs(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one range after another."""
-    sizes = stops - starts
-    total = int(sizes.sum())
-    if not total:
-        return np.zeros(0, dtype=np.int64)
-    before = np.cumsum(sizes) - sizes
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - before, sizes)
-
-
 def cut_lists(values: np.ndarray, starts: np.ndarray, price: float = PRICE, group: int = GROUP, groups: int = GROUPS, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """Blocks of posting lists: (the place of each block's first posting, the number of blocks before each list).
 
@@ -72,7 +64,7 @@ def cut_lists(values: np.ndarray, starts: np.ndarray, price: float = PRICE, grou
     steps = int(many.max())
     # the first posting of every group, and what groups hold
     of = np.repeat(np.arange(lists), many)
-    number = runs(np.zeros(lists, dtype=np.int64), many)
+    number = common.ranges(np.zeros(lists, dtype=np.int64), many)
     at = starts[:-1][of] + number * width[of]
     most = np.maximum.reduceat(values, at).astype(np.float64)
     sums = np.add.reduceat(values.astype(np.float64), at)
@@ -129,8 +121,21 @@ class Shard:
         ends = np.append(begins[1:], len(terms))
         self.low, self.high = (self.docs[begins], self.docs[ends - 1] + 1) if len(begins) else (begins, begins)
         self.most = np.maximum.reduceat(self.values, begins) if len(begins) else begins
+        self.list_most = np.maximum.reduceat(self.values, self.starts[:-1]) if len(self.terms) else begins
+        self.kth: dict[tuple[int, int], int] = {}
         self.scored = 0  # postings that searches touched
 
+    def _kth(self, i: int, k: int) -> int:
+        """The k-th largest value of a list, 0 if it is shorter: k documents score at least that."""
+        if (i, k) not in self.kth:
+            values = self._list(i)[1]
+            self.kth[i, k] = int(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else 0
+        return self.kth[i, k]
+
+    def _list(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[i], self.starts[i + 1])
+        return self.docs[part], self.values[part]
+
     def intervals(self, blocks: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(low, high, bound) of the intervals between the boundaries of some blocks; those that no block covers are left out."""
         edge = np.concatenate([self.low[blocks], self.high[blocks]])
@@ -152,34 +157,45 @@ class Shard:
         if not len(at):
             return ids, scores
         first, last = self.first_block[at], self.first_block[at + 1]
-        low, high, bound = self.intervals(runs(first, last), np.repeat(times, last - first))
+        low, high, bound = self.intervals(common.ranges(first, last), np.repeat(times, last - first))
         order = np.argsort(-bound, kind="stable")
         low, high, bound = low[order], high[order], bound[order]
         covered = np.cumsum(high - low)
         done, batch = 0, 16 * k
+        least = max(1, *(self._kth(i, k) * t for i, t in zip(at.tolist(), times.tolist())))
         while done < len(bound):
-            threshold = scores[k - 1] if len(scores) >= k else 1
+            threshold = max(least, scores[k - 1]) if len(scores) >= k else least
             reach = int(np.searchsorted(-bound, -threshold, side="right"))  # those whose bound reaches the threshold
             stop = min(reach, int(np.searchsorted(covered, (covered[done - 1] if done else 0) + batch)) + 1)
             if stop <= done:
                 break
-            ids, scores = self._scored(at, times, low[done:stop], high[done:stop], k, ids, scores)
+            ids, scores = self._scored(at, times, low[done:stop], high[done:stop], threshold, k, ids, scores)
             done, batch = stop, batch * 4
         return ids, scores
 
-    def _scored(self, at, times, low, high, k, ids, scores):
+    def _scored(self, at, times, low, high, threshold, k, ids, scores):
         by_place = np.argsort(low, kind="stable")
         low, high = low[by_place], high[by_place]
         apart = np.append(True, low[1:] != high[:-1])
         low, high = low[apart], high[np.append(apart[1:], True)]
+        # the pivot of the lists: those with the smallest maxima, which together don't reach the threshold, bring no
+        # document by themselves and are asked only about documents of the other lists
+        most = self.list_most[at] * times
+        order = np.argsort(most, kind="stable")
+        alone = int(np.searchsorted(np.cumsum(most[order]), threshold))
         sums = np.zeros(len(self.ids), dtype=np.int64)
-        for i, t in zip(at, times):
-            a, b = self.starts[i], self.starts[i + 1]
-            docs = self.docs[a:b]
-            where = a + runs(np.searchsorted(docs, low), np.searchsorted(docs, high))
-            sums[self.docs[where]] += self.values[where] * t  # a list has a document once
+        for i in order[alone:]:
+            docs, values = self._list(at[i])
+            where = common.ranges(np.searchsorted(docs, low), np.searchsorted(docs, high))
+            sums[docs[where]] += values[where] * times[i]  # a list has a document once
             self.scored += len(where)
-        found = np.nonzero(sums >= (scores[k - 1] if len(scores) >= k else 1))[0]
+        some = np.nonzero(sums)[0]
+        for i in order[:alone]:
+            docs, values = self._list(at[i])
+            where = np.minimum(np.searchsorted(docs, some), len(docs) - 1)
+            sums[some] += np.where(docs[where] == some, values[where], 0) * times[i]
+            self.scored += min(len(some), len(docs))
+        found = some[sums[some] >= threshold]
         ids, scores = np.concatenate([ids, self.ids[found]]), np.concatenate([scores, sums[found]])
         order = np.lexsort((ids, -scores))[:k]
         return ids[order], scores[order]
