@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import duration_hours, duration_in_hours, parse_date, parse_time
 from ..functions.text import STATUS_ALIASES, clean_whitespace, keyify, normalize_priority, normalize_status, normalize_task, status_from_answer, status_is_ambiguous, status_means_planned
-from ..plans.facts import EngineConfig, once
+from ..plans.facts import EngineConfig, once, tasks
+from ..sources.grids import read_grids
 from . import headers
 from .joins import occurrence_fingerprints, route
 
@@ -74,21 +75,28 @@ def rows_over_cap(grids: DataFrame, config: IngestConfig = IngestConfig(), docum
     return rows.groupBy("document_id").agg(F.count("*").alias("rows_over_cap"))
 
 
+#: What documents may state of all their rows, beside document_id; what a caller doesn't have is null.
+STATED = {"stated_employee": "string", "stated_date": "date", "sender_employee": "string", "inferred_date": "date"}
+
+
 def validated(raw: DataFrame, documents: DataFrame | None = None, config: IngestConfig = IngestConfig()) -> DataFrame:
     """Each raw row as a task with ``reject_reason``, the first rule that it breaks, or null if it is accepted.
 
-    A row without a day takes the one that its table's title, or else ``documents`` (document_id, stated_employee,
-    stated_date; optional), states; so does one without a person, if the table has no column of people at all.
+    A row without a day takes the one that its table's title states, or else ``documents`` (document_id and any of
+    ``STATED``): on the form, or in the covering text. One without a person takes the form's, the title's or the
+    sender, if the table has no column of people at all.
     """
-    if documents is not None:
-        raw = raw.join(documents.select("document_id", "stated_employee", "stated_date"), "document_id", "left")
-    else:
-        raw = raw.withColumns({"stated_employee": F.lit(None).cast("string"), "stated_date": F.lit(None).cast("date")})
+    given = [c for c in STATED if documents is not None and c in documents.columns]
+    if given:
+        raw = raw.join(documents.select("document_id", *given), "document_id", "left")
+    raw = raw.withColumns({c: F.lit(None).cast(kind) for c, kind in STATED.items() if c not in given})
+    also = [c for c in ("place",) if c in raw.columns]
     value = lambda f: F.coalesce(F.try_element_at("raw", F.lit(f)), F.lit(""))
     heading = lambda f: F.try_element_at("headings", F.lit(f))
     # each text once, so that what is worked out from it refers to a column rather than repeats the lookup
     texts = raw.select(
-        *TABLE, "row_index", "link", "raw", F.coalesce("title_date", "stated_date").alias("given_date"), F.coalesce("title_employee", "stated_employee").alias("given_employee"), "title_department",
+        *TABLE, "row_index", "link", "raw", "title_department", *also,
+        F.coalesce("title_date", "stated_date", "inferred_date").alias("given_date"), F.coalesce(F.nullif(F.col("stated_employee"), F.lit("")), "title_employee", F.nullif(F.col("sender_employee"), F.lit(""))).alias("given_employee"),
         F.map_contains_key("raw", F.lit("employee")).alias("has_employee"), *(value(f).alias(f"_{f}") for f in ("date", "employee", "department", "task", "plannedTask", "status", "category", "priority", "notes", "startDate", "startTime", "completionDate", "completionTime")),
         heading("status").alias("status_heading"), headers.work_kind(heading("task")).alias("heading_kind"), duration_in_hours(value("actualDuration"), heading("actualDuration")).alias("reported_hours"),
         duration_in_hours(value("expectedDuration"), heading("expectedDuration")).alias("expected_duration"),
@@ -100,7 +108,7 @@ def validated(raw: DataFrame, documents: DataFrame | None = None, config: Ingest
     ambiguous = c("known_status").isNull() & status_is_ambiguous(c("_status"))
     day = lambda f: parse_date(c(f), config.date_order)
     rows = texts.select(
-        *TABLE, "row_index", "link", "raw",
+        *TABLE, "row_index", "link", "raw", *also, c("_department").alias("department_text"), "title_department",
         c("_date").alias("date_text"), F.when(c("_date") == "", c("given_date")).otherwise(day("_date")).alias("task_date"),
         F.when(c("_employee") != "", c("_employee")).when(~c("has_employee"), c("given_employee")).alias("employee_name"),
         F.coalesce(F.nullif(c("_department"), F.lit("")), "title_department", F.lit(config.default_department)).alias("department"),
@@ -140,21 +148,21 @@ def routed(rows: DataFrame, known: DataFrame, owner: int = 1) -> DataFrame:
     return printed.join(routes, ["owner_user_id", "fingerprint", "document_id"])
 
 
-def register_all(register, with_facts, tasks, table) -> None:
-    """A round trip over the driver's tables: facts written as reports, 30 years later since reports before 2000 aren't
-    accepted, read again as grids and validated."""
-    from ..sources.grids import read_grids
+def reports_of(tasks: DataFrame) -> DataFrame:
+    """Facts written as reports, one for each person and month, 30 years later since reports before 2000 aren't accepted."""
+    rows = tasks.where("task_status != 'Ambiguous'").withColumn("task_date", F.add_months("task_date", 360))
+    line = F.concat_ws(" | ", F.col("task_date").cast("string"), "employee_name", "task", F.when(F.col("work_kind") == "PLANNED", "???").otherwise(F.col("task_status")))
+    lines = rows.groupBy(F.concat_ws("/", "employee_name", F.date_format("task_date", "yyyy-MM")).alias("document_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    return lines.select("document_id", F.concat(F.lit("Report\nDate | Employee | Task | Status\n-----|---|---|---\n"), "body", F.lit("\nTotal | | | \n\nRegards")).alias("text"))
 
-    def reports(spark, sf_dir):
-        rows = tasks(spark, sf_dir).where("task_status != 'Ambiguous'").withColumn("task_date", F.add_months("task_date", 360))
-        line = F.concat_ws(" | ", F.col("task_date").cast("string"), "employee_name", "task", F.when(F.col("work_kind") == "PLANNED", "???").otherwise(F.col("task_status")))
-        lines = rows.groupBy(F.concat_ws("/", "employee_name", F.date_format("task_date", "yyyy-MM")).alias("document_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-        return lines.select("document_id", F.concat(F.lit("Report\nDate | Employee | Task | Status\n-----|---|---|---\n"), "body", F.lit("\nTotal | | | \n\nRegards")).alias("text"))
 
-    def read_reports(spark, sf_dir):
-        """Grids are written before headings are looked for, so that markup is read once."""
-        return once(spark, sf_dir, "report-grids", lambda: read_grids(reports(spark, sf_dir)))
+def read_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids are written before headings are looked for, so that markup is read once."""
+    return once(spark, sf_dir, "report-grids", lambda: read_grids(reports_of(tasks(spark, sf_dir))))
 
+
+def register_all(register, with_facts, tasks, table) -> None:
+    """A round trip over the driver's tables: facts written as reports, read again as grids and validated."""
     facts = "SELECT concat(employee_name, '/', strftime(task_date, '%Y-%m')) AS document_id, * FROM (SELECT * REPLACE (CAST(task_date + INTERVAL 30 YEAR AS DATE) AS task_date) FROM tasks WHERE task_status <> 'Ambiguous')"
 
     @register("ingest_reports", with_facts(f"SELECT document_id, task_date, employee_name, task, CASE WHEN work_kind = 'PLANNED' THEN NULL ELSE task_status END AS task_status, CASE WHEN work_kind = 'PLANNED' THEN 'UNKNOWN_STATUS' END AS reject_reason FROM ({facts})"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyify, short_hash
+from ..functions.text import keyify, let, short_hash
 
 
 def resolve_people(names: DataFrame, roster: DataFrame) -> DataFrame:
@@ -22,17 +22,28 @@ def resolve_people(names: DataFrame, roster: DataFrame) -> DataFrame:
     return out.select(*names.columns, F.coalesce("by_name", "by_first").alias("employee_id"))
 
 
-def mentioned(texts: DataFrame, key_col: str, text_col: str, names: list[tuple[str, str]]) -> DataFrame:
-    """``texts`` with the name whose keyword, as whole words, is the longest that the text holds (ties: listed first).
+def mention(text: Column, names: list[tuple[str, str]]) -> Column:
+    """The name whose keyword, as whole words, is the longest that a text holds (ties: by keyword and name), else null.
 
     ``names`` is a dimension of some hundreds at most: (name, keyword); it becomes part of the expression.
     """
-    hay = F.concat(F.lit(" "), keyify(F.col(text_col)), F.lit(" "))
-    best: Column | None = None
+    found: Column | None = None
     for _, keyword, name in sorted((-len(k), k, n) for n, k in names):
-        hit = F.contains(hay, F.lit(f" {keyword} "))
-        best = F.when(hit, F.lit(name)) if best is None else best.when(hit, F.lit(name))
-    return texts.select(F.col(key_col), (F.lit(None).cast("string") if best is None else best).alias("mentioned"))
+        hit = lambda hay, keyword=keyword: F.contains(hay, F.lit(f" {keyword} "))
+        found = _when(found, hit, name)
+    return let(F.concat(F.lit(" "), keyify(text), F.lit(" ")), found) if found else F.lit(None).cast("string")
+
+
+def _when(so_far, hit, name):
+    """A function of a text: ``so_far`` and one more case."""
+    if so_far is None:
+        return lambda hay: F.when(hit(hay), F.lit(name))
+    return lambda hay: so_far(hay).when(hit(hay), F.lit(name))
+
+
+def mentioned(texts: DataFrame, key_col: str, text_col: str, names: list[tuple[str, str]]) -> DataFrame:
+    """``texts`` with what each mentions; see ``mention``."""
+    return texts.select(F.col(key_col), mention(F.col(text_col), names).alias("mentioned"))
 
 
 def misspelt(names: DataFrame, roster: DataFrame, most: int = 2) -> DataFrame:
