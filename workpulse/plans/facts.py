@@ -92,13 +92,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+TABLES = ("orders", "customer", "nation", "region", "part")
+
+
+def version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES) -> str:
+    """What tells one state of some tables' files from another: how many there are, their bytes, and when the newest
+    folder or file was written. Two calls for each table, however many files it has."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(conf)
+        summary = files.getContentSummary(path)
+        found.append(f"{summary.getFileCount()}:{summary.getLength()}:{files.getFileStatus(path).getModificationTime()}")
+    return ",".join(found)
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What ``build`` gives for the tables in ``sf_dir``, written by the first query of a Spark application that needs it
-    and scanned by the others: facts are analysed once, not by each dashboard."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = written(build(), name)
-    return _WRITTEN[key]
+    and scanned by the others: facts are analysed once, not by each dashboard. When files of the tables change, it is
+    built anew; ``forget`` drops what was written. Frames that read a former version keep it until then."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), version(spark, sf_dir)
+    if key not in _WRITTEN or _WRITTEN[key][0] != now:
+        _WRITTEN[key] = (now, written(build(), name))
+    return _WRITTEN[key][1]
+
+
+def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Drops what ``once`` keeps of a folder (of all, if none is given) and deletes its files."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId and sf_dir in (None, k[1])]:
+        _, rows = _WRITTEN.pop(key)
+        for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

@@ -160,10 +160,11 @@ def tables_of(html: str | None, text: str | None, name: str | None = None) -> li
     return [("tab", rows)] if lines.count("\t") >= 2 and (rows := delimited(lines, "\t")) else []
 
 
-def read_grids(documents: DataFrame) -> DataFrame:
+def read_grids(documents: DataFrame, failures: bool = False) -> DataFrame:
     """One row for each grid row of ``documents`` (document_id, html, text and attachment_name, the last three optional).
 
-    Nulls and documents without a table give no rows.
+    Nulls and documents without a table give no rows. With ``failures`` a document that can't be read gives one row of
+    table -1 whose source says why; without, it fails the job.
     """
     column = lambda c: (F.col(c).cast("string") if c in documents.columns else F.lit(None).cast("string")).alias(c)
     rows = documents.select(F.col("document_id").cast("string").alias("document_id"), *map(column, ("html", "text", "attachment_name")))
@@ -173,7 +174,13 @@ def read_grids(documents: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for key, html, text, name in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    for t, (source, grid) in enumerate(tables_of(html, text, name)):
+                    try:
+                        tables = list(enumerate(tables_of(html, text, name)))
+                    except Exception as e:  # whatever a document holds, others are read
+                        if not failures:
+                            raise
+                        tables = [(-1, (f"{type(e).__name__}: {e}"[:500], [[]]))]
+                    for t, (source, grid) in tables:
                         for r, cells in enumerate(grid):
                             for column, value in zip(out, (key, t, r, source, [{"text": x, "href": y} for x, y in cells])):
                                 column.append(value)
