@@ -52,3 +52,25 @@ def test_groups_hold_merged_wordings(spark):
     groups = repeats.repeat_groups(frame, config)
     flags = {r["task_id"]: r["repeated_task_flag"] for r in repeats.with_repeat_flag(frame, repeats.merged_wordings(frame, config), groups, config).collect()}
     assert flags == {"T0": True, "T1": True, "T2": True, "T3": False}
+
+
+def test_kept_facts_follow_their_files(spark, small, tmp_path):
+    """A query after files were added shows them, and what was kept can be dropped."""
+    import os
+
+    from workpulse.plans import facts
+
+    folder = str(tmp_path)
+    for name in ("customer", "nation", "region", "part"):
+        os.symlink(f"{small}/{name}.parquet", f"{folder}/{name}.parquet")
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    orders.where("o_orderkey % 2 = 0").write.parquet(f"{folder}/orders.parquet")
+    count = lambda: facts.once(spark, folder, "all", lambda: facts.tasks(spark, folder)).count()
+    before = count()
+    assert before == orders.where("o_orderkey % 2 = 0").count() == count()
+    files = set(facts.once(spark, folder, "all", lambda: None).inputFiles())
+    orders.where("o_orderkey % 2 = 1").write.mode("append").parquet(f"{folder}/orders.parquet")
+    assert count() == orders.count() > before
+    assert files.isdisjoint(facts.once(spark, folder, "all", lambda: None).inputFiles())
+    facts.forget(spark, folder)
+    assert not [k for k in facts._WRITTEN if k[1] == folder]

@@ -73,10 +73,15 @@ def department_days(tasks: DataFrame, roster: DataFrame, is_person: str = "is_pe
 
 
 def silent_people(tasks: DataFrame, roster: DataFrame, day: Column) -> DataFrame:
-    """People of the roster (employee_name, department) who didn't report on a day in their department."""
-    spoke = counted(tasks).where(F.col("task_date") == day).select(F.lower("department").alias("d"), F.lower("employee_name").alias("e")).distinct()
+    """For each owner, people of the roster (employee_name, department, and owner_user_id if owners have rosters of their
+    own) who didn't report to that owner on a day in their department."""
+    spoke = counted(tasks).where(F.col("task_date") == day).select("owner_user_id", F.lower("department").alias("d"), F.lower("employee_name").alias("e")).distinct()
     rows = roster.where(~F.lower(F.coalesce("department", F.lit(""))).isin(*UNPLACED))
-    return rows.join(spoke, (F.lower("department") == F.col("d")) & (F.lower("employee_name") == F.col("e")), "left_anti").select("department", "employee_name")
+    if "owner_user_id" not in roster.columns:
+        owners = tasks.agg(F.collect_set("owner_user_id").alias("owners"))  # accounts of the engine, one row
+        rows = rows.select("*", F.explode(owners.scalar()).alias("owner_user_id"))
+    rows = rows.select("owner_user_id", "department", "employee_name", F.lower("department").alias("d"), F.lower("employee_name").alias("e"))
+    return rows.join(spoke, ["owner_user_id", "d", "e"], "left_anti").select("owner_user_id", "department", "employee_name")
 
 
 def day_text(days: DataFrame) -> DataFrame:
@@ -170,9 +175,9 @@ def dominant(rows: DataFrame, group: list[str], column: str) -> DataFrame:
 
 
 def document_rollup(tasks: DataFrame, document: str) -> DataFrame:
-    """Per document: its rows, newest day, number of departments, and the department if it is the only one."""
+    """Per owner and document: its rows, newest day, number of departments, and the department if it is the only one."""
     n = F.size(F.array_distinct(F.array(F.min("department"), F.max("department"))))
-    return tasks.groupBy(document).agg(F.count("*").alias("rows"), F.max("task_date").alias("report_date"), F.countDistinct("department").alias("departments"), F.when(n == 1, F.min("department")).alias("department"))
+    return tasks.groupBy("owner_user_id", document).agg(F.count("*").alias("rows"), F.max("task_date").alias("report_date"), F.countDistinct("department").alias("departments"), F.when(n == 1, F.min("department")).alias("department"))
 
 
 def register_all(register, with_facts, with_flags, tasks, table, flagged, groups_of) -> None:
@@ -206,7 +211,7 @@ def register_all(register, with_facts, with_flags, tasks, table, flagged, groups
     def _(spark, sf_dir):
         return day_text(department_days(tasks(spark, sf_dir), roster(spark, sf_dir)))
 
-    @register("silent_people", with_facts(f", {roster_sql} SELECT department, employee_name FROM roster r WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE {counted_sql} AND task_date = DATE '1998-01-15' AND lower(t.department) = lower(r.department) AND t.employee_name = r.employee_name)"))
+    @register("silent_people", with_facts(f", {roster_sql} SELECT owner_user_id, department, employee_name FROM roster r, (SELECT DISTINCT owner_user_id FROM tasks) o WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE {counted_sql} AND t.owner_user_id = o.owner_user_id AND task_date = DATE '1998-01-15' AND lower(t.department) = lower(r.department) AND t.employee_name = r.employee_name)"))
     def _(spark, sf_dir):
         return silent_people(tasks(spark, sf_dir), roster(spark, sf_dir), F.lit("1998-01-15").cast("date"))
 
@@ -245,10 +250,10 @@ def register_all(register, with_facts, with_flags, tasks, table, flagged, groups
     def _(spark, sf_dir):
         return shares(counted(tasks(spark, sf_dir)).groupBy("owner_user_id", "task_status").agg(F.count("*").alias("total")), "task_status")
 
-    @register("dominant_departments", with_facts("SELECT employee_name, department, n FROM (SELECT employee_name, department, count(*) AS n FROM tasks WHERE department IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY employee_name ORDER BY n DESC, department) = 1"))
+    @register("dominant_departments", with_facts("SELECT owner_user_id, employee_name, department, n FROM (SELECT owner_user_id, employee_name, department, count(*) AS n FROM tasks WHERE department IS NOT NULL GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY owner_user_id, employee_name ORDER BY n DESC, department) = 1"))
     def _(spark, sf_dir):
-        return dominant(tasks(spark, sf_dir), ["employee_name"], "department")
+        return dominant(tasks(spark, sf_dir), ["owner_user_id", "employee_name"], "department")
 
-    @register("document_rollup", with_facts("SELECT team, count(*) AS rows, max(task_date) AS report_date, count(DISTINCT department) AS departments, CASE WHEN min(department) = max(department) OR count(department) = 0 THEN min(department) END AS department FROM tasks GROUP BY 1"))
+    @register("document_rollup", with_facts("SELECT owner_user_id, team, count(*) AS rows, max(task_date) AS report_date, count(DISTINCT department) AS departments, CASE WHEN min(department) = max(department) OR count(department) = 0 THEN min(department) END AS department FROM tasks GROUP BY 1, 2"))
     def _(spark, sf_dir):
         return document_rollup(tasks(spark, sf_dir), "team")

@@ -83,26 +83,30 @@ def roster_names(roster: DataFrame) -> DataFrame:
 
 def refiled(tasks: DataFrame, roster: DataFrame, document: str = "source_document_id") -> DataFrame:
     """Facts under the names and departments that the roster gives their people, with fingerprints made anew: ordinals
-    count equal rows of a document by task_id. Unknown people keep what they had. New columns: ``moved``,
+    count equal rows of an owner's document by task_id. Unknown people keep what they had. New columns: ``moved``,
     ``old_department``. ``roster`` (employee_name, department, aliases) is joined by key, broadcast if it is small."""
-    names = roster_names(roster.where("coalesce(department, '') != ''")).select("key", F.col("employee_name").alias("right_name"), F.col("department").alias("right_department"))
+    people = roster.where("coalesce(department, '') != ''")
+    for flag, wanted in (("active", True), ("auto_created", False)):  # people who left, or whom the importer made up, say nothing
+        if flag in roster.columns:
+            people = people.where(F.coalesce(F.col(flag), F.lit(wanted)) == wanted)
+    names = roster_names(people).select("key", F.col("employee_name").alias("right_name"), F.col("department").alias("right_department"))
     rows = tasks.withColumn("key", keyify(F.col("employee_name"))).join(names, "key", "left").drop("key")
     name, department = F.coalesce("right_name", "employee_name"), F.coalesce("right_department", "department", F.lit(""))
     moved = (name != F.col("employee_name")) | (department != F.coalesce("department", F.lit("")))
     rows = rows.withColumns({"moved": moved, "old_department": F.col("department")})
     rows = rows.withColumns({"employee_name": name, "department": department})
     parts = [F.col("task_date"), keyify(F.col("employee_name")), keyify(F.col("department")), F.col("task_normalized"), F.col("task_status")]
-    ordinal = F.row_number().over(Window.partitionBy(F.coalesce(document, F.lit("")), *parts).orderBy("task_id"))
+    ordinal = F.row_number().over(Window.partitionBy("owner_user_id", F.coalesce(document, F.lit("")), *parts).orderBy("task_id"))
     return rows.withColumn("task_fingerprint", fingerprint(*parts, ordinal)).select(*(c for c in tasks.columns if c != "task_fingerprint"), "task_fingerprint", "moved", "old_department")
 
 
 def moves(rows: DataFrame) -> DataFrame:
-    """How many facts of ``refiled`` moved from which department to which."""
-    return rows.where("moved").groupBy(F.coalesce(F.nullif(F.col("old_department"), F.lit("")), F.lit("Unassigned")).alias("from"), F.col("department").alias("to")).agg(F.count("*").alias("tasks"))
+    """How many of an owner's facts in ``refiled`` moved from which department to which."""
+    return rows.where("moved").groupBy("owner_user_id", F.coalesce(F.nullif(F.col("old_department"), F.lit("")), F.lit("Unassigned")).alias("from"), F.col("department").alias("to")).agg(F.count("*").alias("tasks"))
 
 
 def still_unassigned(rows: DataFrame) -> DataFrame:
-    return rows.where("department = ''").groupBy("employee_name").agg(F.count("*").alias("tasks"))
+    return rows.where("department = ''").groupBy("owner_user_id", "employee_name").agg(F.count("*").alias("tasks"))
 
 
 def orphans(people: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -206,7 +210,7 @@ def register_all(register, with_facts, tasks, table, mailbox) -> None:
 
     people = "roster AS (SELECT 'Person ' || c_custkey AS employee_name, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'TEAM ' || n_name END AS department, c_name AS alias, 'U' || c_custkey || '@Example.com' AS email FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0)"
     key = "trim(regexp_replace(regexp_replace(lower({0}), '[.]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'))"
-    filed = f""", {people}, filed AS (SELECT *, row_number() OVER (PARTITION BY doc, task_date, {key.format('right_name')}, {key.format('right_department')}, task_normalized, task_status ORDER BY task_id) AS ordinal FROM (
+    filed = f""", {people}, filed AS (SELECT *, row_number() OVER (PARTITION BY owner_user_id, doc, task_date, {key.format('right_name')}, {key.format('right_department')}, task_normalized, task_status ORDER BY task_id) AS ordinal FROM (
       SELECT t.*, strftime(task_date, '%Y-%m') AS doc, coalesce(r.employee_name, t.employee_name) AS right_name, coalesce(r.department, t.department, '') AS right_department FROM tasks t LEFT JOIN roster r ON r.alias = t.employee_name AND r.department <> ''))"""
     documents = lambda s, d: tasks(s, d).withColumn("source_document_id", F.date_format("task_date", "yyyy-MM"))
     refile_sql = lambda rest: with_facts(filed + rest)
@@ -216,11 +220,11 @@ def register_all(register, with_facts, tasks, table, mailbox) -> None:
     def _(spark, sf_dir):
         return refiled(documents(spark, sf_dir), roster(spark, sf_dir)).select("task_id", "employee_name", "department", "moved", "task_fingerprint")
 
-    @register("refile_moves", refile_sql(" SELECT coalesce(department, 'Unassigned') AS \"from\", right_department AS \"to\", count(*) AS tasks FROM filed WHERE right_name <> employee_name OR right_department <> coalesce(department, '') GROUP BY 1, 2"))
+    @register("refile_moves", refile_sql(" SELECT owner_user_id, coalesce(department, 'Unassigned') AS \"from\", right_department AS \"to\", count(*) AS tasks FROM filed WHERE right_name <> employee_name OR right_department <> coalesce(department, '') GROUP BY 1, 2, 3"))
     def _(spark, sf_dir):
         return moves(refiled(documents(spark, sf_dir), roster(spark, sf_dir)))
 
-    @register("still_unassigned", refile_sql(" SELECT right_name AS employee_name, count(*) AS tasks FROM filed WHERE right_department = '' GROUP BY 1"))
+    @register("still_unassigned", refile_sql(" SELECT owner_user_id, right_name AS employee_name, count(*) AS tasks FROM filed WHERE right_department = '' GROUP BY 1, 2"))
     def _(spark, sf_dir):
         return still_unassigned(refiled(documents(spark, sf_dir), roster(spark, sf_dir)))
 
