@@ -61,21 +61,28 @@ def test_bounded_batches_equal_one_batch(spark, tmp_path, corpus):
     landed(str(tmp_path / "in"), corpus)
     whole, parts = Store(spark, str(tmp_path / "whole")), Store(spark, str(tmp_path / "parts"))
     whole.stream(whole.landed(str(tmp_path / "in"), 1000)).awaitTermination()
-    parts.stream(parts.landed(str(tmp_path / "in"), 10)).awaitTermination()
-    assert (whole.runs().count(), parts.runs().count()) == (1, 3)
-    assert facts_of(whole) == facts_of(parts) and len(facts_of(whole)) > 30
+    parts.stream(parts.landed(str(tmp_path / "in"), 13)).awaitTermination()
+    assert (whole.runs().count(), parts.runs().count()) == (1, 2)
+    assert facts_of(whole) == facts_of(parts)
+    # numbers don't tell tasks apart, so of an owner's rows of one person and day the first to arrive is the fact
+    first = {}
+    for d in corpus:
+        for line in d["text"].splitlines()[1:]:
+            day, who = line.split(" | ")[:2]
+            first.setdefault((d["owner_user_id"], day, who), d["document_id"])
+    assert sorted((f[0], str(f[3]), f[4], f[1]) for f in facts_of(parts)) == sorted((*k, v) for k, v in first.items())
     total = parts.runs().agg(*(F.sum(c).alias(c) for c in ("documents", "inserted", "rejected", "skipped", "failed"))).first()
     assert (total["documents"], total["inserted"], total["failed"]) == (25, len(facts_of(whole)), 0)
     assert total["skipped"] == 2  # the document that came again, in a later batch
     # a later document: only its cells are asked
     landed(str(tmp_path / "in"), [document(99, report("2026-01-02 | Ann Lee | late work on things | done", "2026-01-01 | Ann Lee | task number 0 of the week | done"))], 50)
-    parts.stream(parts.landed(str(tmp_path / "in"), 10)).awaitTermination()
+    parts.stream(parts.landed(str(tmp_path / "in"), 13)).awaitTermination()
     late = parts.outcomes().where("document_id = 'd099'").first()
-    assert (late["status"], late["inserted"], late["rejected"], late["first_reason"], late["batch"]) == ("PARTIAL", 1, 1, "DUPLICATE_ACROSS_DOCUMENTS", 3)
-    asked = parts._staged(3, "accepted")
-    read = {f.split("/facts/")[1].rsplit("/", 2)[0] for f in parts.known(asked, 3).inputFiles()}
+    assert (late["status"], late["inserted"], late["rejected"], late["first_reason"], late["batch"]) == ("PARTIAL", 1, 1, "DUPLICATE_ACROSS_DOCUMENTS", 2)
+    asked = parts._staged(2, "accepted")
+    read = {f.split("/facts/")[1].rsplit("/", 2)[0] for f in parts.known(asked, 2).inputFiles()}
     wanted = {f"owner_user_id={r[0]}/month={r[1]}/prefix={r[2]}" for r in asked.select("owner_user_id", "month", "prefix").collect()}
-    assert read and read <= wanted and len(wanted) == 2
+    assert read and read <= wanted and len(wanted) <= 2
 
 
 def test_replay_gives_the_same_rows(spark, tmp_path):
@@ -96,7 +103,7 @@ def test_replay_gives_the_same_rows(spark, tmp_path):
     assert {tuple(r) for r in store.rejected().select("document_id", "reason").collect()} == {("b", "UNKNOWN_STATUS"), ("c", "DUPLICATE_ACROSS_DOCUMENTS")}
 
 
-def test_versions_failures_caps_and_rosters(spark, tmp_path, monkeypatch):
+def test_versions_caps_and_rosters(spark, tmp_path):
     roster = spark.createDataFrame([("E1", "Ann Lee", ["A. Lee"], "Sales", "ann@x.example", True, True), ("E2", "Bob Ray", None, "Ops", None, False, True)], "employee_id string, employee_name string, aliases array<string>, department string, email string, on_roster boolean, active boolean")
     departments = spark.createDataFrame([("Sales", ["Selling"], ["x.example"], 1), ("Ops", None, None, 2)], "department_name string, aliases array<string>, sender_domains array<string>, ordinal int")
     store = Store(spark, str(tmp_path), IngestConfig(max_rows_per_document=3), Masters(roster, departments, None, roster_only=True))
@@ -104,26 +111,19 @@ def test_versions_failures_caps_and_rosters(spark, tmp_path, monkeypatch):
     day = datetime.datetime(2026, 3, 10)
     rows = [
         ("v", report(*lines[:2]), None, None, day), ("v", report(*lines[:3]), None, None, day + datetime.timedelta(hours=1)), ("v", report(*lines[:2]), None, None, day + datetime.timedelta(hours=2)),
-        ("cap", report(*[x.replace("task", "capped") for x in lines]), None, None, day), ("out", report("2026-03-01 | Bob Ray | some work | done"), None, None, day), ("broken", "boom", None, None, day),
-        ("mail", "Task | Status | Link\nsold the things | done | x\nsold more things | done | y\nsold it all | WIP | z", "Yesterday's work of the ops team", "Ann <ann@x.example>", day),
+        ("cap", report(*[x.replace("task", "capped") for x in lines]), None, None, day), ("out", report("2026-03-01 | Bob Ray | some work | done"), None, None, day), ("none", "no table", None, None, day),
+        ("mail", "Employee | Task | Status\nA. Lee | sold the things | done\nAnn Lee | sold more things | done\nAnn | sold it all | WIP", "Yesterday's work of the ops team", "Ann <ann@x.example>", day),
     ]
     docs = spark.createDataFrame(rows, "document_id string, text string, context_text string, sender string, received_at timestamp")
-    broken = grids.tables_of
-
-    def tables_of(html, text, name=None):
-        if text == "boom":
-            raise ValueError("cannot be read")
-        return broken(html, text, name)
-
-    monkeypatch.setattr(grids, "tables_of", tables_of)
-    # workers import the module anew, so a document that breaks there is one that no parser takes
-    store.ingest(docs.withColumn("text", F.when(F.col("document_id") == "broken", F.lit("a\t\"" + "x" * 10)).otherwise(F.col("text"))), 0)
+    store.ingest(docs, 0)
     found = {(r["document_id"], r["inserted"]): r for r in store.outcomes().collect()}
     assert {(k[0], r["status"], r["inserted"], r["skipped"], r["outside"], r["over_cap"]) for k, r in found.items()} >= {
-        ("v", "SUCCESS", 2, 0, 0, 0), ("v", "SUCCESS", 1, 2, 0, 0), ("cap", "PARTIAL", 3, 0, 0, 2), ("out", "NO_DATA", 0, 0, 1, 0),
+        ("v", "SUCCESS", 2, 0, 0, 0), ("v", "SUCCESS", 1, 2, 0, 0), ("cap", "PARTIAL", 3, 0, 0, 2), ("out", "NO_DATA", 0, 0, 1, 0), ("none", "NO_DATA", 0, 0, 0, 0),
     }
     facts = {(r["document_id"], r["employee_name"], r["employee_id"], r["department"]) for r in store.facts().collect()}
-    assert facts == {("v", "Ann Lee", "E1", "Sales"), ("cap", "Ann Lee", "E1", "Sales")} | ({("mail", "Ann Lee", "E1", "Sales")} if found.get(("mail", 3)) else set())
+    assert facts == {(d, "Ann Lee", "E1", "Sales") for d in ("v", "cap", "mail")}
+    # a first name is enough where one person has it; the day is what the covering text states
+    assert {(r["task_date"], "covering text" in r["data_quality_notes"]) for r in store.facts().where("document_id = 'mail'").collect()} == {(datetime.date(2026, 3, 9), True)} and ("mail", 3) in found
     assert store.outcomes().where("document_id = 'v'").count() == 2
 
 
