@@ -93,6 +93,21 @@ def test_runs_of_item_words_equal_windows():
             assert {(n, k) for a, b, n in found.scan(decontam.normalised(body)) for k in range(a, b + 1)} == right, (width, items, body)
 
 
+def test_repeated_phrases_take_linear_work():
+    """An item and a text of one repeated phrase, and many nearly equal items: every word is hit, and twice the words
+    make about twice the matches."""
+    phrase = "lorem ipsum dolor sit amet consectetur ".split()
+    found = {}
+    for n in (6_000, 12_000):
+        items = decontam.Items([("long", " ".join(phrase * (n // 6))), *((f"near {k}", " ".join(phrase * 3 + [f"x{k}"])) for k in range(200))], 10)
+        norm = decontam.normalised(" ".join(phrase * (n // 6)))
+        firsts, lasts, windows = items.windows(norm)
+        assert decontam.covered(firsts, lasts) == [(0, n - 1)]
+        assert set(items.items_of(windows)) == {"long", *(f"near {k}" for k in range(200))}
+        found[n] = len(firsts)
+    assert found == {n: n - 9 for n in found}  # one window ends at each word
+
+
 def test_leak_offsets_point_into_the_original(spark):
     docs = spark.createDataFrame([(1, "Ünrelated — THE  Quick, brown fox jumps; over")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "the quick brown fox")], "item_id long, text string")
