@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 
 from workpulse.llm import common, interaction, mixing, ranked
 
+from ..conftest import rows_of, rows_of_sql
 from .test_edges import LONG, ROWS, SCHEMA, with_clashes
 
 _TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+@pytest.mark.parametrize("module, name", [(interaction, "op11_filter_interaction"), (mixing, "op12_source_mix"), (ranked, "op13_ranked_search")])
+def test_queries_equal_sql(spark, small, duck, module, name):
+    assert rows_of(getattr(module, name)(spark, small)) == rows_of_sql(duck, module.sql())
+
+
 def terms(text):
     return _TERM.findall((text or "").translate(_LOWER))
 
