@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, detection, digests, evidence, headers, ingest, joins, merges, messages, repeats, slow, summaries
+from ..operators import dashboard, detection, digests, evidence, headers, ingest, joins, merges, messages, narratives, repeats, slow, summaries
 from ..operators.measures import counted
 from . import mailbox
 from .facts import FACTS_SQL, EngineConfig, once, table, tasks
@@ -284,5 +284,6 @@ evidence.register_all(register, with_facts, table)
 messages.register_all(register, mailbox, with_flags, flagged, groups_of)
 merges.register_all(register, with_facts, tasks, table, mailbox)
 digests.register_all(register, with_facts, with_flags, tasks, table, flagged, groups_of)
+narratives.register_all(register, with_flags, flagged, groups_of)
 headers.register_all(register, table)
 detection.register_all(register, mailbox, table)
