@@ -43,6 +43,18 @@ def period_series(tasks: DataFrame, grain: str = "month", limit: int = 60, **sco
     return series.orderBy(F.desc("period")).limit(limit).orderBy("period")
 
 
+def aligned(tasks: DataFrame, facts: DataFrame | None = None, grain: str = "month", limit: int = 12, **scope) -> DataFrame:
+    """The rows of ``facts`` (``tasks`` if none) that a series of ``tasks`` with that grain, limit and scope shows, so
+    that panels beside it say the same. The first day is read back from the series, as sparse periods reach further than
+    the calendar does, unless the scope has one. It is a scalar subquery: one plan, and partitions by day are pruned as it runs.
+    No rows if the series is empty."""
+    rows = scoped(tasks if facts is None else facts, **scope)
+    if scope.get("first") is not None:
+        return rows
+    start = period_series(tasks, grain, limit, **scope).agg(F.min("period"))
+    return rows.where(F.col("task_date") >= start.scalar())
+
+
 def department_breakdown(flagged: DataFrame, managers: DataFrame, **scope) -> DataFrame:
     """Per department, with its manager looked up by lower-case name."""
     rows = counted(scoped(flagged, **scope)).groupBy(F.coalesce("department", F.lit("Unknown")).alias("department")).agg(

@@ -101,11 +101,11 @@ def stated_rate(commentaries: DataFrame) -> DataFrame:
 
 def plain(number: Column) -> Column:
     """A number's text without needless zeros."""
-    return F.regexp_replace(number.cast("decimal(28,6)").cast("string"), r"\.?0+$", "")
+    return F.regexp_replace(number.try_cast("decimal(28,6)").cast("string"), r"\.?0+$", "")
 
 
 def _one_decimal(number: Column) -> Column:
-    return F.round(number.cast("decimal(28,6)"), 1).cast("decimal(27,1)").cast("string")
+    return F.round(number.try_cast("decimal(28,6)"), 1).cast("decimal(27,1)").cast("string")
 
 
 def figures(*frames: tuple[DataFrame, list[str]]) -> DataFrame:
@@ -116,7 +116,7 @@ def figures(*frames: tuple[DataFrame, list[str]]) -> DataFrame:
         found = rows.select("owner_user_id", F.explode(F.array(*(F.col(c).cast("double") for c in names))).alias("n")).where("n IS NOT NULL").distinct()
         out = found if out is None else out.unionByName(found)
     n, size = F.col("n"), F.abs("n")
-    return out.select("owner_user_id", F.explode(F.array(plain(n), plain(F.floor(n + 0.5)), _one_decimal(n), plain(size), plain(F.floor(size + 0.5)))).alias("figure")).distinct()
+    return out.select("owner_user_id", F.explode(F.array(plain(n), plain(F.floor(n + 0.5)), _one_decimal(n), plain(size), plain(F.floor(size + 0.5)))).alias("figure")).where("figure IS NOT NULL").distinct()
 
 
 def unsupported(rows: DataFrame, key: list[str], known: DataFrame) -> DataFrame:

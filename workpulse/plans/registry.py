@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, detection, digests, evidence, headers, ingest, joins, merges, messages, narratives, repeats, slow, summaries
-from ..operators.measures import counted
+from ..operators import dashboard, detection, digests, evidence, headers, ingest, joins, merges, messages, narratives, recordsets, repeats, slow, summaries
+from ..operators.measures import completion_rate, counted, total
 from . import mailbox
 from .facts import FACTS_SQL, EngineConfig, once, table, tasks
 
@@ -246,6 +246,18 @@ def _bi_daily(spark, sf_dir):
     return summaries.bi_daily_by_department(summaries.bi_tasks(flagged(spark, sf_dir)))
 
 
+_SPAN = f"(SELECT min(period) FROM (SELECT DISTINCT date_trunc('month', task_date)::DATE AS period FROM tasks WHERE {COUNTED} AND owner_user_id = 2 ORDER BY 1 DESC LIMIT 12))"
+
+
+@register("aligned_totals", with_flags(f"""SELECT (SELECT count(*) FROM tasks WHERE {COUNTED} AND owner_user_id = 2 AND task_date >= {_SPAN}) AS shown, department, count(*) AS total, {RATE}, {FLAGS} FROM flagged WHERE {COUNTED} AND owner_user_id = 2 AND task_date >= {_SPAN} GROUP BY 2"""))
+def _aligned_totals(spark, sf_dir):
+    facts = tasks(spark, sf_dir)
+    rows = counted(dashboard.aligned(facts, flagged(spark, sf_dir), "month", 12, owner=2))
+    shown = dashboard.period_series(facts, "month", 12, owner=2).agg(F.sum("total").alias("shown"))
+    panel = rows.groupBy("department").agg(total().alias("total"), completion_rate().alias("completion_rate"), F.count_if(F.col("slow_task_flag") == "TRUE").alias("slow_tasks"), F.count_if("repeated_task_flag").alias("repeated_tasks"))
+    return panel.withColumn("shown", shown.scalar())
+
+
 # --- slow and repeated work ------------------------------------------------------------------------------------------
 
 
@@ -285,5 +297,6 @@ messages.register_all(register, mailbox, with_flags, flagged, groups_of)
 merges.register_all(register, with_facts, tasks, table, mailbox)
 digests.register_all(register, with_facts, with_flags, tasks, table, flagged, groups_of)
 narratives.register_all(register, with_flags, flagged, groups_of)
+recordsets.register_all(register, with_facts, tasks, table)
 headers.register_all(register, table)
 detection.register_all(register, mailbox, table)
