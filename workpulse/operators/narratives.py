@@ -109,8 +109,8 @@ def _one_decimal(number: Column) -> Column:
 
 
 def figures(*frames: tuple[DataFrame, list[str]]) -> DataFrame:
-    """Distinct (owner_user_id, figure): the texts under which the numbers of some columns may be quoted, whole or to
-    one decimal, and without their sign."""
+    """Distinct (owner_user_id, figure): the texts under which the numbers of some columns may be quoted: as they are,
+    whole, or to one decimal, the first two also without their sign."""
     out = None
     for rows, names in frames:
         found = rows.select("owner_user_id", F.explode(F.array(*(F.col(c).cast("double") for c in names))).alias("n")).where("n IS NOT NULL").distinct()
