@@ -58,10 +58,27 @@ _MARKS = re.compile(
     r"comments?|comment-?list|replies|disqus|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
     r"search|toolbar|skip-?link|contentinfo|complementary|search-?form)(?:$|[\s_-])", re.I,
 )
+#: Words that such a class may have beside a mark inside an article. One with any other word names the article's own
+#: matter: "related-work" is a section of it, "related-posts" is not.
+_FURNITURE = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "left", "link", "links", "list", "module",
+    "panel", "post", "posts", "right", "section", "slot", "stories", "thread", "title", "top", "unit", "user", "wrap", "wrapper",
+}
 #: An open paragraph or list item ends where one of these begins.
 _CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
+def is_marked(values: str, in_article: bool) -> bool:
+    """Whether class, id and role values say that an element isn't the article's. Inside an article a value does only if
+    all its words are marks or ``_FURNITURE``."""
+    if not values or not _MARKS.search(values):
+        return False
+    if not in_article:
+        return True
+    marked = (v for v in values.split() if _MARKS.search(v))
+    return any(all(w.lower() in _FURNITURE or _MARKS.search(w) for w in re.split("[_-]+", v) if w) for v in marked)
+
+
 def blocks(page: str | None) -> tuple[list[str], str]:
     """The blocks in page order, and a character for each: ``h`` where markup hints that it isn't the article's, else 2
     in an article, 1 in the main element, 0 elsewhere."""
@@ -112,7 +129,7 @@ def blocks(page: str | None) -> tuple[list[str], str]:
             stack.pop()
             hinted, level = stack[-1][1:] if stack else (False, 0)
         marks = " ".join(a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])) if m[3] else ""
-        out = hinted or tag in _HINTS or (tag == "header" and level < 2) or (tag not in ("html", "body", "article", "main") and bool(marks) and bool(_MARKS.search(marks)))
+        out = hinted or tag in _HINTS or (tag == "header" and level < 2) or (tag not in ("html", "body", "article", "main") and is_marked(marks, level == 2))
         out = out or (tag == "article" and "comment" in marks.lower())
         if out and not hinted:
             flush()
