@@ -40,7 +40,7 @@ IDENTIFIERS = (
     "username user_id account client_id client_secret session_id config configuration settings environment default "
     "example placeholder changeme undefined null true false function return import export const class interface "
     "request response header content-type application/json charset=utf-8 https://www.example.com/index.html "
-    "localhost:8080 /usr/local/bin /etc/ssl/certs ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 01234567890123456789 "
+    "localhost:8080 /usr/local/bin /etc/ssl/certs ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 "
 )
 ORDER = {"assign": 0, "access": 1, "hex": 2, "novel": 3}
 
@@ -69,8 +69,8 @@ _PIECE = re.compile(r"[0-9]{1,8}|[A-Za-z]+[0-9]{0,4}")
 def is_plain(run: str) -> bool:
     """Whether a run is made of short numbers and of words, which may end in a few digits: its case hardly changes, and
     its letters are likelier in a language than by chance. Long words are as new to a compressor as keys are, so they are
-    held to this too. Longer numbers are no words, and are measured."""
-    if not all(_PIECE.fullmatch(p) for p in re.split("[^A-Za-z0-9]+", run) if p):
+    held to this too. Longer numbers are no words and are measured, but those that only count or repeat a digit."""
+    if not all(_PIECE.fullmatch(p) or (p.isdigit() and len({(int(b) - int(a)) % 10 for a, b in zip(p, p[1:])}) == 1) for p in re.split("[^A-Za-z0-9]+", run) if p):
         return False
     letters = [c for c in run if c.isalpha()]
     if not letters:
