@@ -90,15 +90,15 @@ def once(token: str, build: Callable[[], object]):
     return _KEPT[token]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder, and read again.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder (``options`` are the writer's), and read again.
 
     The lineage ends here: a lost executor costs a read of this table, not the work before it, and rows whose
     computation isn't repeatable (ids given by a task) are fixed by the write.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -323,6 +324,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return each
 
     read = common.map_rows(rows, f"id {id_sql}, url string, host string, content long, blocks array<string>, kinds string", start, parsed)
+    read = common.written(read, "blocks", compression="zstd")
     parts = read.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP_PAGES))
     parts = common.written(parts, "hosts")
     if parts.count() <= BROADCAST_ROWS:
@@ -330,16 +332,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read = read.join(parts.select("host", "groups"), "host").withColumn("part", F.pmod("content", "groups")).drop("groups")
 
     def first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One copy of each content a task: many copies of one page don't all go to the task of its group."""
+        """One copy of each content a task, compressed: many copies of one page don't all go to the task of its group."""
         seen: set[tuple[str, int]] = set()
+        press = zstandard.ZstdCompressor()
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
             new = [k not in seen and not seen.add(k) for k in keys]
-            yield batch.filter(pa.array(new, pa.bool_()))
+            first = batch.filter(pa.array(new, pa.bool_()))
+            packed = [press.compress("\n".join(found.as_py()).encode("utf-8", "surrogatepass")) for found in first.column(3)]
+            yield pa.RecordBatch.from_arrays([*first.columns[:3], pa.array(packed, pa.binary())], names=["host", "part", "content", "packed"])
 
     def named(group: pa.Table) -> pa.Table:
-        distinct = dict(zip(group.column("content").to_pylist(), group.column("blocks").to_pylist()))
-        runs, _ = repeated_runs([words_in(found) for found in distinct.values()])
+        unpack = zstandard.ZstdDecompressor()
+        distinct = dict(zip(group.column("content").to_pylist(), group.column("packed")))
+        runs, _ = repeated_runs([unpack.decompress(p.as_py()).decode("utf-8", "surrogatepass").split() for p in distinct.values()])
         return pa.table([pa.array([group.column("host")[0].as_py()] * len(runs), pa.string()), pa.array(runs)], names=["host", "run"])
 
     def counted(pages: pa.Table, runs_of) -> pa.Table:
@@ -364,7 +370,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return pa.table([pages.column("id").cast(id_arrow), pages.column("url"), pa.array(texts, pa.string()), *counts], schema=final)
 
     streams = read.select("host", "part", "content", "blocks")
-    streams = streams.mapInArrow(first_copies, streams.schema)
+    streams = streams.mapInArrow(first_copies, "host string, part long, content long, packed binary")
     candidates = streams.groupBy("host", "part").applyInArrow(named, "host string, run long").distinct().withColumn("rooted", F.lit(False))
     counts = on_pages(read, common.written(candidates, "candidates"), parts, counted, "host string, run long, content long").distinct().groupBy("host", "run").count().join(parts, "host")
     least = lambda least, share: F.col("count") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("n"))
