@@ -37,14 +37,15 @@ def header_maps(grids: DataFrame, config: IngestConfig = IngestConfig(), documen
     return headers.header_maps(grids, config.status_aliases, config.headings, config.header_rows, config.header_fields, config.date_order, stated=documents)
 
 
-def numbered_rows(grids: DataFrame, config: IngestConfig = IngestConfig(), documents: DataFrame | None = None) -> DataFrame:
+def numbered_rows(grids: DataFrame, config: IngestConfig = IngestConfig(), documents: DataFrame | None = None, maps: DataFrame | None = None) -> DataFrame:
     """Rows under a header as ``raw`` (field to text) with what the table says of all of them, and ``place``: their number
     in the document. Blank rows, sums, and unused lines of a template, which name no work, person or day, are left out.
 
     Cells of dashes alone are blank. A link is the target of its cell, else of the first cell that has one. Tables
-    without a header give no rows.
+    without a header give no rows. ``maps``: their ``header_maps``, if they are known already.
     """
-    rows = grids.join(header_maps(grids, config, documents), list(TABLE)).where(F.col("row_index") > F.col("header_row"))
+    maps = header_maps(grids, config, documents) if maps is None else maps
+    rows = grids.join(maps, list(TABLE)).where(F.col("row_index") > F.col("header_row"))
     # judged by the cells themselves, so that the filter doesn't work out all of a row's fields
     cell = lambda f: F.coalesce(F.get("cells", F.try_element_at("fields", F.lit(f)))["text"], F.lit(""))
     blank = r"^[\s\u00a0\-–—.]*$"
@@ -148,12 +149,16 @@ def routed(rows: DataFrame, known: DataFrame, owner: int = 1) -> DataFrame:
     return printed.join(routes, ["owner_user_id", "fingerprint", "document_id"])
 
 
-def reports_of(tasks: DataFrame) -> DataFrame:
-    """Facts written as reports, one for each person and month, 30 years later since reports before 2000 aren't accepted."""
+def report_lines(tasks: DataFrame) -> DataFrame:
+    """Facts as lines of reports, one for each person and month, 30 years later since reports before 2000 aren't accepted."""
     rows = tasks.where("task_status != 'Ambiguous'").withColumn("task_date", F.add_months("task_date", 360))
     line = F.concat_ws(" | ", F.col("task_date").cast("string"), "employee_name", "task", F.when(F.col("work_kind") == "PLANNED", "???").otherwise(F.col("task_status")))
-    lines = rows.groupBy(F.concat_ws("/", "employee_name", F.date_format("task_date", "yyyy-MM")).alias("document_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-    return lines.select("document_id", F.concat(F.lit("Report\nDate | Employee | Task | Status\n-----|---|---|---\n"), "body", F.lit("\nTotal | | | \n\nRegards")).alias("text"))
+    return rows.groupBy(F.concat_ws("/", "employee_name", F.date_format("task_date", "yyyy-MM")).alias("document_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+
+
+def reports_of(tasks: DataFrame) -> DataFrame:
+    """``report_lines`` with headings, a sum and a closing line."""
+    return report_lines(tasks).select("document_id", F.concat(F.lit("Report\nDate | Employee | Task | Status\n-----|---|---|---\n"), "body", F.lit("\nTotal | | | \n\nRegards")).alias("text"))
 
 
 def read_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, detection, digests, evidence, headers, ingest, joins, merges, messages, narratives, recordsets, repeats, slow, summaries
+from ..operators import dashboard, detection, digests, evidence, headers, ingest, joins, merges, messages, narratives, parts, recordsets, repeats, slow, summaries
 from ..operators.measures import completion_rate, counted, total
 from . import mailbox
 from .facts import FACTS_SQL, EngineConfig, once, table, tasks
@@ -292,6 +292,7 @@ def _listed(spark, sf_dir):
 
 joins.register_all(register, with_facts, tasks, table)
 ingest.register_all(register, with_facts, tasks, table)
+parts.register_all(register, with_facts, tasks)
 evidence.register_all(register, with_facts, table)
 messages.register_all(register, mailbox, with_flags, flagged, groups_of)
 merges.register_all(register, with_facts, tasks, table, mailbox)

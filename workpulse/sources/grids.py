@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workbooks import sheets_of
+
 #: Columns that one cell may span, at most; larger spans are typing errors.
 MOST_SPAN = 50
 _RULE = re.compile(r"^[\s|:+=-]*$")
@@ -141,9 +143,25 @@ def delimited(text: str, delimiter: str | None = None) -> list[Row]:
     return [[(c.strip(), "") for c in r] for r in rows if any(c.strip() for c in r)]
 
 
-def tables_of(html: str | None, text: str | None, name: str | None = None) -> list[tuple[str, list[Row]]]:
-    """(source, grid) of a document: its HTML tables, else what its text holds. A name that ends in .csv or .tsv says
-    that the text is one table."""
+def decoded(content: bytes) -> str:
+    """The text of a file: UTF-16 by its mark, else UTF-8, else Latin 1; nothing if it holds zero bytes, as no text does."""
+    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return content.decode("utf-16", "replace")
+    if b"\0" in content:
+        return ""
+    try:
+        return content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return content.decode("latin-1")
+
+
+def tables_of(html: str | None, text: str | None, name: str | None = None, content: bytes | None = None) -> list[tuple[str, list[Row]]]:
+    """(source, grid) of a document: the sheets or the one table of its file, else its HTML tables, else what its text
+    holds. A name that ends in .csv or .tsv says that the text is one table."""
+    if content is not None:
+        if content[:2] == b"PK":
+            return [("workbook", rows) for _, rows in sheets_of(content)]
+        return [("delimited", rows)] if (rows := delimited(decoded(content))) else []
     if html and "<t" in html.lower():
         parser = _Tables()
         parser.feed(html)
@@ -161,21 +179,24 @@ def tables_of(html: str | None, text: str | None, name: str | None = None) -> li
 
 
 def read_grids(documents: DataFrame, failures: bool = False) -> DataFrame:
-    """One row for each grid row of ``documents`` (document_id, html, text and attachment_name, the last three optional).
+    """One row for each grid row of ``documents`` (document_id, and any of html, text, attachment_name and content, the
+    bytes of a workbook or of a delimited file).
 
     Nulls and documents without a table give no rows. With ``failures`` a document that can't be read gives one row of
     table -1 whose source says why; without, it fails the job.
     """
     column = lambda c: (F.col(c).cast("string") if c in documents.columns else F.lit(None).cast("string")).alias(c)
-    rows = documents.select(F.col("document_id").cast("string").alias("document_id"), *map(column, ("html", "text", "attachment_name")))
+    content = [F.col("content").cast("binary")] if "content" in documents.columns else []
+    rows = documents.select(F.col("document_id").cast("string").alias("document_id"), *map(column, ("html", "text", "attachment_name")), *content)
+    step = 8 if content else 256  # a file may hold megabytes
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, step):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for key, html, text, name in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                for key, *given in zip(*(c.to_pylist() for c in batch.slice(at, step).columns)):
                     try:
-                        tables = list(enumerate(tables_of(html, text, name)))
+                        tables = list(enumerate(tables_of(*given)))
                     except Exception as e:  # whatever a document holds, others are read
                         if not failures:
                             raise

@@ -22,7 +22,6 @@ TEXT_TABLES = (".csv", ".tsv", ".txt")
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".heic")
 UNREADABLE = (".pdf", ".doc", ".docx", ".ods", ".numbers")
 REPORT_IMAGE_BYTES = 40_000
-MOST_SHEET_LINKS = 3
 
 MESSAGE_SQL = "message_id string, thread_id string, subject string, sender string, received_at timestamp, html string, text string, labels array<string>, header_names array<string>, attachments array<struct<filename:string,mime_type:string,attachment_id:string,size:long>>"
 _ATTACHMENT = pa.struct([("filename", pa.string()), ("mime_type", pa.string()), ("attachment_id", pa.string()), ("size", pa.int64())])
@@ -99,7 +98,7 @@ def attachment_kind(name: Column, mime: Column, size: Column) -> Column:
 def sheet_links(messages: DataFrame, key: str = "message_id") -> DataFrame:
     """(key, sheet_id, gid, place): the different sheets that a message's bodies link to, in order, and where to get each."""
     hay = F.concat_ws("\n", F.coalesce("html", F.lit("")), F.coalesce("text", F.lit("")))
-    whole = F.regexp_extract_all(hay, F.lit(r"docs\.google\.com/spreadsheets/(?:u/\d+/)?d/[A-Za-z0-9_-]{20,}[^\s\"'<>]{0,120}"), F.lit(0))
+    whole = F.regexp_extract_all(hay, F.lit(r"docs\.google\.com/spreadsheets/(?:u/\d+/)?d/[A-Za-z0-9_-]{20,}[^\s\"'<>]*"), F.lit(0))
     rows = messages.select(key, F.posexplode(whole).alias("at", "link"))
     rows = rows.select(key, "at", F.regexp_extract("link", "/d/([A-Za-z0-9_-]+)", 1).alias("sheet_id"), F.regexp_extract("link", r"[#&?]gid=(\d+)", 1).alias("gid"))
     first = rows.groupBy(key, "sheet_id", "gid").agg(F.min("at").alias("place"))
@@ -107,9 +106,9 @@ def sheet_links(messages: DataFrame, key: str = "message_id") -> DataFrame:
     return first.withColumn("export_url", url)
 
 
-def pasted_documents(pasted: DataFrame, order: str = "DMY") -> DataFrame:
+def pasted_documents(pasted: DataFrame, order: str = "DMY", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents of pasted content (content, subject, employee, date): an id made of what was pasted, HTML told from text,
-    and what the form states of the author and the day."""
+    and what the form states of the author and the day. Columns to ``keep`` go along."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     employee, date = F.substring(clean_whitespace(text("employee")), 1, 80), parse_date(F.col("date"), order)
     stated = F.when((employee != "") | date.isNotNull(), F.concat(F.lit("|"), employee, F.lit("|"), F.coalesce(date.cast("string"), F.lit("")))).otherwise(F.lit(""))
@@ -117,7 +116,7 @@ def pasted_documents(pasted: DataFrame, order: str = "DMY") -> DataFrame:
     is_html = text("content").rlike(r"(?i)<\s*(table|tr|td|div|p)\b")
     key = F.concat(F.lit("PASTE-"), short_hash(F.concat(subject, F.lit("|"), text("content"), stated), 16))
     return pasted.select(
-        key.alias("document_id"), subject.alias("subject"), F.when(is_html, F.col("content")).alias("html"), F.when(~is_html, F.col("content")).alias("text"),
+        *keep, key.alias("document_id"), subject.alias("subject"), F.when(is_html, F.col("content")).alias("html"), F.when(~is_html, F.col("content")).alias("text"),
         F.lit(None).cast("string").alias("attachment_name"), F.nullif(employee, F.lit("")).alias("stated_employee"), date.alias("stated_date"),
     )
 

@@ -10,12 +10,13 @@ with the batch, not with what is stored. Earlier batches alone are asked, which
 came before it.
 
     facts/owner_user_id=/month=/prefix=/batch=    cells/batch=    rejected/batch=    outcomes/batch=    runs/batch=
-    stage/batch=/rows, documents    derived/facts/owner_user_id=    derived/groups/owner_user_id=
+    skipped/batch=    messages/batch=    stage/batch=/rows, documents    derived/facts/owner_user_id=    derived/groups/owner_user_id=
 """
 
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import fingerprint, keyify, short_hash
-from ..operators import evidence, repeats, slow
+from ..operators import evidence, parts, repeats, slow
 from ..operators.evidence import Masters
-from ..operators.ingest import IngestConfig, numbered_rows, validated
-from ..sources.grids import read_grids
+from ..operators.ingest import IngestConfig, header_maps, numbered_rows, validated
 
 CELL = ("owner_user_id", "month", "prefix")
 #: Cells of a batch whose folders are named one by one; a batch of more reads the table with its cells joined to it.
@@ -35,11 +35,15 @@ MOST_CELLS = 10_000
 FILES = 60
 
 DOCUMENTS_SQL = "owner_user_id int, document_id string, html string, text string, attachment_name string, subject string, sender string, context_text string, received_at timestamp, stated_employee string, stated_date date"
+# what parts of messages have beside it
+PARTS_SQL = f"{DOCUMENTS_SQL}, message_id string, thread_id string, branch string, place int, content binary, attachment_id string, reason string, detail string"
 FACTS_SQL = "task_id string, fingerprint string, document_id string, version string, table_index int, row_index int, task_date date, employee_id string, employee_name string, department string, task string, task_normalized string, task_category string, task_status string, work_kind string, priority string, expected_duration double, actual_duration double, link string, notes string, data_quality_notes string"
 CELLS_SQL = "owner_user_id int, month string, prefix string, batch long"
 OUTCOMES_SQL = "owner_user_id int, document_id string, version string, received_at timestamp, status string, tables_found long, rows_extracted long, inserted long, skipped long, rejected long, outside long, over_cap long, first_reason string, error string, batch long"
 RUNS_SQL = "started_at timestamp, finished_at timestamp, documents long, failed long, rows_extracted long, inserted long, skipped long, rejected long, outside long, over_cap long, batch long"
 REJECTED_SQL = "owner_user_id int, document_id string, version string, table_index int, row_index int, reason string, batch long"
+SKIPPED_SQL = "owner_user_id int, report_id string, document_id string, table_index int, row_index int, rejection_reason string, rejection_detail string, raw_row string, batch long"
+MESSAGES_SQL = "owner_user_id int, message_id string, thread_id string, subject string, sender string, received_at timestamp, parts long, documents long, inserted long, skipped long, rejected long, parts_skipped long, classification string, evidence string, batch long"
 
 
 @dataclass(frozen=True)
@@ -88,6 +92,14 @@ class Store:
     def rejected(self) -> DataFrame:
         return self.table("rejected", REJECTED_SQL)
 
+    def skipped(self) -> DataFrame:
+        """Parts of messages that became no document, with the reason."""
+        return self.table("skipped", SKIPPED_SQL)
+
+    def messages(self) -> DataFrame:
+        """What each batch made of each message. Of one that was sent again, the last batch says what it is now."""
+        return self.table("messages", MESSAGES_SQL)
+
     # --- ownership -----------------------------------------------------------------------------------------------
 
     def known(self, cells: DataFrame, batch: int) -> DataFrame:
@@ -106,41 +118,48 @@ class Store:
 
     # --- a batch -------------------------------------------------------------------------------------------------
 
-    def stage(self, documents: DataFrame, batch: int) -> None:
-        """Reads and judges a batch's documents (of ``DOCUMENTS_SQL``; columns that are missing are null) and writes rows
-        and documents with what is to become of them.
+    def stage(self, documents: DataFrame, batch: int, transcripts: DataFrame | None = None) -> None:
+        """Reads and judges a batch's documents (of ``DOCUMENTS_SQL`` or ``PARTS_SQL``; columns that are missing are null)
+        and writes rows and documents with what is to become of them.
+
+        Parts of messages (``parts.message_parts``) are documents only if they are reports; the others are skipped with a
+        reason, and a message has an outcome of its own. ``transcripts``: tables of pictures.
 
         A document is known by owner and id, its version by its content: the same content again counts once, another
         content is another version, in order of arrival. Rows that an earlier version or batch of the document brought
         are skipped; rows that another document brought are rejected. A document that can't be read fails alone.
         """
-        given = [f"{'' if (name := c.split()[0]) in documents.columns else 'cast(null as ' + c.split()[1] + ') as '}{name}" for c in DOCUMENTS_SQL.split(", ")]
+        given = [f"{'' if (name := c.split()[0]) in documents.columns else 'cast(null as ' + c.split()[1] + ') as '}{name}" for c in PARTS_SQL.split(", ")]
         docs = documents.selectExpr(*given).where("document_id is not null")
         content = [F.coalesce(F.col(c), F.lit("")) for c in ("html", "text", "attachment_name", "stated_employee")] + [F.coalesce(F.col("stated_date").cast("string"), F.lit(""))]
+        content.append(F.sha2("content", 256))  # null for what is no file, which leaves the version as it is
         docs = docs.withColumns({"owner_user_id": F.coalesce("owner_user_id", F.lit(1)), "version": short_hash(F.concat_ws("\u0001", *content), 16)})
         arrival = [F.col("received_at").asc_nulls_last(), F.col("document_id"), F.col("version")]
         first = F.row_number().over(Window.partitionBy("owner_user_id", "document_id", "version").orderBy("received_at"))
-        docs = docs.withColumn("place", first).where("place = 1").drop("place")
+        docs = docs.withColumn("nth", first).where("nth = 1").drop("nth")
         docs = docs.withColumn("part_id", F.concat_ws("|", F.col("owner_user_id").cast("string"), "document_id", "version"))
         docs.write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "documents"))
         docs = self._staged(batch, "documents")
 
         as_parts = docs.drop("document_id").withColumnRenamed("part_id", "document_id")
-        evidence.document_evidence(as_parts, self.masters, self.config).write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "evidence"))
+        evidence.document_evidence(as_parts.drop("html", "text", "content"), self.masters, self.config).write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "evidence"))
+        parts.part_grids(as_parts, transcripts).write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "grids"))
         as_parts = self._staged(batch, "evidence")
-        read_grids(as_parts, failures=True).write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "grids"))
-        grids = self._staged(batch, "grids")
-        rows = evidence.resolved(validated(numbered_rows(grids.where("table_index >= 0"), self.config, as_parts), as_parts, self.config), self.masters, as_parts, self.config)
+        grids = self._staged(batch, "grids").where("table_index >= 0")
+        header_maps(grids, self.config, as_parts).write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "maps"))
+        parts.judged_parts(as_parts, self._staged(batch, "grids"), self._staged(batch, "maps")).write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "parts"))
+        maps = self._staged(batch, "maps").join(self._staged(batch, "parts").where("is_document").select("document_id"), "document_id", "left_semi")
+        rows = evidence.resolved(validated(numbered_rows(grids, self.config, maps=maps), as_parts, self.config), self.masters, as_parts, self.config)
         over = F.col("place") > self.config.max_rows_per_document
         rows = rows.withColumn("outcome", F.when(over, "over_cap").otherwise(F.col("outcome"))).withColumnRenamed("document_id", "part_id")
         # written before anything is filtered by what was worked out, or the filter would work it out again
         rows.drop("raw", "version").write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "judged"))
         rows = self._staged(batch, "judged").join(docs.select("part_id", "owner_user_id", "document_id", "version", "received_at"), "part_id")
 
-        parts = [F.col("task_date"), keyify(F.col("employee_name")), keyify(F.col("department")), F.col("task_normalized"), F.col("task_status")]
+        identity = [F.col("task_date"), keyify(F.col("employee_name")), keyify(F.col("department")), F.col("task_normalized"), F.col("task_status")]
         sound = rows.where("outcome = 'accepted'")
-        ordinal = F.row_number().over(Window.partitionBy("part_id", *parts).orderBy("table_index", "row_index"))
-        printed = sound.withColumn("fingerprint", fingerprint(*parts, ordinal))
+        ordinal = F.row_number().over(Window.partitionBy("part_id", *identity).orderBy("table_index", "row_index"))
+        printed = sound.withColumn("fingerprint", fingerprint(*identity, ordinal))
         printed = printed.withColumns({"month": F.date_format("task_date", "yyyy-MM"), "prefix": F.substring("fingerprint", 1, self.prefix)})
         task_id = F.concat(F.lit("TSK-"), F.upper(short_hash(F.concat_ws("|", "document_id", "table_index", "row_index", "task"), 10)))
         printed.withColumn("task_id", task_id).write.mode("overwrite").parquet(self.path("stage", f"batch={batch}", "accepted"))
@@ -170,12 +189,18 @@ class Store:
             F.min_by("reason", F.when(F.col("route") == "rejected", F.struct("table_index", "row_index"))).alias("first_reason"),
         )
         failed = self._staged(batch, "grids").where("table_index < 0").select(F.col("document_id").alias("part_id"), F.col("source").alias("error"))
-        rows = self._staged(batch, "documents").join(failed, "part_id", "left").join(of_rows, ["owner_user_id", "document_id", "version"], "left")
+        of_parts = self._staged(batch, "parts").where("is_document").select(F.col("document_id").alias("part_id"))
+        rows = self._staged(batch, "documents").join(of_parts, "part_id", "left_semi").join(failed, "part_id", "left").join(of_rows, ["owner_user_id", "document_id", "version"], "left")
         zero = {c: F.coalesce(c, F.lit(0)) for c in ("tables_found", "rows_extracted", "inserted", "skipped", "rejected", "outside", "over_cap")}
         rows = rows.withColumns(zero)
         status = F.when(F.col("error").isNotNull(), "FAILED").when(F.col("rejected") + F.col("over_cap") > 0, "PARTIAL").when(F.col("inserted") + F.col("skipped") == 0, "NO_DATA").otherwise("SUCCESS")
         return rows.withColumn("status", status).select(*(c.split()[0] for c in OUTCOMES_SQL.split(", ")[:-1]))
 
+    def message_preview(self, batch: int) -> DataFrame:
+        """What becomes of each message of a staged batch; the commit writes just this."""
+        of_documents = self.preview(batch).select(F.concat_ws("|", F.col("owner_user_id").cast("string"), "document_id", "version").alias("document_id"), "inserted", "skipped", "rejected")
+        return parts.message_rollup(self._staged(batch, "parts"), of_documents).select(*(c.split()[0] for c in MESSAGES_SQL.split(", ")[:-1]))
+
     def commit(self, batch: int, started: datetime.datetime | None = None) -> None:
         """Writes a staged batch: facts, cells, rejections, outcomes, and last the run with its counters."""
         started = started or datetime.datetime.now(datetime.timezone.utc)
@@ -189,6 +214,8 @@ class Store:
         facts.repartition(*CELL).sortWithinPartitions(*CELL, "fingerprint").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CELL, "batch").parquet(self.path("facts"))
         rejected = rows.where("route = 'rejected'").select(*(c.split()[0] for c in REJECTED_SQL.split(", ")[:-1]))
         rejected.write.mode("overwrite").parquet(self.path("rejected", f"batch={batch}"))
+        parts.skipped_parts(self._staged(batch, "parts")).write.mode("overwrite").parquet(self.path("skipped", f"batch={batch}"))
+        self.message_preview(batch).write.mode("overwrite").parquet(self.path("messages", f"batch={batch}"))
         counted = Observation(f"outcomes of batch {batch}")
         sums = ("rows_extracted", "inserted", "skipped", "rejected", "outside", "over_cap")
         outcomes = self.preview(batch).observe(counted, F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "FAILED").alias("failed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums))
@@ -197,10 +224,10 @@ class Store:
         run = (started, datetime.datetime.now(datetime.timezone.utc), *(int(found[c]) for c in ("documents", "failed", *sums)))
         self.spark.createDataFrame([run], RUNS_SQL.removesuffix(", batch long")).coalesce(1).write.mode("overwrite").parquet(self.path("runs", f"batch={batch}"))
 
-    def ingest(self, documents: DataFrame, batch: int) -> None:
-        """Stages and commits a batch, then derives anew what is derived of the owners whose facts changed."""
+    def ingest(self, documents: DataFrame, batch: int, transcripts: DataFrame | None = None) -> None:
+        """Stages and commits a batch."""
         started = datetime.datetime.now(datetime.timezone.utc)
-        self.stage(documents, batch)
+        self.stage(documents, batch, transcripts)
         self.commit(batch, started)
 
     # --- a stream ------------------------------------------------------------------------------------------------
@@ -209,9 +236,14 @@ class Store:
         """A stream of documents landed as JSON, ``files`` files a micro-batch, oldest first."""
         return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
-    def stream(self, documents: DataFrame) -> StreamingQuery:
-        """Ingests all that has landed in bounded batches, then stops; run again, it goes on behind the last batch."""
-        write = documents.writeStream.foreachBatch(lambda rows, batch: self.ingest(rows, batch))
+    def landed_messages(self, folder: str, files: int = FILES) -> DataFrame:
+        """A stream of messages landed as JSON, one a line, ``files`` files a micro-batch, oldest first."""
+        return self.spark.readStream.option("maxFilesPerTrigger", files).text(folder)
+
+    def stream(self, landed: DataFrame, documents: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StreamingQuery:
+        """Ingests all that has landed in bounded batches, then stops; run again, it goes on behind the last batch.
+        ``documents`` makes documents of what landed, such as parts of messages."""
+        write = landed.writeStream.foreachBatch(lambda rows, batch: self.ingest(documents(rows), batch))
         return write.option("checkpointLocation", self.path("checkpoint")).trigger(availableNow=True).start()
 
     # --- what is derived -----------------------------------------------------------------------------------------
