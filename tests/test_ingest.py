@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from workpulse.operators import ingest
+from workpulse.operators import evidence, ingest
 from workpulse.sources import grids
 from workpulse.streaming import reports
 
@@ -137,3 +137,11 @@ def test_a_document_twice_in_a_batch_counts_once(spark, tmp_path):
     docs = spark.createDataFrame([ROWS[1], ROWS[1]], SCHEMA)
     reports.ingest_batch(docs, 0, str(tmp_path))
     assert reports.stored(spark, f"{tmp_path}/facts", reports.FACTS_SQL).count() == 2
+
+
+def test_made_up_people_who_share_an_id(spark):
+    """The hashes of both names begin with 1f5377."""
+    day = datetime.date(2026, 3, 9)
+    rows = [(f"Customer#{n:09d}", "EMP-1F5377", "Ops", True, "accepted", True, day, f"d{n}", 0, i) for n, many in ((2103, 1), (13743, 2)) for i in range(many)]
+    found = evidence.made_up_people(spark.createDataFrame(rows, "employee_name string, employee_id string, department string, looks_like_person boolean, outcome string, employee_new boolean, task_date date, document_id string, table_index int, row_index int"))
+    assert {(r["employee_name"], r["employee_id"], r["tasks"]) for r in found.collect()} == {("Customer#000002103", "EMP-1F5377", 1), ("Customer#000013743", "EMP-1F5377", 2)}
