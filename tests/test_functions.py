@@ -49,3 +49,12 @@ def test_similarity(spark):
     rows = spark.createDataFrame([("checked the claims today", "claim checking"), ("wrote minutes", "called suppliers")], "a string, b string")
     tokens = lambda c: text.task_tokens(text.normalize_task(F.col(c)))
     assert [r[0] for r in rows.select(text.tasks_are_similar(tokens("a"), tokens("b"))).collect()] == [True, False]
+
+
+def test_dates_and_hours_cut_their_text_once(spark):
+    """A text is cut into numbers and names in one place of the expression, not in each that refers to them."""
+    rows = spark.createDataFrame([("9 March 2026",)], "t string")
+    for made in (dates.parse_date(F.col("t")), dates.parse_hours(F.col("t"))):
+        plan = rows.select(made.alias("made"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_extract_all") == 1
+    assert spark.createDataFrame([("",), (None,), (" ",)], "t string").select(dates.parse_date(F.col("t")).alias("d"), dates.parse_time(F.col("t")).alias("m"), dates.parse_hours(F.col("t")).alias("h")).distinct().collect() == [(None, None, None)]

@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from workpulse.operators import evidence, ingest
+from workpulse.operators import evidence, headers, ingest
 from workpulse.sources import grids
 from workpulse.streaming import reports
 
@@ -145,3 +145,18 @@ def test_made_up_people_who_share_an_id(spark):
     rows = [(f"Customer#{n:09d}", "EMP-1F5377", "Ops", True, "accepted", True, day, f"d{n}", 0, i) for n, many in ((2103, 1), (13743, 2)) for i in range(many)]
     found = evidence.made_up_people(spark.createDataFrame(rows, "employee_name string, employee_id string, department string, looks_like_person boolean, outcome string, employee_new boolean, task_date date, document_id string, table_index int, row_index int"))
     assert {(r["employee_name"], r["employee_id"], r["tasks"]) for r in found.collect()} == {("Customer#000002103", "EMP-1F5377", 1), ("Customer#000013743", "EMP-1F5377", 2)}
+
+
+def test_frequent_headings_are_read_ahead(spark, monkeypatch):
+    """Whether a table's first line is among those that are read ahead makes no difference; of many tables with one
+    heading it is read once."""
+    head = "Dated | Handled By Staff | Work Performed | Current Stand"
+    docs = spark.createDataFrame([(f"d{i}", None, f"{head if i else 'Date | Employee | Task | Status'}\n2026-03-09 | Ann Lee | filed the claims | done\n2026-03-10 | Bob Ray | swept | open", None) for i in range(4)], SCHEMA)
+    cells = grids.read_grids(docs)
+    maps = lambda: {(r["document_id"], r["header_row"], tuple(sorted(r["fields"].items()))) for r in ingest.header_maps(cells).collect()}
+    ahead = maps()
+    assert len(ahead) == 4
+    monkeypatch.setattr(headers, "OFTEN", 1)
+    assert maps() == ahead
+    monkeypatch.setattr(headers, "LONG_LINE", 0)
+    assert maps() == ahead

@@ -50,10 +50,14 @@ def clean_whitespace(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Named references, and numeric ones (decimal and hexadecimal) of the basic plane; others stay as they are."""
+    """Named references, and numeric ones (decimal and hexadecimal) of the basic plane; others stay as they are. Most texts
+    hold none, and aren't searched for them."""
+    return F.when(F.contains(c, F.lit("&")), let(c, _decoded)).otherwise(c)
+
+
+def _decoded(c: Column) -> Column:
     for name, value in _ENTITIES:
         c = F.regexp_replace(c, f"(?i)&{name};", value)
-    parts = F.split(c, "&#")
 
     def decoded(part: Column) -> Column:
         code = F.regexp_extract(part, r"^([xX][0-9a-fA-F]{1,4}|\d{1,5});", 1)
@@ -61,8 +65,8 @@ def decode_entities(c: Column) -> Column:
         sign = F.decode(F.unhex(F.lpad(F.hex(number), 4, "0")), "UTF-16BE")
         return F.when(number.between(1, 0xFFFF) & ~number.between(0xD800, 0xDFFF), F.concat(sign, F.substring(part, F.length(code) + 2, F.length(part)))).otherwise(F.concat(F.lit("&#"), part))
 
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
-    return F.when(F.contains(c, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(c)
+    rest = lambda parts: F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return let(F.split(c, "&#"), lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(rest(parts), "")))
 
 
 def keyify(c: Column) -> Column:
@@ -136,9 +140,8 @@ def normalize_status(c: Column, aliases: dict[str, str]) -> Column:
     """A status by its name or an alias, with or without words such as "task" around it; null if unknown."""
     known = {s.lower(): s for s in STATUSES} | {re.sub("[^a-z0-9]+", " ", k.lower().replace(".", "").replace("'", "")).strip(): v for k, v in aliases.items()}
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    key = keyify(c)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(key, r"\b(task|status|is|was)\b", ""), r"\s{2,}", " "))
-    return F.coalesce(F.try_element_at(table, key), F.try_element_at(table, bare))
+    bare = lambda key: F.trim(F.regexp_replace(F.regexp_replace(key, r"\b(task|status|is|was)\b", ""), r"\s{2,}", " "))
+    return let(keyify(c), lambda key: F.coalesce(F.try_element_at(table, key), F.try_element_at(table, bare(key))))
 
 
 def status_from_answer(answer: Column, heading: Column) -> Column:

@@ -45,6 +45,7 @@ def numbered_rows(grids: DataFrame, config: IngestConfig = IngestConfig(), docum
     without a header give no rows. ``maps``: their ``header_maps``, if they are known already.
     """
     maps = header_maps(grids, config, documents) if maps is None else maps
+    maps = maps.withColumn("heading_kind", headers.work_kind(F.try_element_at("headings", F.lit("task"))))  # once for a table, not for each row
     rows = grids.join(maps, list(TABLE)).where(F.col("row_index") > F.col("header_row"))
     # judged by the cells themselves, so that the filter doesn't work out all of a row's fields
     cell = lambda f: F.coalesce(F.get("cells", F.try_element_at("fields", F.lit(f)))["text"], F.lit(""))
@@ -60,7 +61,7 @@ def numbered_rows(grids: DataFrame, config: IngestConfig = IngestConfig(), docum
     raw = F.transform_values("fields", lambda _, at: F.when(F.get("cells", at)["text"].rlike(blank), F.lit("")).otherwise(text(at)))
     target = F.nullif(F.get("cells", F.try_element_at("fields", F.lit("link")))["href"], F.lit(""))
     any_target = F.get(F.filter(F.transform("cells", lambda c: c["href"]), lambda h: h != ""), F.lit(0))
-    rows = rows.select(*TABLE, "row_index", "headings", "title_employee", "title_date", "title_department", raw.alias("raw"), F.coalesce(target, any_target).alias("target"))
+    rows = rows.select(*TABLE, "row_index", "headings", "heading_kind", "title_employee", "title_date", "title_department", raw.alias("raw"), F.coalesce(target, any_target).alias("target"))
     rows = rows.withColumn("link", F.coalesce("target", F.try_element_at("raw", F.lit("link")), F.lit(""))).drop("target")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("table_index", "row_index")))
 
@@ -99,7 +100,7 @@ def validated(raw: DataFrame, documents: DataFrame | None = None, config: Ingest
         *TABLE, "row_index", "link", "raw", "title_department", *also,
         F.coalesce("title_date", "stated_date", "inferred_date").alias("given_date"), F.coalesce(F.nullif(F.col("stated_employee"), F.lit("")), "title_employee", F.nullif(F.col("sender_employee"), F.lit(""))).alias("given_employee"),
         F.map_contains_key("raw", F.lit("employee")).alias("has_employee"), *(value(f).alias(f"_{f}") for f in ("date", "employee", "department", "task", "plannedTask", "status", "category", "priority", "notes", "startDate", "startTime", "completionDate", "completionTime")),
-        heading("status").alias("status_heading"), headers.work_kind(heading("task")).alias("heading_kind"), duration_in_hours(value("actualDuration"), heading("actualDuration")).alias("reported_hours"),
+        heading("status").alias("status_heading"), F.col("heading_kind") if "heading_kind" in raw.columns else headers.work_kind(heading("task")).alias("heading_kind"), duration_in_hours(value("actualDuration"), heading("actualDuration")).alias("reported_hours"),
         duration_in_hours(value("expectedDuration"), heading("expectedDuration")).alias("expected_duration"),
     )
     c = F.col
