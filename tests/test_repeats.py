@@ -74,3 +74,20 @@ def test_kept_facts_follow_their_files(spark, small, tmp_path):
     assert files.isdisjoint(facts.once(spark, folder, "all", lambda: None).inputFiles())
     facts.forget(spark, folder)
     assert not [k for k in facts._WRITTEN if k[1] == folder]
+
+
+def test_customers_are_shuffled_and_parts_pruned(spark, small):
+    """The dimensions that grow aren't sent through the driver, however small their files are."""
+    from workpulse.plans.facts import tasks
+
+    plan = tasks(spark, small)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "GreaterThanOrEqual(p_partkey,-199), LessThanOrEqual(p_partkey,199)" in plan
+
+
+def test_keys_of_facts_are_worked_out_once(spark, small):
+    """What is looked for in kept facts finds their keys there; the analysed facts don't show them."""
+    from workpulse.plans import registry
+
+    kept = registry.kept_tasks(spark, small)
+    assert {"person", "wording"} <= set(kept.columns) and repeats.keyed(kept, "team").columns == kept.columns
+    assert not {"person", "wording"} & set(registry.flagged(spark, small).columns)

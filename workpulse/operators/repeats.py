@@ -73,6 +73,10 @@ def merged_wordings(tasks: DataFrame, config: EngineConfig = EngineConfig(), per
 
 
 def keyed(tasks: DataFrame, person: str) -> DataFrame:
+    """``tasks`` with person and wording, the keys that repeats are looked for by; facts that have both keep them, so that
+    what goes over facts several times can work them out once."""
+    if {"person", "wording"} <= set(tasks.columns):
+        return tasks
     wording = F.coalesce(F.nullif(F.col("task_normalized"), F.lit("")), normalize_task(F.col("task")))
     return tasks.withColumns({"person": keyify(F.col(person)), "wording": wording})
 

@@ -84,20 +84,26 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def kept_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tasks`` with the keys of repeats, joined and written once: the analyses go over them several times, each time for
+    some of their columns."""
+    return once(spark, sf_dir, "facts", lambda: repeats.keyed(tasks(spark, sf_dir), PERSON))
+
+
 def wordings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "merged-wordings", lambda: repeats.merged_wordings(tasks(spark, sf_dir), REPEATS, PERSON))
+    return once(spark, sf_dir, "merged-wordings", lambda: repeats.merged_wordings(kept_tasks(spark, sf_dir), REPEATS, PERSON))
 
 
 def groups_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "repeat-groups", lambda: repeats.repeat_groups(tasks(spark, sf_dir), REPEATS, PERSON, wordings_of(spark, sf_dir)))
+    return once(spark, sf_dir, "repeat-groups", lambda: repeats.repeat_groups(kept_tasks(spark, sf_dir), REPEATS, PERSON, wordings_of(spark, sf_dir)))
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with what the analyses say of them."""
 
     def build() -> DataFrame:
-        analysed = slow.slow_analysis(tasks(spark, sf_dir))
-        return repeats.with_repeat_flag(analysed, wordings_of(spark, sf_dir), groups_of(spark, sf_dir), REPEATS, PERSON)
+        analysed = slow.slow_analysis(kept_tasks(spark, sf_dir))
+        return repeats.with_repeat_flag(analysed, wordings_of(spark, sf_dir), groups_of(spark, sf_dir), REPEATS, PERSON).drop("person", "wording")
 
     return once(spark, sf_dir, "analysed-facts", build)
 
