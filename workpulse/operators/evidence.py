@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import looks_planned, report_day
 from ..functions.people import looks_like_person
-from ..functions.text import clean_whitespace, keyify, sender_address, sender_domain, short_hash, title_case
+from ..functions.text import clean_whitespace, keyify, let, sender_address, sender_domain, short_hash, title_case
 from .ingest import IngestConfig
 from .joins import mention
 
@@ -59,12 +59,13 @@ def _lookup(pairs: dict[str, object], value_sql: str) -> Column:
     return F.from_json(F.lit(json.dumps(pairs)), f"map<string,{value_sql}>")
 
 
-def first_by_rank(sources: list[tuple[str, Column]]) -> tuple[Column, Column]:
-    """Of sources (name, value), strongest first: (source, value) of the first that says anything, and the (source,
-    value)s of others that say something else."""
-    listed = F.array_compact(F.array(*(F.when(F.coalesce(v, F.lit("")) != "", F.struct(F.lit(name).alias("source"), v.alias("value"))) for name, v in sources)))
-    first = F.get(listed, F.lit(0))
-    return first, F.filter(listed, lambda x: F.lower(x["value"]) != F.lower(first["value"]))
+def first_by_rank(sources: list[tuple[str, Column]]) -> Column:
+    """Of sources (name, value), strongest first: (first, others), the (source, value) of the first that says anything and
+    those of others that say something else. Each source is worked out once."""
+    each = F.array(*(F.struct(F.lit(name).alias("source"), v.alias("value")) for name, v in sources))
+    listed = F.filter(each, lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    first = lambda found: F.get(found, F.lit(0))
+    return let(listed, lambda found: F.struct(first(found).alias("first"), F.filter(found, lambda x: F.lower(x["value"]) != F.lower(first(found)["value"])).alias("others")))
 
 
 def document_evidence(documents: DataFrame, masters: Masters, config: IngestConfig = IngestConfig()) -> DataFrame:
@@ -85,15 +86,12 @@ def document_evidence(documents: DataFrame, masters: Masters, config: IngestConf
             domains.setdefault(x.lower(), d["department_name"])
     sender = F.coalesce(has("sender"), F.lit(""))
     by_domain = F.try_element_at(_lookup(domains, "string"), sender_domain(sender)) if domains else F.lit(None).cast("string")
-    in_sender: Column | None = None
-    for d in known:
-        hit = F.contains(keyify(sender), F.lit(_key(d["department_name"])))
-        in_sender = F.when(hit, d["department_name"]) if in_sender is None else in_sender.when(hit, d["department_name"])
+    named_in = F.array(*(F.struct(F.lit(_key(d["department_name"])).alias("key"), F.lit(d["department_name"]).alias("name")) for d in known))
+    in_sender = let(keyify(sender), lambda key: F.get(F.filter(named_in, lambda d: F.contains(key, d["key"])), F.lit(0))["name"]) if known else None
     sources = [(name, mention(F.coalesce(has(c), F.lit("")), words)) for name, c in (("body", "context_text"), ("subject", "subject"), ("attachment name", "attachment_name"), ("sheet name", "sheet_name"))]
     sources += [("sender domain", by_domain)] + ([("sender", in_sender)] if in_sender is not None else [])
-    first, others = first_by_rank(sources)
     day = report_day(has("context_text"), has("subject"), has("received_at", "timestamp"), config.date_order)
-    out = documents.withColumns({"_first": first, "hint_others": others, "_day": day, "planned": looks_planned(has("context_text")), "_address": sender_address(sender)})
+    out = documents.withColumns({"_said": first_by_rank(sources), "_day": day, "planned": looks_planned(has("context_text")), "_address": sender_address(sender)})
     if masters.roster is not None:
         by_address = masters.roster.where("coalesce(email, '') != ''").groupBy(F.lower(F.trim("email")).alias("_address")).agg(F.min("employee_name").alias("_of_address"))
         out = out.join(by_address, "_address", "left")
@@ -102,7 +100,7 @@ def document_evidence(documents: DataFrame, masters: Masters, config: IngestConf
     shown = F.trim(F.regexp_replace(F.regexp_replace(sender, "<.*", ""), '"', ""))
     local = title_case(F.trim(F.regexp_replace(F.substring_index("_address", "@", 1), r"[._\-\d]+", " ")))
     named = F.when(F.col("_address").endswith("@local"), "").otherwise(F.coalesce("_of_address", F.when((shown != "") & ~F.contains(shown, F.lit("@")), shown).otherwise(local)))
-    return out.select(*documents.columns, F.col("_first.value").alias("hint"), F.col("_first.source").alias("hint_source"), "hint_others", named.alias("sender_employee"), F.col("_day.date").alias("inferred_date"), F.col("_day.basis").alias("date_basis"), "planned")
+    return out.select(*documents.columns, F.col("_said.first.value").alias("hint"), F.col("_said.first.source").alias("hint_source"), F.col("_said.others").alias("hint_others"), named.alias("sender_employee"), F.col("_day.date").alias("inferred_date"), F.col("_day.basis").alias("date_basis"), "planned")
 
 
 def people_by_key(roster: DataFrame) -> DataFrame:
@@ -151,8 +149,8 @@ def resolved(rows: DataFrame, masters: Masters, documents: DataFrame | None = No
     known = c("who").isNotNull()
     of_row = F.when(c("department_text") != "", F.coalesce(listed(c("department_text")), F.initcap(clean_whitespace(c("department_text")))))
     of_roster = F.when(F.lower("who.department") != config.default_department.lower(), c("who.department"))
-    first, others = first_by_rank([("roster", of_roster), ("row", of_row), ("title", listed(F.coalesce("title_department", F.lit("")))), ("document", c("hint")), ("default", F.lit(config.default_department))])
-    rows = rows.withColumns({"_department": first, "department_others": F.filter(others, lambda x: x["source"] != "default")})
+    said = first_by_rank([("roster", of_roster), ("row", of_row), ("title", listed(F.coalesce("title_department", F.lit("")))), ("document", c("hint")), ("default", F.lit(config.default_department))])
+    rows = rows.withColumn("_said", said).withColumns({"_department": F.col("_said.first"), "department_others": F.filter("_said.others", lambda x: x["source"] != "default")}).drop("_said")
 
     categories = _rows(masters.categories, "ordinal", "category_name")
     expected = {x["category_name"]: float(x["expected_duration"]) for x in categories if x["expected_duration"] is not None}
