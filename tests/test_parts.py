@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from workpulse.operators import parts
+from workpulse.plans import registry
 from workpulse.sources import grids
 from workpulse.sources.mail import read_messages
 from workpulse.streaming.store import Store
@@ -129,3 +131,20 @@ def test_files_of_odd_content(spark):
     assert (cells.count(), judged.count(), parts.skipped_parts(judged).count()) == (0, 0, 0)
     counted = spark.createDataFrame([], "document_id string, inserted long, skipped long, rejected long")
     assert parts.message_rollup(judged.withColumn("extra", F.lit(1)), counted).count() == 0
+
+
+def test_facts_and_messages_are_read_once(spark, small, tmp_path, monkeypatch):
+    """Bodies, attachments and links come from messages that were gathered and parsed before."""
+
+    class Given(Exception):
+        pass
+
+    def given(messages, *others):
+        raise Given(messages, *others)
+
+    monkeypatch.setattr(parts, "message_parts", given)
+    with pytest.raises(Given) as found:
+        registry.QUERIES["message_facts"](spark, shutil.copytree(small, str(tmp_path / "tables")))
+    for rows in found.value.args:
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "Aggregate" not in plan and "Join" not in plan

@@ -45,7 +45,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def clean_whitespace(c: Column) -> Column:
-    c = F.regexp_replace(F.translate(c, " ", " "), r"[\r\n\t]+", " ")
+    c = F.regexp_replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), r"[\r\n\t]+", " ")
     return F.trim(F.regexp_replace(c, r"(?U)\s{2,}", " "))
 
 
@@ -70,14 +70,24 @@ def _decoded(c: Column) -> Column:
 
 
 def keyify(c: Column) -> Column:
-    """The lower-case, punctuation-free key of every lookup."""
+    """The lower-case, punctuation-free key of every lookup. Most texts are their own key, but for capitals."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.rlike(r"^[a-z0-9]+(?: [a-z0-9]+)*\z"), low).otherwise(_keyified(c))
+
+
+def _keyified(c: Column) -> Column:
     c = F.lower(clean_whitespace(decode_entities(F.coalesce(c, F.lit("")))))
     c = F.regexp_replace(F.regexp_replace(c, "[.’']", ""), "[^a-z0-9 ]+", " ")
     return F.trim(F.regexp_replace(c, " {2,}", " "))
 
 
 def normalize_task(c: Column) -> Column:
-    """A task's wording without links, punctuation and short numbers."""
+    """A task's wording without links, punctuation and short numbers; plain words stay as they are."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.rlike(r"^[a-z]+(?: [a-z]+)*\z"), low).otherwise(_normalized_task(c))
+
+
+def _normalized_task(c: Column) -> Column:
     c = F.lower(clean_whitespace(decode_entities(F.coalesce(c, F.lit("")))))
     c = F.regexp_replace(F.regexp_replace(c, r"https?://\S+", " "), "[‘’“”]", "")
     c = F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9%\s]+", " "), r"\b\d{1,4}\b", " ")

@@ -96,7 +96,8 @@ def scored_messages(messages: DataFrame, rules: list[Rule]) -> DataFrame:
 def detected_reports(grids: DataFrame, maps: DataFrame) -> DataFrame:
     """Per document with a grid: is_report, the first table that maps to a report, its data rows, and a confidence.
     ``maps``: ``header_maps`` of the grids."""
-    sizes = grids.groupBy(*headers.TABLE).agg(F.max("row_index").alias("last"))
+    whole = "rows" in grids.columns  # tables of ``read_tables``, or else rows
+    sizes = grids.where(F.size("rows") > 0).select(*headers.TABLE, (F.size("rows") - 1).alias("last")) if whole else grids.groupBy(*headers.TABLE).agg(F.max("row_index").alias("last"))
     rows = sizes.join(maps.select(*headers.TABLE, "header_row", "partial"), list(headers.TABLE), "left").withColumn("data_rows", F.col("last") - F.col("header_row"))
     mapped = F.when(F.col("header_row").isNotNull(), F.col("table_index"))
     found = rows.groupBy("document_id").agg(F.count("*").alias("tables"), F.min(mapped).alias("mapped_table"), F.min_by(F.struct("data_rows", "partial"), mapped).alias("first"))

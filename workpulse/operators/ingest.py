@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import duration_hours, duration_in_hours, parse_date, parse_time
 from ..functions.text import STATUS_ALIASES, clean_whitespace, keyify, normalize_priority, normalize_status, normalize_task, status_from_answer, status_is_ambiguous, status_means_planned
 from ..plans.facts import EngineConfig, once, tasks
-from ..sources.grids import read_grids
+from ..sources.grids import read_tables
 from . import headers
 from .joins import occurrence_fingerprints, route
 
@@ -40,13 +40,24 @@ def header_maps(grids: DataFrame, config: IngestConfig = IngestConfig(), documen
 def numbered_rows(grids: DataFrame, config: IngestConfig = IngestConfig(), documents: DataFrame | None = None, maps: DataFrame | None = None) -> DataFrame:
     """Rows under a header as ``raw`` (field to text) with what the table says of all of them, and ``place``: their number
     in the document. Blank rows, sums, and unused lines of a template, which name no work, person or day, are left out.
+    ``grids``: rows of ``read_grids``, or tables of ``read_tables``.
 
     Cells of dashes alone are blank. A link is the target of its cell, else of the first cell that has one. Tables
     without a header give no rows. ``maps``: their ``header_maps``, if they are known already.
     """
-    maps = header_maps(grids, config, documents) if maps is None else maps
-    maps = maps.withColumn("heading_kind", headers.work_kind(F.try_element_at("headings", F.lit("task"))))  # once for a table, not for each row
-    rows = grids.join(maps, list(TABLE)).where(F.col("row_index") > F.col("header_row"))
+    whole = "rows" in grids.columns
+    if maps is None and whole:
+        # tables that their first line settles are read as they are scanned
+        easy, others = headers.headed_tables(grids, config.status_aliases, config.headings, config.header_rows, config.header_fields, config.date_order, stated=documents)
+        rows = easy.unionByName(grids.select(*TABLE, "rows").join(others, list(TABLE)))
+    else:
+        maps = header_maps(grids, config, documents) if maps is None else maps
+        rows = grids.join(maps, list(TABLE))
+    if "heading_kind" not in rows.columns:  # maps that were written before they had it
+        rows = rows.withColumn("heading_kind", headers.work_kind(F.try_element_at("headings", F.lit("task"))))
+    if whole:
+        rows = rows.select("*", F.posexplode("rows").alias("row_index", "cells")).drop("rows")
+    rows = rows.where(F.col("row_index") > F.col("header_row"))
     # judged by the cells themselves, so that the filter doesn't work out all of a row's fields
     cell = lambda f: F.coalesce(F.get("cells", F.try_element_at("fields", F.lit(f)))["text"], F.lit(""))
     blank = r"^[\s\u00a0\-–—.]*$"
@@ -163,8 +174,8 @@ def reports_of(tasks: DataFrame) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids are written before headings are looked for, so that markup is read once."""
-    return once(spark, sf_dir, "report-grids", lambda: read_grids(reports_of(tasks(spark, sf_dir))))
+    """Tables are written before headings are looked for, so that markup is read once."""
+    return once(spark, sf_dir, "report-tables", lambda: read_tables(reports_of(tasks(spark, sf_dir))))
 
 
 def register_all(register, with_facts, tasks, table) -> None:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_whitespace
-from ..plans.facts import once
-from ..sources.grids import read_grids
+from ..plans.facts import once, written
+from ..sources.grids import grid_rows, read_tables
 from ..sources.mail import attachment_kind, pasted_documents, read_messages, sheet_links
 from . import detection
 from .ingest import IngestConfig, header_maps, numbered_rows, report_lines, validated
@@ -104,11 +104,16 @@ def message_parts(messages: DataFrame, files: DataFrame | None = None, sheets: D
     return parts
 
 
+def part_tables(parts: DataFrame) -> DataFrame:
+    """The tables of the parts that have no reason yet, but for pictures, as ``read_tables`` gives them."""
+    return read_tables(parts.where("reason is null and coalesce(branch, '') <> 'picture'"), failures=True)
+
+
 def part_grids(parts: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
     """Grid rows of the parts that have no reason yet, of all branches in one; a part that can't be read gives a row of
     table -1 that says why. ``parts``: document_id tells them apart."""
     open_parts = parts.where("reason is null")
-    grids = read_grids(open_parts.where("coalesce(branch, '') <> 'picture'"), failures=True)
+    grids = grid_rows(part_tables(parts))
     if transcripts is None:
         return grids
     pictures = open_parts.where("branch = 'picture'").select("document_id", "message_id", "attachment_id")
@@ -185,9 +190,10 @@ def message_rollup(parts: DataFrame, counted: DataFrame) -> DataFrame:
 # --- the driver's tables as landed messages ---------------------------------------------------------------------------
 
 
-def _landed(tasks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Landed messages, files and sheets: reports of facts sent in the ways that reports are sent, by their month."""
-    rows = report_lines(tasks).withColumns({"way": F.substring("document_id", -2, 2).cast("int") % 5, "sheet": F.sha1("document_id")})
+def _landed(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Landed messages, files and sheets: reports of facts (``report_lines``) sent in the ways that reports are sent, by
+    their month."""
+    rows = lines.withColumns({"way": F.substring("document_id", -2, 2).cast("int") % 5, "sheet": F.sha1("document_id")})
     piped = F.concat(F.lit("Date | Employee | Task | Status\n"), "body")
     tabbed = F.encode(F.regexp_replace(piped, r" \| ", "\t"), "UTF-8")
     text = F.when(F.col("way") == 0, piped).when(F.col("way") == 2, F.concat(F.lit("My work: https://docs.google.com/spreadsheets/d/"), "sheet", F.lit("/edit#gid=0"))).otherwise("Please find it attached.")
@@ -206,12 +212,14 @@ def register_all(register, with_facts, tasks) -> None:
 
     def read(spark, sf_dir):
         def parts():
-            messages, files, sheets = _landed(tasks(spark, sf_dir))
-            return message_parts(read_messages(messages), files, sheets)
+            # facts are gathered once and messages read once, for the body, the attachments and the links alike
+            lines = once(spark, sf_dir, "report-lines", lambda: report_lines(tasks(spark, sf_dir)))
+            messages, files, sheets = _landed(lines)
+            return message_parts(written(read_messages(messages), "messages"), files, sheets)
 
         kept = once(spark, sf_dir, "message-parts", parts)
-        grids = once(spark, sf_dir, "message-grids", lambda: part_grids(kept))
-        maps = once(spark, sf_dir, "message-maps", lambda: header_maps(grids))
+        grids = once(spark, sf_dir, "message-tables", lambda: part_tables(kept))
+        maps = once(spark, sf_dir, "message-maps", lambda: header_maps(grids.where("table_index >= 0")))
         judged = judged_parts(kept, grids, maps)
         reports = maps.join(judged.where("is_document").select("document_id"), "document_id", "left_semi")
         return judged, validated(numbered_rows(grids, maps=reports))
