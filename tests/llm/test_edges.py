@@ -110,3 +110,13 @@ def test_pages(spark):
     found = sorted(((r["page_id"] or 0, r["text"]) for r in htmltext.extract(pages).collect()))
     assert found == [(0, ""), (1, ""), (2, ""), (3, LONG.strip()), (4, "unclosed &"), (4, "unclosed &")]
     assert htmltext.extract(pages.limit(0)).collect() == []
+
+
+def test_classes_of_tags_are_judged_once():
+    from workpulse.llm import htmltext
+
+    htmltext.is_marked.cache_clear()
+    page = "<article>" + '<p class="related-posts list">gone</p><p class="related-work">kept</p>' * 50 + f'<p class="{"x " * 200}">long</p></article>'
+    found, kinds = htmltext.blocks(page)
+    assert found == ["gone", "kept"] * 50 + ["long"] and kinds == "h2" * 50 + "2"
+    assert htmltext.is_marked.cache_info().misses == 2

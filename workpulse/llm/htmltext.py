@@ -18,6 +18,7 @@ repeat, and all pages are then counted for these.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import re
@@ -42,10 +43,13 @@ ROOTED_PAGES, ROOTED_SHARE = 3, 0.4
 GROUP_PAGES = 160
 #: Hosts, or runs of all hosts, up to which they are broadcast rather than joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Characters of a tag's attributes, up to which what they mean is kept for the next such tag.
+LONGEST_KEPT = 200
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "xmp", "noframes"}
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
@@ -69,6 +73,7 @@ _FURNITURE = {
 _CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
+@functools.lru_cache(maxsize=1 << 14)  # pages of a site share their classes
 def is_marked(values: str, in_article: bool) -> bool:
     """Whether class, id and role values say that an element isn't the article's. Inside an article a value does only if
     all its words are marks or ``_FURNITURE``."""
@@ -80,6 +85,12 @@ def is_marked(values: str, in_article: bool) -> bool:
     return any(all(w.lower() in _FURNITURE or _MARKS.search(w) for w in re.split("[_-]+", v) if w) for v in marked)
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _marks_of(attributes: str) -> str:
+    """The class, id and role values of a tag."""
+    return " ".join(a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(attributes))
+
+
 def blocks(page: str | None) -> tuple[list[str], str]:
     """The blocks in page order, and a character for each: ``h`` where markup hints that it isn't the article's, else 2
     in an article, 1 in the main element, 0 elsewhere."""
@@ -121,7 +132,7 @@ def blocks(page: str | None) -> tuple[list[str], str]:
                     break
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = _ENDS[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
         if tag in _VOID or m[3].endswith("/"):
@@ -129,8 +140,8 @@ def blocks(page: str | None) -> tuple[list[str], str]:
         if block and stack and stack[-1][0] in _CLOSED_BY and ((by := _CLOSED_BY[stack[-1][0]]) is None or tag in by):
             stack.pop()
             hinted, level = stack[-1][1:] if stack else (False, 0)
-        marks = " ".join(a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])) if m[3] else ""
-        out = hinted or tag in _HINTS or (tag == "header" and level < 2) or (tag not in ("html", "body", "article", "main") and is_marked(marks, level == 2))
+        marks = (_marks_of if len(m[3]) <= LONGEST_KEPT else _marks_of.__wrapped__)(m[3]) if m[3] else ""
+        out = hinted or tag in _HINTS or (tag == "header" and level < 2) or (tag not in ("html", "body", "article", "main") and (is_marked if len(marks) <= LONGEST_KEPT else is_marked.__wrapped__)(marks, level == 2))
         out = out or (tag == "article" and "comment" in marks.lower())
         if out and not hinted:
             flush()
