@@ -9,6 +9,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from workpulse.llm import common, decontam, htmltext, licenses, neardup, packing, secrets
 
@@ -365,6 +366,62 @@ def test_limits_are_for_the_whole_host(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in htmltext.extract(rows).collect()} == right
 
 
+def test_only_runs_that_can_reach_a_limit_are_counted_on_all_pages(spark, monkeypatch):
+    tables, write = {}, common.written
+    monkeypatch.setattr(common, "written", lambda df, name, **options: tables.setdefault(name, write(df, name, **options)))
+    draw = random.Random(11)
+    words = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    own, notice, banner, quoted = [words(30) for _ in range(480)], words(12), words(12), words(12)
+    # five pages of 480 share a quotation, two of them or more a group, but 2 % of the pages are 9.6; the notice is on 40
+    quotes = [words(12) for _ in range(96)]
+    pages = [(i, "https://a.example/", f"<div>{quotes[i // 5]}</div><div>{t}</div>" + f"<div>{notice}</div>" * (i % 12 == 0)) for i, t in enumerate(own)]
+    small = [words(30) for _ in range(6)]
+    pages += [(1_000 + i, "https://b.example/", f"<div>{banner if i < 4 else quoted}</div><div>{t}</div>") for i, t in enumerate(small)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in htmltext.extract(rows).collect()}
+    right = {i: f"{quotes[i // 5]}\n\n{t}" for i, t in enumerate(own)}
+    assert found == right | {1_000 + i: t if i < 4 else f"{quoted}\n\n{t}" for i, t in enumerate(small)}
+    runs = 12 - htmltext.LEAST + 1
+    assert sorted(r["host"] for r in tables["candidates"].collect()) == ["a.example"] * runs + ["b.example"] * runs
+
+
+def test_each_different_word_is_hashed_once(monkeypatch):
+    hashed, hash_array = [], htmltext.hash_array
+    monkeypatch.setattr(htmltext, "hash_array", lambda words, **options: hashed.extend(words) or hash_array(words, **options))
+    pages = [f"p{i} one two three four five six one two" for i in range(5)]
+    runs, times = htmltext.repeated_runs(pa.array([*pages, "", "alone"]), 2)
+    assert len(runs) == 3 and times.tolist() == [5] * 3
+    assert sorted(hashed) == sorted({w for p in pages for w in p.split()} | {"alone"})
+
+
+def test_cutting_pages_equals_brute_force():
+    draw = random.Random(12)
+    for _ in range(40):
+        found = [[" ".join(draw.choice("abc") for _ in range(draw.randint(1, 12))) for _ in range(draw.randint(0, 6))] for _ in range(8)]
+        kinds = ["".join(draw.choice(draw.choice(("h0", "h01", "012"))) for _ in p) for p in found]
+        run = lambda words, i: " ".join(words[i : i + htmltext.LEAST])
+        number = lambda run: int(htmltext.Words(pa.array([[run]])).runs[0])
+        every = sorted({run(w, i) for p in found for w in [htmltext.words_in(p)] for i in range(len(w) - htmltext.LEAST + 1)})
+        sets = [[{r for r in every if draw.random() < share} for _ in found] for share in (0.3, 0.5)]
+        hashes = [[np.sort(np.array([number(r) for r in own], dtype=np.int64)) for own in of] for of in sets]
+        texts, by_runs, by_marks = htmltext.without(pa.array(found, pa.list_(pa.string())), kinds, *hashes)
+        for k, blocks in enumerate(found):
+            words = htmltext.words_in(blocks)
+            boiler, shared = ({i + j for i in range(len(words) - htmltext.LEAST + 1) if run(words, i) in of[k] for j in range(htmltext.LEAST)} for of in sets)
+            place, at, kept, runs, marks = max(kinds[k].replace("h", ""), default="0"), 0, [], 0, 0
+            for b, kind in zip(blocks, kinds[k]):
+                own = range(at, at + len(b.split()))
+                at = own.stop
+                if kind == place > "0":
+                    left = [] if shared.issuperset(own) else [words[i] for i in own]
+                else:
+                    left = [words[i] for i in own if i not in boiler]
+                runs += len(own) - len(left)
+                marks += len(left) * (kind != place)
+                kept += [" ".join(left)] * bool(left and kind == place)
+            assert (texts[k].as_py(), by_runs[k], by_marks[k]) == ("\n\n".join(kept), runs, marks)
+
+
 def test_repetition_equals_brute_force():
     draw = np.random.default_rng(4)
     tokens, owner = [], []

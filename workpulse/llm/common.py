@@ -65,6 +65,10 @@ def byte_slices(batch: pa.RecordBatch, rows: int = 512, size: int = 2 << 20) ->
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
             sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type) and pa.types.is_string(column.type.value_type):
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+            before = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(column.flatten()), 0).to_numpy(zero_copy_only=False)))
+            sizes += np.diff(before[ends], prepend=0)
     at, ends = 0, np.cumsum(sizes)
     while at < batch.num_rows:
         before = ends[at] - sizes[at]

@@ -12,8 +12,9 @@
    blocks outside the article where there is one.
 
 A host with many pages is split into groups by a hash of their content, each with a stream of its own. The limits are
-for the whole host: a run on so many of its pages is on two pages of some group, so the groups name the runs that they
-repeat, and all pages are then counted for these.
+for the whole host: a run on so many of its pages is on several pages of some group, so the groups name the runs that
+they repeat. Those that can reach a limit by what the groups counted are then counted on all pages. Words are split,
+numbered and hashed by Arrow and NumPy for many pages at a time, each different word once.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +41,8 @@ LEAST, PAGES, SHARE = 6, 3, 0.02
 #: The same inside an article or main element, whose text may quote what others hold. There a block goes only as a whole:
 #: a quotation stands among words of the page's own, or on few pages.
 ROOTED_PAGES, ROOTED_SHARE = 3, 0.4
-#: Distinct pages of a group, about. A run on SHARE of a host's pages is on two of some group as long as SHARE * GROUP_PAGES > 2.
+#: Distinct pages of a group, about, and over half of it. A run on SHARE of a host's pages is on two of some group as long
+#: as SHARE * GROUP_PAGES > 2.
 GROUP_PAGES = 160
 #: Hosts, or runs of all hosts, up to which they are broadcast rather than joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -152,38 +155,29 @@ def blocks(page: str | None) -> tuple[list[str], str]:
     return found, "".join(kinds)
 
 
-def suffix_order(tokens: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Positions sorted by their next ``order`` tokens or more (prefix doubling), and the ranks by 1, 2, 4, ... tokens."""
+def suffix_order(tokens: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions sorted by their next ``order`` tokens, and for each place in that order the number of those tokens: the
+    same for neighbours that share them all. Keys of as many tokens as a word of the machine holds are sorted first; two
+    ranks that overlap or meet make the next key, so widths double up to ``order``."""
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    ranks = [(1, rank)]
-    place, width = np.argsort(rank, kind="stable"), 1
-    while width < order:
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + ahead
-        place = np.argsort(key, kind="stable")
+    rank = tokens - tokens.min() + 1  # 0 stands past the end
+    bits = int(rank.max()).bit_length()
+    width, key = 1, rank
+    while width < order and (width + 1) * bits < 64:
+        key = (key << bits) | np.concatenate([rank[width:], np.zeros(min(width, n), dtype=np.int64)])
+        width += 1
+    while True:
+        place = np.argsort(key)
         ordered = key[place]
+        number = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+        if width >= order:
+            return place, number
         rank = np.empty(n, dtype=np.int64)
-        rank[place] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        width *= 2
-        ranks.append((width, rank))
-    return place, ranks
-
-
-def common_prefixes(place: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """For each suffix but the first in order, the tokens that it shares with the one before, as far as they are sorted."""
-    n = len(place)
-    a, b, length = place[:-1].copy(), place[1:].copy(), np.zeros(n - 1, dtype=np.int64)
-    for width, rank in ranks[::-1]:
-        inside = (a < n) & (b < n)
-        same = np.zeros(n - 1, dtype=bool)
-        same[inside] = rank[a[inside]] == rank[b[inside]]
-        same &= np.maximum(a, b) + width <= n
-        length[same] += width
-        a[same] += width
-        b[same] += width
-    return length
+        rank[place] = number
+        step = min(width, order - width)
+        key = rank * (n + 1)
+        key[: max(n - step, 0)] += rank[step:]
+        width += step
 
 
 def repetition(tokens: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray:
@@ -192,13 +186,12 @@ def repetition(tokens: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    place, ranks = suffix_order(tokens, least)
-    run = np.cumsum(np.concatenate([[0], common_prefixes(place, ranks) < least]))  # neighbours that share the prefix
-    owned = owner[place]
-    by = np.lexsort((owned, run))
-    new = np.concatenate([[True], (run[by][1:] != run[by][:-1]) | (owned[by][1:] != owned[by][:-1])])
+    place, run = suffix_order(tokens, least)
+    owners = int(owner.max()) + 1
+    pairs = np.sort(run * owners + owner[place])
+    new = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
     out = np.empty(n, dtype=np.int64)
-    out[place] = np.bincount(run[by][new], minlength=n)[run]
+    out[place] = np.bincount(new // owners)[run]
     return out
 
 
@@ -218,74 +211,101 @@ def hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def run_hashes(words: list[str]) -> np.ndarray:
-    """Hashes of the runs of ``LEAST`` tokens, the same in every process."""
-    n = len(words) - LEAST + 1
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts (none of them empty) as numbers, a hash for each number that is the same in every process, and
+    how many words each text has. Each different word is hashed once."""
+    words = pc.split_pattern(texts, " ")
+    coded = words.flatten().dictionary_encode()
+    hashes = hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+    return coded.indices.to_numpy(), hashes, pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def run_hashes(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``LEAST`` tokens, from the tokens' own."""
+    n = len(tokens) - LEAST + 1
     if n < 1:
         return np.zeros(0, dtype=np.int64)
-    tokens = hash_array(np.array(words, dtype=object), categorize=False)
     sums = np.zeros(n, dtype=np.uint64)
     for k in range(LEAST):
         sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
     return sums.view(np.int64)
 
 
-def repeated_runs(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs that several of the pages (the words of each; no two alike) have, and how many have them."""
-    number: dict[str, int] = {}
-    stream, owner, runs = [], [], []
-    for k, words in enumerate(pages):
-        stream += [number.setdefault(w, len(number)) for w in words]
-        stream.append(-1 - k)
-        owner += [k] * (len(words) + 1)
-        found = run_hashes(words)
-        runs.append(np.concatenate([found, np.zeros(len(words) + 1 - len(found), dtype=np.int64)]))
-    times = repetition(np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64), LEAST)
-    often = times > 1
-    distinct, at = np.unique(np.concatenate([*runs, np.zeros(0, dtype=np.int64)])[often], return_index=True)
-    return distinct, times[often][at]
-
-
-def lying_in(words: list[str], asked: np.ndarray, boiler: np.ndarray) -> np.ndarray:
-    """Which of the ``asked`` words (true where asked) lie in one of the runs ``boiler`` (sorted hashes). Only they and
-    the words next to them, which runs may begin or end with, are hashed."""
-    out = np.zeros(len(words), dtype=bool)
-    if not len(boiler) or not asked.any():
-        return out
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], asked.astype(np.int8), [0]])))
-    starts, ends = np.maximum(edges[::2] - LEAST + 1, 0), np.minimum(edges[1::2] + LEAST - 1, len(words))
-    first = np.concatenate([[True], starts[1:] > ends[:-1]])  # stretches that touch are one
-    for a, b in zip(starts[first], ends[np.append(np.flatnonzero(first)[1:] - 1, len(ends) - 1)]):
-        runs = run_hashes(words[a:b])
-        if len(runs):
-            often = boiler[np.minimum(np.searchsorted(boiler, runs), len(boiler) - 1)] == runs
-            if often.any():
-                out[a:b] = covered(LEAST, np.concatenate([often, np.zeros(b - a - len(runs), dtype=bool)]))
-    return out & asked
-
-
-def without(found: list[str], kinds: str, boiler: np.ndarray, shared: np.ndarray) -> tuple[str, int, int]:
-    """The text of a page without what the runs ``boiler`` cover, or inside an article the runs ``shared`` (both sorted
-    hashes), and without what markup rules out of the rest; words that went by runs, and by markup alone."""
-    words = words_in(found)
-    place = max(kinds.replace("h", ""), default="0")
-    inside = np.repeat([k == place > "0" for k in kinds], [b.count(" ") + 1 for b in found]).astype(bool)
-    mask, inner = lying_in(words, ~inside, boiler), lying_in(words, inside, shared)
-    kept, at, by_runs, by_marks = [], 0, 0, 0
-    for b, kind in zip(found, kinds):
-        own = b.split(" ")
-        gone, gone_inside = mask[at : at + len(own)], inner[at : at + len(own)]
-        at += len(own)
-        if kind != "h" and kind == place > "0":
-            left = [] if gone_inside.all() else own
-        else:
-            left = [w for w, g in zip(own, gone) if not g]
-        by_runs += len(own) - len(left)
-        if kind != place:
-            by_marks += len(left)
-        elif left:
-            kept.append(" ".join(left))
-    return "\n\n".join(kept), by_runs, by_marks
+def repeated_runs(pages: pa.Array, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs that at least ``least`` of the pages (the words of each; no two alike) have, and how many have them."""
+    pages = pages.filter(pc.not_equal(pages, ""))
+    if len(pages) < least:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    numbers, hashes, sizes = words_of(pages)
+    owner = np.repeat(np.arange(len(pages)), sizes + 1)
+    ends = np.cumsum(sizes + 1) - 1  # each page ends with a token of its own
+    is_word = np.ones(len(owner), dtype=bool)
+    is_word[ends] = False
+    stream = np.empty(len(owner), dtype=np.int64)
+    stream[is_word] = numbers
+    stream[ends] = len(hashes) + np.arange(len(pages))
+    times = repetition(stream, owner, LEAST)
+    runs = run_hashes(np.append(hashes, np.zeros(len(pages), dtype=np.uint64))[stream])  # those across an end are on one page only
+    often = times[: len(runs)] >= least
+    distinct, at = np.unique(runs[often], return_index=True)
+    return distinct, times[: len(runs)][often][at]
+
+
+class Words:
+    """The words of pages, given as lists of blocks: all blocks, how many each page has, how many words each block has, and
+    a hash for each run of ``LEAST`` words, which no page's end interrupts."""
+
+    def __init__(self, found: pa.Array) -> None:
+        self.blocks = found.flatten()
+        self.n_blocks = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers, hashes, self.n_words = words_of(self.blocks)
+        ends = np.concatenate([[0], np.cumsum(self.n_words)])[np.cumsum(self.n_blocks)]
+        self.bounds = np.concatenate([[0], ends])
+        self.runs = run_hashes(hashes[numbers])
+
+    def runs_on(self, page: int) -> slice:
+        """Where the runs of a page are."""
+        first, end = self.bounds[page : page + 2]
+        return slice(first, max(first, end - LEAST + 1))
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are ``known`` (sorted, one at least)."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def without(found: pa.Array, kinds: list[str], boiler: list[np.ndarray], shared: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts of pages without what the runs ``boiler`` of each cover, or inside an article the runs ``shared`` (both
+    sorted hashes), and without what markup rules out of the rest; words that went by runs, and by markup alone."""
+    words = Words(found)
+    n_pages, n_words = len(found), int(words.bounds[-1])
+    often, often_inside = np.zeros(n_words, dtype=bool), np.zeros(n_words, dtype=bool)
+    for page in range(n_pages):
+        own = words.runs_on(page)
+        for mask, known in ((often, boiler[page]), (often_inside, shared[page])):
+            if len(known):
+                mask[own] = among(words.runs[own], known)
+    page_of = np.repeat(np.arange(n_pages), words.n_blocks)
+    kind = np.frombuffer("".join(kinds).encode(), dtype=np.uint8)
+    place = np.full(n_pages, ord("0"), dtype=np.uint8)
+    np.maximum.at(place, page_of, np.where(kind == ord("h"), 0, kind).astype(np.uint8))
+    main = kind == place[page_of]
+    inside = main & (kind > ord("0"))
+    gone = np.where(np.repeat(inside, words.n_words), covered(LEAST, often_inside), covered(LEAST, often))
+    starts = np.cumsum(words.n_words) - words.n_words
+    went = np.add.reduceat(gone, starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+    went[inside & (went < words.n_words)] = 0  # inside an article a block goes only as a whole
+    left = words.n_words - went
+    stays = main & (left > 0)
+    texts = words.blocks.filter(pa.array(stays))
+    if (cut := np.flatnonzero(stays & (went > 0))).size:
+        at, texts = np.cumsum(stays) - 1, texts.to_pylist()
+        for b in cut.tolist():
+            texts[at[b]] = " ".join(w for w, g in zip(texts[at[b]].split(" "), gone[starts[b] :]) if not g)
+        texts = pa.array(texts, pa.string())
+    per_page = lambda counts: np.bincount(page_of, counts, n_pages).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(per_page(stays))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(ends, texts), "\n\n"), per_page(went), per_page(np.where(main, 0, left))
 
 
 def on_pages(pages: DataFrame, runs: DataFrame, parts: DataFrame, each: Callable, schema: str) -> DataFrame:
@@ -307,7 +327,8 @@ def on_pages(pages: DataFrame, runs: DataFrame, parts: DataFrame, each: Callable
         def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs_of = lookup(shared.value)
             for batch in batches:
-                yield from each(pa.Table.from_batches([batch]), runs_of).to_batches()
+                for part in common.byte_slices(batch, 2048, 8 << 20):
+                    yield from each(pa.Table.from_batches([part]), runs_of).to_batches()
 
         return pages.mapInArrow(mapped, schema)
     spread = runs.join(parts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "run", "rooted")
@@ -337,10 +358,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read = common.map_rows(rows, f"id {id_sql}, url string, host string, content long, blocks array<string>, kinds string", start, parsed)
     read = common.written(read, "blocks", compression="zstd")
     parts = read.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP_PAGES))
+    limit = F.greatest(F.lit(float(PAGES)), F.lit(SHARE) * F.col("n"))
+    parts = parts.withColumn("few", F.greatest(F.lit(1), F.ceil(limit / F.col("groups")) - 2))
     parts = common.written(parts, "hosts")
     if parts.count() <= BROADCAST_ROWS:
         parts = F.broadcast(parts)
-    read = read.join(parts.select("host", "groups"), "host").withColumn("part", F.pmod("content", "groups")).drop("groups")
+    read = read.join(parts.select("host", "groups", "few"), "host").withColumn("part", F.pmod("content", "groups"))
 
     def first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One copy of each content a task, compressed: many copies of one page don't all go to the task of its group."""
@@ -350,40 +373,45 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
             new = [k not in seen and not seen.add(k) for k in keys]
             first = batch.filter(pa.array(new, pa.bool_()))
-            packed = [press.compress("\n".join(found.as_py()).encode("utf-8", "surrogatepass")) for found in first.column(3)]
-            yield pa.RecordBatch.from_arrays([*first.columns[:3], pa.array(packed, pa.binary())], names=["host", "part", "content", "packed"])
+            packed = [press.compress(text) for text in pc.binary_join(first.column(3), " ").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*first.columns[:3], pa.array(packed, pa.binary()), *first.columns[4:]], names=["host", "part", "content", "packed", "few"])
 
     def named(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         distinct = dict(zip(group.column("content").to_pylist(), group.column("packed")))
-        runs, _ = repeated_runs([unpack.decompress(p.as_py()).decode("utf-8", "surrogatepass").split() for p in distinct.values()])
-        return pa.table([pa.array([group.column("host")[0].as_py()] * len(runs), pa.string()), pa.array(runs)], names=["host", "run"])
+        texts = pa.array([unpack.decompress(p.as_py()) for p in distinct.values()], pa.large_binary()).cast(pa.large_string())
+        runs, times = repeated_runs(texts, group.column("few")[0].as_py() + 1)
+        return pa.table([pa.repeat(group.column("host")[0], len(runs)), pa.array(runs), pa.array(times)], names=["host", "run", "count"])
 
     def counted(pages: pa.Table, runs_of) -> pa.Table:
-        hosts, contents, runs = [], [], []
-        for host, content, found in zip(*(pages.column(c).to_pylist() for c in ("host", "content", "blocks"))):
-            named = runs_of(host, False)
-            if not len(named):
-                continue
-            own = run_hashes(words_in(found))
-            hit = np.unique(own[named[np.minimum(np.searchsorted(named, own), len(named) - 1)] == own])
-            hosts += [host] * len(hit)
-            contents += [content] * len(hit)
-            runs += hit.tolist()
-        return pa.table([pa.array(hosts, pa.string()), pa.array(runs, pa.int64()), pa.array(contents, pa.int64())], names=["host", "run", "content"])
+        words = Words(pages.column("blocks").combine_chunks())
+        hits = [np.zeros(0, dtype=np.int64)]
+        for page, host in enumerate(pages.column("host").to_pylist()):
+            own, known = words.runs[words.runs_on(page)], runs_of(host, False)
+            hits.append(np.unique(own[among(own, known)]) if len(known) else hits[0])
+        page_of = pa.array(np.repeat(np.arange(len(pages)), np.array([len(h) for h in hits[1:]], dtype=np.int64)))
+        return pa.table([pages.column("host").take(page_of), pa.array(np.concatenate(hits)), pages.column("content").take(page_of)], names=["host", "run", "content"])
 
     final = pa.schema([("id", id_arrow), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_repeated", pa.int64()), ("n_marked", pa.int64())])
 
     def kept(pages: pa.Table, runs_of) -> pa.Table:
-        cut = [without(found, kinds, runs_of(host, False), runs_of(host, True)) for host, found, kinds in zip(*(pages.column(c).to_pylist() for c in ("host", "blocks", "kinds")))]
-        texts, by_runs, by_marks = zip(*cut) if cut else ((), (), ())
-        counts = [pa.array(c, pa.int64()) for c in ([len(t) for t in texts], by_runs, by_marks)]
-        return pa.table([pages.column("id").cast(id_arrow), pages.column("url"), pa.array(texts, pa.string()), *counts], schema=final)
-
-    streams = read.select("host", "part", "content", "blocks")
-    streams = streams.mapInArrow(first_copies, "host string, part long, content long, packed binary")
-    candidates = streams.groupBy("host", "part").applyInArrow(named, "host string, run long").distinct().withColumn("rooted", F.lit(False))
-    counts = on_pages(read, common.written(candidates, "candidates"), parts, counted, "host string, run long, content long").distinct().groupBy("host", "run").count().join(parts, "host")
+        hosts = pages.column("host").to_pylist()
+        known = ([runs_of(host, rooted) for host in hosts] for rooted in (False, True))
+        texts, by_runs, by_marks = without(pages.column("blocks").combine_chunks(), pages.column("kinds").to_pylist(), *known)
+        counts = [pc.utf8_length(texts).cast(pa.int64()), pa.array(by_runs), pa.array(by_marks)]
+        return pa.table([pages.column("id").cast(id_arrow), pages.column("url"), texts, *counts], schema=final)
+
+    streams = read.select("host", "part", "content", "blocks", "few")
+    streams = streams.mapInArrow(first_copies, "host string, part long, content long, packed binary, few long")
+    found = common.written(streams.groupBy("host", "part").applyInArrow(named, "host string, run long, count long"), "found")
+    # Groups name the runs on more than ``few`` of their pages; elsewhere a run is on ``few`` at most, so one that reaches
+    # the limit on the whole host must make up for that where it is named. With one group, its count is the host's.
+    found = found.groupBy("host", "run").agg(F.sum("count").alias("count"), F.count("*").alias("named")).join(parts, "host")
+    found = found.where(F.col("count") + F.col("few") * (F.col("groups") - F.col("named")) >= limit).select("host", "run", "count", "groups")
+    candidates = common.written(found, "candidates")
+    asked = candidates.where("groups > 1").select("host", "run", F.lit(False).alias("rooted"))
+    counts = on_pages(read.where("groups > 1"), asked, parts, counted, "host string, run long, content long").distinct().groupBy("host", "run").count()
+    counts = counts.unionByName(candidates.where("groups = 1").select("host", "run", "count")).join(parts, "host")
     least = lambda least, share: F.col("count") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("n"))
     boiler = counts.where(least(PAGES, SHARE)).select("host", "run", least(ROOTED_PAGES, ROOTED_SHARE).alias("rooted"))
     out = on_pages(read, common.written(boiler, "boilerplate"), parts, kept, f"id {id_sql}, url string, text string, n_chars long, n_repeated long, n_marked long")
