@@ -385,6 +385,13 @@ def test_only_runs_that_can_reach_a_limit_are_counted_on_all_pages(spark, monkey
     assert sorted(r["host"] for r in tables["candidates"].collect()) == ["a.example"] * runs + ["b.example"] * runs
 
 
+def test_lists_of_texts_count_in_slices():
+    rows = [["a" * 60, "b" * 60], None, [], ["c" * 90, None], ["d"] * 5, ["e" * 500], ["f"]]
+    batch = pa.record_batch([pa.array(rows, pa.list_(pa.string()))], names=["blocks"])
+    slices = [part.column(0).to_pylist() for part in common.byte_slices(batch.slice(1), 10, 100)]
+    assert slices == [[None, [], ["c" * 90, None], ["d"] * 5], [["e" * 500]], [["f"]]]
+
+
 def test_each_different_word_is_hashed_once(monkeypatch):
     hashed, hash_array = [], htmltext.hash_array
     monkeypatch.setattr(htmltext, "hash_array", lambda words, **options: hashed.extend(words) or hash_array(words, **options))
