@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import weakref
+from types import SimpleNamespace
 
 import corpus_pipeline
-from workpulse.llm import common, crf, langid, neardup, secrets
+from workpulse.llm import common, crf, langid, neardup, packing, secrets
 
 from .test_exact import classes_by_hand, leaks_by_hand, packed_rightly, texts_of
 
@@ -78,3 +80,28 @@ def test_language_is_written_where_it_is_missing(spark, small):
     given = {r["doc_id"]: r["lang"] for r in docs.collect()}
     found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
     assert all(r["lang"] == (given[r["doc_id"]] or found[r["doc_id"]]) for r in kept)
+
+
+def test_a_worker_drops_the_words_of_packing_when_another_stage_begins(monkeypatch):
+    monkeypatch.setattr(common, "map_whole_rows", lambda docs, text_col, start: start)
+    frame = SimpleNamespace(columns=["text"], schema=None, sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda model: SimpleNamespace(value=model))), mapInArrow=lambda f, schema: f)
+    begin = {"language ID": lambda: list(langid.keep_known(frame, None)(iter(()))), "secret scans": lambda: secrets.redact_documents(frame)()}
+    for stage in begin.values():
+        held = weakref.ref(packing.encoder(common.tokenizer_path(None)))
+        assert packing.encoder(common.tokenizer_path(None)) is held()
+        stage()
+        assert held() is None
+
+
+def test_words_kept_for_packing_are_bounded(monkeypatch):
+    own = packing.WordEncoder(common.tokenizer_path(None))
+    texts = [" ".join(f"word{(7 * i + k) % 900}{'x' * (k % 5)}" for k in range(40)) for i in range(200)] + ["z" * 5000]
+    plain = [b"".join(own._ids(own.tokenizer.encode(w, add_special_tokens=False).ids) for w in t.split()) for t in texts]
+    for kept, chars in ((100, 1 << 20), (1 << 20, 600)):
+        monkeypatch.setattr(packing, "WORDS_KEPT", kept)
+        monkeypatch.setattr(packing, "CHARS_KEPT", chars)
+        own = packing.WordEncoder(common.tokenizer_path(None))
+        for text, ids in zip(texts, plain):
+            assert own.encode(text) == ids
+            assert len(own.known) <= kept + 40 and len(own.older) <= kept + 40
+        assert len(own.known) + len(own.older) < 300

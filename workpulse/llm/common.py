@@ -89,11 +89,18 @@ _KEPT: dict[str, object] = {}
 def once(token: str, build: Callable[[], object]):
     """What ``build`` makes, made once by a worker process and kept for its next tasks until another token comes."""
     if token not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[token] = build()
     return _KEPT[token]
 
 
+def forget() -> None:
+    """Drops what ``once`` keeps, and gives back memory that Arrow holds unused. Workers serve the tasks of one operator
+    after another: each of them begins with this, so that a worker holds one operator's state and not all of theirs."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder (``options`` are the writer's), and read again.
 

@@ -79,6 +79,7 @@ def predict(docs: DataFrame, model: crf.Crf | None, id_col: str = "doc_id", text
     arrow = pa.schema(fields + [("shares", pa.map_(pa.string(), pa.float64()))] * shares)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         tagger = shared.value
         for batch in batches:
             langs, scores, means = languages_of(tagger, common.texts_of(batch, 1), batch.num_rows)
@@ -102,6 +103,7 @@ def keep_known(docs: DataFrame, model: crf.Crf | None, text_col: str = "text", l
     at_lang = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         tagger = shared.value
         for batch in batches:
             langs = pa.array(languages_of(tagger, common.texts_of(batch, at_text), batch.num_rows)[0], pa.string())

@@ -169,6 +169,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         words = Words()
         total = np.zeros(CELLS, dtype=np.int64)
         docs = 0
@@ -196,6 +197,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     is split over tasks by the skew join, and worked out once for each run of pairs that hold it."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         words, weights = Words(), idf.value
         held: tuple = (None, None)
         for batch in batches:
@@ -319,6 +321,7 @@ def labelled_texts(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     idf = spark.sparkContext.broadcast(inverse(*document_frequencies(texts.select("text", "n"))))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         words, weights = Words(), idf.value
         for part in (part for batch in batches for part in common.byte_slices(batch)):
             digests, bands, sketches, sizes = [], [], [], []

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE = 2048
-#: Words kept with their ids in a worker; past it the store is emptied and filled anew.
-WORDS_KEPT = 1_200_000
+#: Words kept with their ids in a worker, some 350 bytes each, and characters of them: past either the store becomes the
+#: older one, which words that recur are taken from, and a new one begins.
+WORDS_KEPT, CHARS_KEPT = 350_000, 8 << 20
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 PIECES = "id {id}, piece int, start long, length int, ids_crc32 long, block int, slot long"
@@ -53,6 +54,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.chars = 0
         self.stops = {c: self._ids(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
 
     @staticmethod
@@ -85,20 +88,19 @@ class WordEncoder:
         known = self.known
         new = [w for w in set(words) if w not in known]
         if new:
-            if len(known) > WORDS_KEPT:
-                known.clear()
+            if len(known) > WORDS_KEPT or self.chars > CHARS_KEPT:
+                self.older, self.chars = known, 0
+                known = self.known = {}
                 new = list(set(words))
-            self._learn(new)
+            self.chars += sum(map(len, new))
+            older = self.older
+            known.update((w, older[w]) for w in new if w in older)
+            self._learn([w for w in new if w not in older])
         return b"".join([known[w] for w in words])
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return common.once(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def cut_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, tokenizer: str | None) -> DataFrame:
@@ -117,7 +119,7 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, tokenizer
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             take = []
-            for at, text in enumerate(batch.column(1).to_pylist()):
+            for at, text in enumerate(common.texts_of(batch, 1)):
                 ids = encode(text or "") + end
                 for number, start in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[start : start + 4 * size]

@@ -165,6 +165,7 @@ def find_secrets(
     arrow = pa.schema([("id", to_arrow_type(rows.schema["id"].dataType)), ("found", pa.list_(span))] + [("redacted", pa.string())] * keep_text)
 
     def start():
+        common.forget()
         novelty = Novelty()
 
         def each(row_id, text):
@@ -202,6 +203,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
     with_length = length_col in docs.columns
 
     def start():
+        common.forget()
         novelty = Novelty()
 
         def judge(texts):
