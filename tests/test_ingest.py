@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import datetime
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from workpulse.operators import evidence, headers, ingest
+from workpulse.plans import registry
+from workpulse.plans.facts import TABLES
 from workpulse.sources import grids
 from workpulse.streaming import reports
 
+from .conftest import rows_of, rows_of_sql
+
 HTML = """<table><tr><td>Layout</td><td><table>
 <tr><th colspan=2>Daily report<th>x<th></tr>
 <tr><th>Date<th>Employee Name<th>Task<th>Status<th>Link</tr>
@@ -105,6 +111,22 @@ def test_row_cap(spark):
     assert [tuple(r) for r in ingest.rows_over_cap(grids.read_grids(docs), ingest.IngestConfig(max_rows_per_document=4)).collect()] == [("d", 5)]
 
 
+@pytest.mark.parametrize("name", ["ingest_reports", "ingest_rejections"])
+def test_queries_read_long_documents_whole(spark, small, tmp_path, name):
+    """A person with more rows in a month than the cap on documents of the store."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for t in TABLES:
+        rows = f"SELECT * FROM read_parquet('{small}/{t}.parquet')"
+        if t == "orders":
+            rows = f"SELECT * REPLACE (o_orderkey + i * 600000 AS o_orderkey, 1 AS o_custkey, TIMESTAMP '1996-03-09' AS o_orderdate) FROM ({rows}), range(2) r(i)"
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    facts = con.execute(f"SELECT count(*) FROM ({registry.SQL['ingest_reports']})").fetchone()[0]
+    assert facts > ingest.IngestConfig().max_rows_per_document
+    assert rows_of(registry.QUERIES[name](spark, str(tmp_path))) == rows_of_sql(con, registry.SQL[name])
+
+
 def test_stream_is_idempotent_and_rejects_other_documents(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame(ROWS[:1], SCHEMA).coalesce(1).write.parquet(source)
